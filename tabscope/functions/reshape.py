@@ -9,31 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions.scalars import (
-    any_of,
-    as_number,
     field_type,
     is_moment,
+    literal,
+    number_sql,
+    quoted,
     ref,
     reject_maps,
 )
 
 
-def per_column(df: DataFrame, parts: Sequence[dict[str, Column]]) -> DataFrame:
+def per_column(df: DataFrame, parts: Sequence[dict[str, str]]) -> DataFrame:
     """One aggregation over the table, handed out as one row per entry of ``parts``.
 
-    Every entry has the same keys, which become the columns. All of them are computed in a single
-    pass, and the one aggregated row is unfolded afterwards.
+    Every entry maps the same names to SQL aggregates or constants. All of them are computed in a
+    single pass, and the one aggregated row is unfolded afterwards.
     """
-    names = list(parts[0])
-    aggregates, structs = [], []
-    for i, part in enumerate(parts):
-        fields = []
-        for name in names:
-            slot = f"_{i}_{name}"
-            aggregates.append(part[name].alias(slot))
-            fields.append(F.col(slot).alias(name))
-        structs.append(F.struct(*fields))
-    return df.agg(*aggregates).select(F.inline(F.array(*structs)))
+    rows = ", ".join(
+        "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in part.items()) + ")" for part in parts
+    )
+    return df.selectExpr("count(*) AS _all", f"array({rows}) AS _rows").selectExpr("inline(_rows)")
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[dict[str, object]]) -> DataFrame:
@@ -42,22 +37,17 @@ def literal_rows(spark: SparkSession, rows: Sequence[dict[str, object]]) -> Data
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def constant(value: str | int | None, dtype: str = "string") -> Column:
-    """A literal that is allowed inside an aggregation."""
-    return F.lit(value).cast(dtype)
-
-
 def long_numbers(df: DataFrame, columns: Sequence[str], *, strip: bool = False) -> DataFrame:
     """``(column, value)``: one row per finite number. Expands rows in place, without a shuffle."""
     if not columns:
         raise ValueError("no numeric column to work on")
-    numbers = df.select(*[as_number(df, c, strip=strip).alias(c) for c in columns])
-    return _melt(numbers, columns).filter(F.col("value").isNotNull())
+    numbers = df.selectExpr(*[f"{number_sql(df, c, strip=strip)} AS {quoted(c)}" for c in columns])
+    return _melt(numbers, columns).filter("value IS NOT NULL")
 
 
 def long_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, value)`` with every value as text, missing ones included."""
-    return _melt(df.select(*[as_text(df, c).alias(c) for c in columns]), columns)
+    return _melt(df.selectExpr(*[f"{text_sql(df, c)} AS {quoted(c)}" for c in columns]), columns)
 
 
 def _melt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -71,16 +61,20 @@ def _melt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return melted.select(names[F.col("column")].alias("column"), "value")
 
 
-def as_text(df: DataFrame, name: str) -> Column:
+def text_sql(df: DataFrame, name: str) -> str:
     """A value as text: equal values give equal texts, different ones different texts."""
     dtype = field_type(df, name)
-    column = ref(name)
+    column = quoted(name)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return (F.when(~F.isnan(column), column) + F.lit(0.0).cast(dtype)).cast("string")
+        return f"CAST(nanvl({column}, NULL) + CAST(0 AS {dtype.simpleString()}) AS STRING)"
     if isinstance(dtype, (T.ArrayType, T.StructType)):
-        return F.to_json(column)
+        return f"to_json({column})"
     reject_maps(df, [name])
-    return column.cast("string")
+    return column if isinstance(dtype, T.StringType) else f"CAST({column} AS STRING)"
+
+
+def as_text(df: DataFrame, name: str) -> Column:
+    return F.expr(text_sql(df, name))
 
 
 SLOTS = ("whole", "number", "moment", "text")
@@ -99,20 +93,17 @@ def slot_of(dtype: T.DataType) -> str:
 
 def long_typed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, whole, number, moment, text)``: one row per value, in the slot of its type."""
-    types = {"whole": "bigint", "number": "double", "moment": "timestamp", "text": "string"}
+    types = {"whole": "BIGINT", "number": "DOUBLE", "moment": "TIMESTAMP", "text": "STRING"}
     structs = []
     for name in columns:
         slot = slot_of(field_type(df, name))
-        fields = [F.lit(name).alias("column")]
-        for other in SLOTS:
-            if other != slot:
-                fields.append(F.lit(None).cast(types[other]).alias(other))
-            elif slot == "text":
-                fields.append(as_text(df, name).alias(other))
-            elif slot == "number":
-                value = ref(name).cast("double")
-                fields.append((F.when(~F.isnan(value), value) + F.lit(0.0)).alias(other))
-            else:
-                fields.append(ref(name).cast(types[other]).alias(other))
-        structs.append(F.struct(*fields))
-    return df.select(F.inline(F.array(*structs))).filter(any_of(F.col(s).isNotNull() for s in SLOTS))
+        value = {
+            "whole": f"CAST({quoted(name)} AS BIGINT)",
+            "number": f"nanvl(CAST({quoted(name)} AS DOUBLE), NULL) + 0D",
+            "moment": f"CAST({quoted(name)} AS TIMESTAMP)",
+            "text": text_sql(df, name) if slot == "text" else "",
+        }[slot]
+        fields = [f"'{s}', {value if s == slot else f'CAST(NULL AS {types[s]})'}" for s in SLOTS]
+        structs.append(f"named_struct('column', {literal(name)}, {', '.join(fields)})")
+    present = " OR ".join(f"{s} IS NOT NULL" for s in SLOTS)
+    return df.selectExpr(f"inline(array({', '.join(structs)}))").filter(present)

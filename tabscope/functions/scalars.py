@@ -24,7 +24,19 @@ Names = str | Sequence[str]
 
 def ref(name: str) -> Column:
     """Column of that exact name, dots included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    """The same in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str | None) -> str:
+    """A text constant in SQL."""
+    if text is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def as_list(names: Names | None) -> list[str]:
@@ -89,12 +101,16 @@ def order_columns(order_by: Names, *, descending: bool = False) -> list[Column]:
     return out
 
 
-def order_key(order_by: Names) -> Column:
-    """One comparable value that sorts like the columns do."""
+def key_sql(order_by: Names) -> str:
+    """One comparable value that sorts like the columns do, in SQL text."""
     names = as_list(order_by)
     if not names:
         raise ValueError("order_by must name at least one column")
-    return ref(names[0]) if len(names) == 1 else F.struct(*[ref(n) for n in names])
+    return quoted(names[0]) if len(names) == 1 else f"struct({', '.join(quoted(n) for n in names)})"
+
+
+def order_key(order_by: Names) -> Column:
+    return F.expr(key_sql(order_by))
 
 
 # --- missing values -------------------------------------------------------------------------
@@ -105,12 +121,14 @@ def finite(column: Column) -> Column:
     return F.when(F.abs(column) < F.lit(math.inf), column)
 
 
-def known(df: DataFrame, name: str) -> Column:
+def known_sql(df: DataFrame, name: str) -> str:
     """The column with NaN as NULL."""
-    column = ref(name)
-    if is_floating(field_type(df, name)):
-        return F.when(~F.isnan(column), column)
-    return column
+    column = quoted(name)
+    return f"nanvl({column}, NULL)" if is_floating(field_type(df, name)) else column
+
+
+def known(df: DataFrame, name: str) -> Column:
+    return F.expr(known_sql(df, name))
 
 
 def _clean(column: Column, dtype: T.DataType) -> Column:
@@ -165,15 +183,24 @@ def coerce_numeric(column: Column) -> Column:
     return finite(F.when(text.rlike(NUMBER_TEXT), F.trim(text).try_cast("double")))
 
 
-def as_number(df: DataFrame, name: str, *, strip: bool = False) -> Column:
+def number_sql(df: DataFrame, name: str, *, strip: bool = False) -> str:
     """A column of any type as a finite double; typed numbers keep their sign and exponent."""
     dtype = field_type(df, name)
-    column = ref(name)
+    column = quoted(name)
+    if isinstance(dtype, (T.NumericType, T.BooleanType)) and not is_floating(dtype):
+        return f"CAST({column} AS DOUBLE)"
     if is_floating(dtype):
-        return finite(column.cast("double"))
-    if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        return column.cast("double")
-    return strip_numeric(column) if strip else coerce_numeric(column)
+        return f"IF(abs({column}) < DOUBLE('Infinity'), CAST({column} AS DOUBLE), NULL)"
+    if strip:
+        value = f"try_cast(regexp_replace(CAST({column} AS STRING), r'[^0-9.]', '') AS DOUBLE)"
+    else:
+        text = f"CAST({column} AS STRING)"
+        value = f"IF({text} RLIKE r'{NUMBER_TEXT}', try_cast(trim({text}) AS DOUBLE), NULL)"
+    return f"IF(abs({value}) < DOUBLE('Infinity'), {value}, NULL)"
+
+
+def as_number(df: DataFrame, name: str, *, strip: bool = False) -> Column:
+    return F.expr(number_sql(df, name, strip=strip))
 
 
 # --- text -----------------------------------------------------------------------------------
@@ -217,25 +244,26 @@ def two_decimals(column: Column) -> Column:
 # --- dates ----------------------------------------------------------------------------------
 
 
-def parse_moment(column: Column, pattern: str, shape: str) -> Column:
+def moment_sql(name: str, pattern: str, shape: str) -> str:
     """Text of that shape as a timestamp, else NULL; the shape test spares failing parses."""
-    text = F.when(column.rlike(shape), column)
-    if pattern == "iso":
-        return text.try_cast("timestamp")
-    return F.try_to_timestamp(text, F.lit(pattern))
+    text = f"IF({quoted(name)} RLIKE r'{shape}', {quoted(name)}, NULL)"
+    return f"try_cast({text} AS TIMESTAMP)" if pattern == "iso" else f"try_to_timestamp({text}, '{pattern}')"
 
 
-def iso_text(column: Column) -> Column:
-    """ISO text with microseconds only where there are any."""
-    moment = column.cast("timestamp")
-    micros = F.unix_micros(moment) % F.lit(1_000_000)
-    return F.when(micros == 0, F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
-        F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+def iso_sql(moment: str) -> str:
+    """ISO text with microseconds only where there are any, from a timestamp."""
+    day = "yyyy-MM-dd\\'T\\'HH:mm:ss"
+    return (
+        f"IF(unix_micros({moment}) % 1000000 = 0, date_format({moment}, '{day}'), "
+        f"date_format({moment}, '{day}.SSSSSS'))"
     )
 
 
-def epoch_micros(column: Column) -> Column:
-    return F.unix_micros(column.cast("timestamp"))
+def iso_text(column: Column) -> Column:
+    moment = column.cast("timestamp")
+    day = "yyyy-MM-dd'T'HH:mm:ss"
+    whole = F.unix_micros(moment) % F.lit(1_000_000) == 0
+    return F.when(whole, F.date_format(moment, day)).otherwise(F.date_format(moment, f"{day}.SSSSSS"))
 
 
 def epoch_seconds(column: Column) -> Column:

@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions import fixed
-from tabscope.functions.reshape import constant, long_numbers, per_column
-from tabscope.functions.scalars import Names, as_list, as_number, epoch_seconds, iso_text, ref
+from tabscope.functions.reshape import long_numbers, per_column
+from tabscope.functions.scalars import Names, as_list, epoch_seconds, iso_text, literal, number_sql, ref
 from tabscope.operators.quantiles import quantile_table
 
 
-def bin_edge(i: Column, lo: Column, hi: Column, bins: Column) -> Column:
-    """Left edge of bin ``i``; edge ``bins`` is the upper limit itself."""
-    return F.when(i >= bins, hi).otherwise(i * ((hi - lo) / bins) + lo)
+def edge_sql(i: str) -> str:
+    """Left edge of bin ``i`` from ``lo, hi, bins``; edge ``bins`` is the upper limit itself."""
+    return f"IF({i} >= bins, hi, ({i}) * ((hi - lo) / bins) + lo)"
 
 
-def equal_width_bucket(value: Column, lo: Column, hi: Column, bins: Column) -> Column:
-    """Bin of a value when the last bin is closed.
+def bucket_sql(guess: str) -> str:
+    """Bin of ``value`` when the last bin is closed, from a guess one bin off at most.
 
     The quotient alone lands one bin off where rounding disagrees with the edges, so the guess is
     moved to the bin whose edges enclose the value.
     """
-    guess = F.least(F.floor((value - lo) * bins / (hi - lo)), bins - 1)
     return (
-        F.when(value < bin_edge(guess, lo, hi, bins), guess - 1)
-        .when((guess < bins - 1) & (value >= bin_edge(guess + 1, lo, hi, bins)), guess + 1)
+        f"CASE WHEN value < {edge_sql(guess)} THEN {guess} - 1 "
+        f"WHEN {guess} < bins - 1 AND value >= {edge_sql(f'{guess} + 1')} THEN {guess} + 1 "
+        f"ELSE {guess} END"
+    )
+
+
+def equal_width_bucket(value: Column, lo: Column, hi: Column, bins: Column) -> Column:
+    """The same for any columns."""
+    at = F.struct(value.alias("value"), lo.alias("lo"), hi.alias("hi"), bins.cast("bigint").alias("bins"))
+
+    def edge(i: Column, a: Column) -> Column:
+        return F.when(i >= a["bins"], a["hi"]).otherwise(i * ((a["hi"] - a["lo"]) / a["bins"]) + a["lo"])
+
+    guess = F.least(F.floor((at["value"] - at["lo"]) * at["bins"] / (at["hi"] - at["lo"])), at["bins"] - 1)
+    return (
+        F.when(at["value"] < edge(guess, at), guess - 1)
+        .when((guess < at["bins"] - 1) & (at["value"] >= edge(guess + 1, at)), guess + 1)
         .otherwise(guess)
-        .cast("bigint")
     )
 
 
@@ -48,15 +61,11 @@ def fixed_histogram(df: DataFrame, columns: Names, bins: int, *, strip: bool = F
     if bins < 1:
         raise ValueError("a histogram needs at least one bin")
     names = as_list(columns)
-    parts = [
-        {
-            "column": constant(c),
-            "lo": F.min(as_number(df, c, strip=strip)),
-            "hi": F.max(as_number(df, c, strip=strip)),
-            "bins": F.max(F.lit(bins)).cast("bigint"),
-        }
-        for c in names
-    ]
+    parts = []
+    for c in names:
+        value = number_sql(df, c, strip=strip)
+        ends = {"lo": f"min({value})", "hi": f"max({value})"}
+        parts.append({"column": literal(c), **ends, "bins": f"CAST({bins} AS BIGINT)"})
     return _labelled(binned(long_numbers(df, names, strip=strip), per_column(df, parts)))
 
 
@@ -86,40 +95,37 @@ def binned(numbers: DataFrame, layout: DataFrame, carry: tuple[str, ...] = ()) -
     The first and the last bin hold the extremes and are never empty, so empty bins are gaps
     between two filled ones and can be filled in from the counts alone.
     """
-    flat = F.col("lo") == F.col("hi")
-    widened = layout.select(
-        "column",
-        "bins",
-        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("_lo"),
-        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("_hi"),
-        *carry,
+    widened = layout.selectExpr(
+        "column", "bins", "IF(lo = hi, lo - 0.5, lo) AS lo", "IF(lo = hi, hi + 0.5, hi) AS hi", *carry
     )
-    lo, hi, bins = F.col("_lo"), F.col("_hi"), F.col("bins")
+    facts = ("bins", "lo", "hi", *carry)
     counted = (
         numbers.join(F.broadcast(widened), "column")  # one row per column of the table
-        .withColumn("index", equal_width_bucket(F.col("value"), lo, hi, bins))
+        .selectExpr("*", f"{_GUESS} AS guess")
+        .selectExpr("column", f"{bucket_sql('guess')} AS index", *facts)
         .groupBy("column", "index")
-        .agg(F.count(F.lit(1)).alias("count"), *[F.first(c).alias(c) for c in ("bins", "_lo", "_hi", *carry)])
+        .agg(F.expr("count(*) AS count"), *[F.expr(f"first({c}) AS {c}") for c in facts])
     )
-    following = F.lead("index").over(Window.partitionBy("column").orderBy("index"))
-    last = F.coalesce(following, F.col("bins")) - 1
     # A flat column fills one middle bin only: reach down to bin 0 from the first filled one.
-    first_filled = F.lag("index").over(Window.partitionBy("column").orderBy("index")).isNull()
-    start = F.when(first_filled, F.lit(0).cast("bigint")).otherwise(F.col("index"))
-    slots = counted.withColumn("slot", F.sequence(start, last)).select(
-        "column", F.col("index").alias("filled"), F.explode("slot").alias("index"), "count", "bins", "_lo", "_hi", *carry
+    neighbour = "OVER (PARTITION BY column ORDER BY index)"
+    start = f"IF(lag(index) {neighbour} IS NULL, 0, index)"
+    last = f"coalesce(lead(index) {neighbour}, bins) - 1"
+    slots = counted.selectExpr("*", f"sequence({start}, {last}) AS slots").selectExpr(
+        "column", "index AS filled", "explode(slots) AS index", "count", *facts
     )
-    at = F.col("index")
-    return slots.select(
+    return slots.selectExpr(
         "column",
         "index",
-        bin_edge(at, lo, hi, bins).alias("left_value"),
-        bin_edge(at + 1, lo, hi, bins).alias("right_value"),
-        F.when(at == F.col("filled"), F.col("count")).otherwise(F.lit(0)).cast("bigint").alias("count"),
+        f"{edge_sql('index')} AS left_value",
+        f"{edge_sql('index + 1')} AS right_value",
+        "IF(index = filled, count, 0) AS count",
         *carry,
     )
 
 
+_GUESS = "least(floor((value - lo) * bins / (hi - lo)), bins - 1)"
+
+
 def _labelled(bins: DataFrame) -> DataFrame:
     return bins.select(
         "column",
@@ -134,14 +140,13 @@ def _labelled(bins: DataFrame) -> DataFrame:
 def _layout(df: DataFrame, columns: list[str], method: str, *, strip: bool = False) -> DataFrame:
     """``(column, n, lo, hi, bins)`` for columns that hold a value."""
     if method in ("sturges", "rice", "sqrt", "doane", "scott", "custom"):
+        shape = {"doane": "skewness", "scott": "stddev_pop"}.get(method)
         parts = []
         for c in columns:
-            value = as_number(df, c, strip=strip)
-            part = {"column": constant(c), "n": F.count(value), "lo": F.min(value), "hi": F.max(value)}
-            if method == "doane":
-                part["shape"] = F.skewness(value)
-            if method == "scott":
-                part["shape"] = F.stddev_pop(value)
+            value = number_sql(df, c, strip=strip)
+            part = {"column": literal(c), "n": f"count({value})", "lo": f"min({value})", "hi": f"max({value})"}
+            if shape:
+                part["shape"] = f"{shape}({value})"
             parts.append(part)
         found = per_column(df, parts).filter("n > 0")
     else:
@@ -151,26 +156,17 @@ def _layout(df: DataFrame, columns: list[str], method: str, *, strip: bool = Fal
 
 def rule_bins(method: str) -> Column:
     """Bins from a row of ``n, lo, hi`` and, by rule, ``q1, q3`` or ``shape``."""
-    n, span = F.col("n").cast("double"), F.col("hi") - F.col("lo")
-
-    def by_width(width: Column) -> Column:
-        return F.ceil(span / F.when(width == 0, 1.0).otherwise(width))
-
-    if method == "sturges":
-        chosen = F.ceil(F.log2(n) + 1)
-    elif method == "rice":
-        chosen = F.ceil(2 * F.cbrt(n))
-    elif method == "sqrt":
-        chosen = F.ceil(F.sqrt(n))
-    elif method == "doane":
-        biased = F.coalesce(F.nanvl(F.col("shape"), F.lit(0.0)), F.lit(0.0))
-        skew = F.try_divide(F.sqrt(n * (n - 1)) * biased, n - 2)
-        spread = F.sqrt(6 * (n - 2) / ((n + 1) * (n + 3)))
-        chosen = F.floor(1 + F.log2(n) + F.log2(1 + F.try_divide(F.abs(skew), spread)))
-    elif method == "scott":
-        chosen = by_width(3.5 * F.col("shape") / F.cbrt(n))
-    elif method == "custom":
-        chosen = F.lit(fixed.CUSTOM_BINS)
-    else:
-        chosen = by_width(2 * (F.col("q3") - F.col("q1")) / F.cbrt(n))
-    return F.greatest(F.coalesce(chosen.cast("bigint"), F.lit(1)), F.lit(1)).cast("bigint")
+    by_width = "ceil((hi - lo) / IF({width} = 0, 1D, {width}))"
+    n = "CAST(n AS DOUBLE)"
+    skew = f"try_divide(sqrt({n} * ({n} - 1)) * coalesce(nanvl(shape, 0D), 0D), {n} - 2)"
+    spread = f"sqrt(6 * ({n} - 2) / (({n} + 1) * ({n} + 3)))"
+    rules = {
+        "sturges": f"ceil(log2({n}) + 1)",
+        "rice": f"ceil(2 * cbrt({n}))",
+        "sqrt": f"ceil(sqrt({n}))",
+        "doane": f"floor(1 + log2({n}) + log2(1 + try_divide(abs({skew}), {spread})))",
+        "scott": by_width.format(width=f"(3.5D * shape / cbrt({n}))"),
+        "custom": str(fixed.CUSTOM_BINS),
+    }
+    chosen = rules.get(method, by_width.format(width=f"(2 * (q3 - q1) / cbrt({n}))"))
+    return F.expr(f"greatest(coalesce(CAST({chosen} AS BIGINT), 1L), 1L)")

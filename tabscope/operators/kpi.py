@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions import fixed
-from tabscope.functions.reshape import constant, literal_rows, per_column
+from tabscope.functions.reshape import literal_rows, per_column
 from tabscope.functions.scalars import (
     Names,
     as_list,
-    as_number,
     capitalize,
     field_type,
-    order_key,
-    ref,
+    key_sql,
+    literal,
+    number_sql,
+    quoted,
     two_decimals,
 )
 from tabscope.operators.quantiles import quantile_table
@@ -25,19 +26,22 @@ def _check(aggregation: str, allowed: tuple[str, ...]) -> None:
         raise ValueError(f"Invalid aggregation method: {aggregation}")
 
 
-def _number(aggregation: str, value: Column) -> Column:
-    if aggregation == "sum":
-        return F.coalesce(F.sum(value), F.lit(0.0))
-    simple = {
-        "average": F.avg,
-        "minimum": F.min,
-        "maximum": F.max,
-        "count": F.count,
-        "count_distinct": F.count_distinct,
-        "std_deviation": F.stddev_samp,
-        "variance": F.var_samp,
-    }
-    return simple[aggregation](value).cast("double")
+_NUMBER_SQL = {
+    "sum": "coalesce(sum({0}), 0D)",
+    "average": "avg({0})",
+    "minimum": "min({0})",
+    "maximum": "max({0})",
+    "count": "CAST(count({0}) AS DOUBLE)",
+    "count_distinct": "CAST(count(DISTINCT {0}) AS DOUBLE)",
+    "std_deviation": "stddev_samp({0})",
+    "variance": "var_samp({0})",
+}
+_CATEGORY_SQL = {
+    "first": "min_by(CAST({0} AS STRING), {1})",
+    "last": "max_by(CAST({0} AS STRING), {1})",
+    "count": "CAST(count(*) AS STRING)",
+    "count_distinct": "CAST(count(DISTINCT {0}) AS STRING)",
+}
 
 
 def _card(df: DataFrame, aggregation: str) -> DataFrame:
@@ -62,7 +66,8 @@ def kpi_number(df: DataFrame, aggregation: str, fields: Names) -> DataFrame:
         middle = quantile_table(df, names, {"value": 0.5}).select(F.col("column").alias("field"), "value")
         cards = listed.join(F.broadcast(middle), "field", "left")
     else:
-        parts = [{"field": constant(c), "value": _number(aggregation, as_number(df, c))} for c in names]
+        sql = _NUMBER_SQL[aggregation]
+        parts = [{"field": literal(c), "value": sql.format(number_sql(df, c))} for c in names]
         cards = per_column(df, parts)
     return _card(cards.withColumn("value_text", two_decimals(F.col("value"))), aggregation)
 
@@ -73,18 +78,12 @@ def kpi_category(df: DataFrame, aggregation: str, fields: Names, order_by: Names
     ``first`` and ``last`` follow ``order_by``; ``count`` counts rows.
     """
     _check(aggregation, fixed.CATEGORY_AGGREGATIONS)
-    parts = []
-    for name in as_list(fields):
+    names = as_list(fields)
+    for name in names:
         field_type(df, name)
-        column = ref(name)
-        if aggregation in ("first", "last"):
-            pick = F.min_by if aggregation == "first" else F.max_by
-            value = pick(column.cast("string"), order_key(order_by or []))
-        elif aggregation == "count":
-            value = F.count(F.lit(1)).cast("string")
-        else:
-            value = F.count_distinct(column).cast("string")
-        parts.append({"field": constant(name), "value": value})
+    at = key_sql(order_by or []) if aggregation in ("first", "last") else ""
+    sql = _CATEGORY_SQL[aggregation]
+    parts = [{"field": literal(c), "value": sql.format(quoted(c), at)} for c in names]
     cards = per_column(df, parts)
     return _card(cards.withColumn("value_text", F.col("value")), aggregation)
 

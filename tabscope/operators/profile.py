@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions import fixed
-from tabscope.functions.reshape import SLOTS, constant, long_numbers, long_text, long_typed, per_column
+from tabscope.functions.reshape import SLOTS, literal_rows, long_numbers, long_text, long_typed, per_column
 from tabscope.functions.scalars import (
     Names,
     as_list,
-    as_number,
-    epoch_micros,
     field_type,
     is_moment,
-    iso_text,
-    known,
+    iso_sql,
+    known_sql,
+    literal,
+    number_sql,
     numeric_columns,
-    ref,
+    quoted,
 )
 from tabscope.operators.histogram import binned, datetime_histogram, rule_bins
 from tabscope.operators.quantiles import exact_quantiles, quantile_table
@@ -54,38 +54,35 @@ def _comparable(df: DataFrame, columns: list[str]) -> list[str]:
 # --- parts ----------------------------------------------------------------------------------
 
 
-def _valid(df: DataFrame, name: str) -> Column:
-    return as_number(df, name) if column_kind(df, name) == "NUMERIC" else known(df, name)
+def _counts(df: DataFrame, name: str) -> dict[str, str]:
+    valid = number_sql(df, name) if column_kind(df, name) == "NUMERIC" else known_sql(df, name)
+    return {
+        "total_count": "count(*)",
+        "non_null_count": f"count({known_sql(df, name)})",
+        "valid_count": f"count({valid})",
+    }
 
 
 def profile_counts(df: DataFrame, columns: Names | None = None) -> DataFrame:
     """``(column, total_count, non_null_count, valid_count)``; infinities are present but not valid."""
-    parts = [
-        {
-            "column": constant(c),
-            "total_count": F.count(F.lit(1)),
-            "non_null_count": F.count(known(df, c)),
-            "valid_count": F.count(_valid(df, c)),
-        }
-        for c in as_list(columns) or df.columns
-    ]
-    return per_column(df, parts)
+    names = as_list(columns) or df.columns
+    return per_column(df, [{"column": literal(c), **_counts(df, c)} for c in names])
 
 
-def _moments(value: Column) -> dict[str, Column]:
+def _moments(value: str) -> dict[str, str]:
     return {
-        "finite_count": F.count(value),
-        "mean": F.avg(value),
-        "standard_deviation": F.stddev_pop(value),
-        "minimum": F.min(value),
-        "maximum": F.max(value),
+        "finite_count": f"count({value})",
+        "mean": f"avg({value})",
+        "standard_deviation": f"stddev_pop({value})",
+        "minimum": f"min({value})",
+        "maximum": f"max({value})",
     }
 
 
 def profile_numeric(df: DataFrame, columns: Names | None = None) -> DataFrame:
     """``(column, finite_count, mean, standard_deviation, minimum, maximum)``, population deviation."""
     names = _of_kind(df, "NUMERIC", columns)
-    return per_column(df, [{"column": constant(c), **_moments(as_number(df, c))} for c in names])
+    return per_column(df, [{"column": literal(c), **_moments(number_sql(df, c))} for c in names])
 
 
 def quantiles(
@@ -96,27 +93,19 @@ def quantiles(
     return exact_quantiles(df, names, points).select("column", "point", "value")
 
 
-def _mean_moment(column: Column) -> Column:
-    """Mean of timestamps, summed exactly and cut to whole microseconds."""
-    micros = epoch_micros(column)
-    total = F.sum(micros.cast("decimal(38,0)"))
-    rest = F.pmod(total, F.count(micros).cast("decimal(20,0)"))
-    whole = F.try_divide(total - rest, F.count(micros).cast("decimal(20,0)"))
-    return F.timestamp_micros(whole.cast("bigint"))
-
-
-def _moment_parts(column: Column) -> dict[str, Column]:
-    return {
-        "mean": iso_text(_mean_moment(column)),
-        "minimum": iso_text(F.min(column)),
-        "maximum": iso_text(F.max(column)),
-    }
+def _moment_parts(name: str) -> dict[str, str]:
+    """Mean, summed exactly and cut to whole microseconds, and extremes as ISO text."""
+    moment = f"CAST({quoted(name)} AS TIMESTAMP)"
+    micros = f"CAST(unix_micros({moment}) AS DECIMAL(38, 0))"
+    total, n = f"sum({micros})", f"CAST(count({micros}) AS DECIMAL(20, 0))"
+    mean = f"timestamp_micros(CAST(try_divide({total} - pmod({total}, {n}), {n}) AS BIGINT))"
+    return {"mean": iso_sql(mean), "minimum": iso_sql(f"min({moment})"), "maximum": iso_sql(f"max({moment})")}
 
 
 def profile_datetime(df: DataFrame, columns: Names | None = None) -> DataFrame:
     """``(column, mean, minimum, maximum)`` as ISO text."""
     names = _of_kind(df, "DATE_TIME", columns)
-    return per_column(df, [{"column": constant(c), **_moment_parts(ref(c))} for c in names])
+    return per_column(df, [{"column": literal(c), **_moment_parts(c)} for c in names])
 
 
 def text_counts(df: DataFrame, columns: Names | None = None) -> DataFrame:
@@ -159,10 +148,10 @@ def distinct_per_column(df: DataFrame, columns: Names | None = None, *, approxim
     """``(column, unique_value_count)`` of present values."""
     names = as_list(columns) or _comparable(df, df.columns)
     if approximate:
-        parts = [
-            {"column": constant(c), "unique_value_count": F.approx_count_distinct(known(df, c))} for c in names
-        ]
-        return per_column(df, parts)
+        distinct = "approx_count_distinct({0})".format
+        return per_column(
+            df, [{"column": literal(c), "unique_value_count": distinct(known_sql(df, c))} for c in names]
+        )
     # One expanded pass: every value meets its equals by hash, whatever the number of columns.
     found = (
         long_typed(df, names)
@@ -171,7 +160,7 @@ def distinct_per_column(df: DataFrame, columns: Names | None = None, *, approxim
         .groupBy("column")
         .agg(F.count(F.lit(1)).alias("found"))
     )
-    listed = per_column(df, [{"column": constant(c), "rows": F.count(F.lit(1))} for c in names])
+    listed = literal_rows(df.sparkSession, [{"column": c} for c in names])
     return listed.join(F.broadcast(found), "column", "left").select(
         "column", F.coalesce("found", F.lit(0)).alias("unique_value_count")
     )
@@ -191,24 +180,22 @@ def _head(df: DataFrame) -> DataFrame:
     parts = []
     for i, c in enumerate(df.columns):
         kind = column_kind(df, c)
-        none = constant(None, "double")
-        moments = _moments(as_number(df, c)) if kind == "NUMERIC" else {}
-        dates = _moment_parts(ref(c)) if kind == "DATE_TIME" else {}
+        moments = _moments(number_sql(df, c)) if kind == "NUMERIC" else {}
+        dates = _moment_parts(c) if kind == "DATE_TIME" else {}
         parts.append(
             {
-                "position": constant(i, "int"),
-                "column": constant(c),
-                "original_type": constant(df.schema[c].dataType.simpleString()),
-                "type": constant(kind),
-                "extended_type": constant(extended_kind(df, c)),
-                "total_count": F.count(F.lit(1)),
-                "non_null_count": F.count(known(df, c)),
-                "valid_count": F.count(_valid(df, c)),
-                "finite_count": moments.get("finite_count", constant(None, "bigint")),
-                **{n: moments.get(n, none) for n in ("mean", "standard_deviation", "minimum", "maximum")},
-                "mean_date": dates.get("mean", constant(None)),
-                "minimum_date": dates.get("minimum", constant(None)),
-                "maximum_date": dates.get("maximum", constant(None)),
+                "position": str(i),
+                "column": literal(c),
+                "original_type": literal(df.schema[c].dataType.simpleString()),
+                "type": literal(kind),
+                "extended_type": literal(extended_kind(df, c)),
+                **_counts(df, c),
+                "finite_count": moments.get("finite_count", "CAST(NULL AS BIGINT)"),
+                **{
+                    n: moments.get(n, "CAST(NULL AS DOUBLE)")
+                    for n in ("mean", "standard_deviation", "minimum", "maximum")
+                },
+                **{f"{n}_date": dates.get(n, literal(None)) for n in ("mean", "minimum", "maximum")},
             }
         )
     return per_column(df, parts)
@@ -228,8 +215,8 @@ def profile(df: DataFrame, *, detect_dates: bool = True) -> DataFrame:
         quartiles = quantile_table(df, numbers, QUARTILES).withColumn("histogram_bins", rule_bins("fd"))
         quartiles = quartiles.drop("n", "lo", "hi")
     else:
-        quartiles = out.select("column", *[constant(None, "double").alias(q) for q in QUARTILES]).withColumn(
-            "histogram_bins", constant(None, "bigint")
+        quartiles = out.select("column", *[F.lit(None).cast("double").alias(q) for q in QUARTILES]).withColumn(
+            "histogram_bins", F.lit(None).cast("bigint")
         )
     texts = _comparable(df, _of_kind(df, "STRING", None))
     if texts:
@@ -237,9 +224,9 @@ def profile(df: DataFrame, *, detect_dates: bool = True) -> DataFrame:
     else:
         common = out.select(
             "column",
-            constant(None).alias("most_common_value"),
-            constant(None, "bigint").alias("most_common_value_count"),
-            constant(None, "bigint").alias("unique_value_count"),
+            F.lit(None).cast("string").alias("most_common_value"),
+            F.lit(None).cast("bigint").alias("most_common_value_count"),
+            F.lit(None).cast("bigint").alias("unique_value_count"),
         )
     return out.join(F.broadcast(quartiles), "column", "left").join(F.broadcast(common), "column", "left")
 
@@ -287,8 +274,8 @@ def profile_documents(df: DataFrame, *, detect_dates: bool = True) -> DataFrame:
         )
         out = out.join(F.broadcast(shaped), "column", "left")
     else:
-        out = out.withColumn("buckets", constant(None, bucket_type)).withColumn(
-            "quantiles", constant(None, "array<struct<point:double,value:double>>")
+        out = out.withColumn("buckets", F.lit(None).cast(bucket_type)).withColumn(
+            "quantiles", F.lit(None).cast("array<struct<point:double,value:double>>")
         )
     if dates:
         bucket = F.struct("index", "label", "left_value", "right_value", "count")
@@ -297,15 +284,15 @@ def profile_documents(df: DataFrame, *, detect_dates: bool = True) -> DataFrame:
         )
         out = out.join(F.broadcast(shaped), "column", "left")
     else:
-        out = out.withColumn("date_buckets", constant(None, date_bucket_type))
+        out = out.withColumn("date_buckets", F.lit(None).cast(date_bucket_type))
     if texts:
         out = out.join(F.broadcast(profile_string(df, texts)), "column", "left")
     else:
         out = (
-            out.withColumn("most_common_value", constant(None))
-            .withColumn("most_common_value_count", constant(None, "bigint"))
-            .withColumn("counts", constant(None, "array<struct<key:string,value:bigint>>"))
-            .withColumn("unique_value_count", constant(None, "bigint"))
+            out.withColumn("most_common_value", F.lit(None).cast("string"))
+            .withColumn("most_common_value_count", F.lit(None).cast("bigint"))
+            .withColumn("counts", F.lit(None).cast("array<struct<key:string,value:bigint>>"))
+            .withColumn("unique_value_count", F.lit(None).cast("bigint"))
         )
 
     no_buckets, no_date_buckets = F.array().cast(bucket_type), F.array().cast(date_bucket_type)

@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions import fixed
-from tabscope.functions.reshape import constant, literal_rows, long_numbers, per_column
+from tabscope.functions.reshape import literal_rows, long_numbers, per_column
 from tabscope.functions.scalars import (
     Names,
     any_of,
     as_list,
     as_number,
     known,
+    known_sql,
+    literal,
     measure_columns,
+    number_sql,
     order_key,
     ref,
     reject_maps,
@@ -94,13 +97,8 @@ def iqr_bounds(df: DataFrame, columns: Names | None = None, fence: float = fixed
     names = as_list(columns) or measure_columns(df)
     quartiles = quantile_table(df, names, {"q1": 0.25, "q3": 0.75})
     spread = F.col("q3") - F.col("q1")
-    return quartiles.select(
-        "column",
-        "q1",
-        "q3",
-        (F.col("q1") - fence * spread).alias("lower"),
-        (F.col("q3") + fence * spread).alias("upper"),
-    )
+    lower, upper = (F.col("q1") - fence * spread).alias("lower"), (F.col("q3") + fence * spread).alias("upper")
+    return quartiles.select("column", "q1", "q3", lower, upper)
 
 
 def z_bounds(df: DataFrame, columns: Names | None = None) -> DataFrame:
@@ -108,9 +106,9 @@ def z_bounds(df: DataFrame, columns: Names | None = None) -> DataFrame:
     names = as_list(columns) or measure_columns(df)
     parts = [
         {
-            "column": constant(c),
-            "mean": F.avg(as_number(df, c)),
-            "deviation": F.stddev_pop(as_number(df, c)),
+            "column": literal(c),
+            "mean": f"avg({number_sql(df, c)})",
+            "deviation": f"stddev_pop({number_sql(df, c)})",
         }
         for c in names
     ]
@@ -165,9 +163,7 @@ def outlier_values(df: DataFrame, columns: Names | None = None, *, skip_nullable
     names = as_list(columns) or measure_columns(df)
     limits = outlier_limits(df, names)
     if skip_nullable:
-        whole = [
-            {"column": constant(c), "gaps": F.count(F.lit(1)) - F.count(known(df, c))} for c in names
-        ]
+        whole = [{"column": literal(c), "gaps": f"count(*) - count({known_sql(df, c)})"} for c in names]
         limits = limits.join(F.broadcast(per_column(df, whole).filter("gaps = 0")), "column", "left_semi")
     numbers = long_numbers(df, names)
     flagged = numbers.join(F.broadcast(limits), "column").filter(is_outlier(F.col("value")))

@@ -1,7 +1,7 @@
 """Exact quantiles of many columns without gathering a column in one place.
 
 ``percentile`` keeps every distinct value of a column in one task. Here the wanted ranks are
-narrowed down instead: a first pass takes approximate fences, a second counts the rows between
+narrowed down instead: a first pass sketches approximate fences, a second counts the rows between
 them, and only the few slices that hold a wanted rank are read again, counted per value and
 ranked. The fences only decide how evenly the slices are cut, never the result.
 """
@@ -10,22 +10,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.functions.reshape import constant, long_numbers, per_column
-from tabscope.functions.scalars import as_number
+from tabscope.functions.reshape import long_numbers, per_column
+from tabscope.functions.scalars import literal, number_sql
 
 FENCES = 256
 SLICES = 16
-FENCE_ACCURACY = 1_000
+SKETCH_SIZE = 800
 
 _WHOLE = ("n", "lowest", "highest")
 
 
 def _carried() -> list[Column]:
     """Facts about the whole column, alike in all of its rows."""
-    return [F.first(name).alias(name) for name in _WHOLE]
+    return [F.expr(f"first({name}) AS {name}") for name in _WHOLE]
 
 
 def exact_quantiles(
@@ -39,38 +39,26 @@ def exact_quantiles(
         raise ValueError("quantile points lie between 0 and 1")
     numbers = long_numbers(df, columns, strip=strip)
     slices = _count_slices(numbers, _fences(df, columns, strip))
-    wanted = slices.filter(F.size(_ranks_within(points, "before", "cnt")) > 0).select(
-        "column", "lo", "hi", "before", *_WHOLE
-    )
+    ranks = _ranks_within(points)
     # One row per column and wanted rank at most, so the broadcast has a fixed bound.
-    found = (
-        numbers.alias("v")
-        .join(
-            F.broadcast(wanted.alias("w")),
-            (F.col("v.column") == F.col("w.column")) & F.col("v.value").between(F.col("lo"), F.col("hi")),
-        )
-        .groupBy("v.column", "lo", "value")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.first("before").alias("skipped"), *_carried())
-    )
-    running = Window.partitionBy("column", "lo").orderBy("value")
-    ranked = found.withColumn("before", F.col("skipped") + F.sum("cnt").over(running) - F.col("cnt"))
-    hits = ranked.select(
-        "column", *_WHOLE, "value", F.explode(_ranks_within(points, "before", "cnt")).alias("hit")
+    wanted = slices.filter(f"size({ranks}) > 0").selectExpr("column", "lo", "hi", "before", *_WHOLE)
+    here = "v.column = w.column AND value BETWEEN lo AND hi"
+    found = numbers.alias("v").join(F.broadcast(wanted.alias("w")), F.expr(here))
+    counted = found.groupBy("v.column", "lo", "value").agg(
+        F.expr("count(*) AS cnt"), F.expr("first(before) AS skipped"), *_carried()
     )
-    ends = hits.groupBy("column", F.col("hit.point").alias("point")).agg(
+    running = "sum(cnt) OVER (PARTITION BY column, lo ORDER BY value ROWS UNBOUNDED PRECEDING)"
+    ranked = counted.selectExpr("column", "value", "cnt", f"skipped + {running} - cnt AS before", *_WHOLE)
+    hits = ranked.selectExpr("column", "value", *_WHOLE, f"inline({ranks})")
+    ends = hits.groupBy("column", "point").agg(
+        F.expr("max(IF(upper, NULL, value)) AS a"),
+        F.expr("max(IF(upper, value, NULL)) AS b"),
+        F.expr("max(part) AS t"),
         *_carried(),
-        F.max(F.when(~F.col("hit.upper"), F.col("value"))).alias("a"),
-        F.max(F.when(F.col("hit.upper"), F.col("value"))).alias("b"),
-        F.max("hit.part").alias("t"),
-    )
-    return ends.select(
-        "column",
-        F.col("n"),
-        F.col("lowest").alias("lo"),
-        F.col("highest").alias("hi"),
-        "point",
-        _between(F.col("a"), F.col("b"), F.col("t")).alias("value"),
     )
+    # Linear interpolation, taken from the nearer end.
+    between = "IF(t < 0.5, a + (b - a) * t, b - (b - a) * (1 - t)) AS value"
+    return ends.selectExpr("column", "n", "lowest AS lo", "highest AS hi", "point", between)
 
 
 def quantile_table(
@@ -78,98 +66,76 @@ def quantile_table(
 ) -> DataFrame:
     """``(column, n, lo, hi, <name>...)``: one row per column that holds a value."""
     found = exact_quantiles(df, columns, list(points.values()), strip=strip)
-    return found.groupBy("column").agg(
-        *[F.max(c).alias(c) for c in ("n", "lo", "hi")],
-        *[F.max(F.when(F.col("point") == p, F.col("value"))).alias(name) for name, p in points.items()],
-    )
+    picks = [f"max(IF(point = {float(p)}D, value, NULL)) AS {name}" for name, p in points.items()]
+    carried = [f"max({c}) AS {c}" for c in ("n", "lo", "hi")]
+    return found.groupBy("column").agg(*[F.expr(e) for e in (*carried, *picks)])
 
 
 def approximate_quantiles(
     df: DataFrame, columns: Sequence[str], points: Sequence[float], accuracy: int = 10_000
 ) -> DataFrame:
     """``(column, n, point, value)`` in one pass, with a rank error of ``1 / accuracy``."""
-    parts = [
-        {
-            "column": constant(c),
-            "n": F.count(as_number(df, c)),
-            "values": F.percentile_approx(as_number(df, c), list(points), accuracy),
-        }
-        for c in columns
-    ]
-    spread = F.arrays_zip(F.array(*[F.lit(p) for p in points]).alias("point"), F.col("values").alias("value"))
-    return (
-        per_column(df, parts)
-        .filter("n > 0")
-        .select("column", "n", F.explode(spread).alias("q"))
-        .select("column", "n", "q.point", "q.value")
-    )
+    grid = f"array({', '.join(f'{float(p)}D' for p in points)})"
+    parts = []
+    for c in columns:
+        value = number_sql(df, c)
+        values = f"percentile_approx({value}, {grid}, {accuracy})"
+        parts.append({"column": literal(c), "n": f"count({value})", "values": values})
+    pairs = f"inline(arrays_zip({grid} AS point, values AS value))"
+    return per_column(df, parts).filter("n > 0").selectExpr("column", "n", pairs)
 
 
 def _fences(df: DataFrame, columns: Sequence[str], strip: bool) -> DataFrame:
-    grid = [i / FENCES for i in range(FENCES + 1)]
-    parts = [
-        {
-            "column": constant(c),
-            "fences": F.percentile_approx(as_number(df, c, strip=strip), grid, FENCE_ACCURACY),
-        }
-        for c in columns
-    ]
+    grid = ",".join(str(i / FENCES) for i in range(FENCES + 1))
+    grid = f"CAST(split('{grid}', ',') AS ARRAY<DOUBLE>)"  # folded to a single constant
+    parts = []
+    for c in columns:
+        value = number_sql(df, c, strip=strip)
+        sketch = f"kll_sketch_agg_double({value}, {SKETCH_SIZE})"
+        fences = f"IF(count({value}) > 0, kll_sketch_get_quantile_double({sketch}, {grid}), NULL)"
+        parts.append({"column": literal(c), "fences": fences})
     return per_column(df, parts)
 
 
 def _count_slices(numbers: DataFrame, fences: DataFrame) -> DataFrame:
     """Row counts, extremes and the number of smaller rows for every slice of every column."""
-    placed = numbers.join(F.broadcast(fences), "column").withColumn("at", F.lit(0))
-    step = FENCES // 2
-    while step:  # binary search over the inner fences
-        ahead = F.get("fences", F.col("at") + step)
-        placed = placed.withColumn("at", F.col("at") + F.when(F.col("value") >= ahead, step).otherwise(0))
-        step //= 2
-    left, right = F.get("fences", F.col("at")), F.get("fences", F.col("at") + 1)
-    part = F.try_divide(F.col("value") - left, right - left) * SLICES
-    inner = F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor(F.coalesce(_share(part), F.lit(0.0)))))
+    # Binary search over the inner fences, one step per line; each builds on the one before.
+    steps, at, step = [], "0", FENCES // 2
+    while step:
+        steps.append(f"{at} + IF(value >= fences[{at} + {step}], {step}, 0) AS at{step}")
+        at, step = f"at{step}", step // 2
+    share = f"try_divide(value - fences[{at}], fences[{at} + 1] - fences[{at}]) * {SLICES}"
+    # Overflowing differences of huge numbers fall back to the first part.
+    part = f"IF(share >= 0 AND share <= {SLICES}, least(floor(share), {SLICES - 1}), 0)"
     counted = (
-        placed.withColumn("slice", (F.col("at") * SLICES + inner).cast("int"))
+        numbers.join(F.broadcast(fences), "column")
+        .selectExpr("column", "value", "fences", *steps, f"{share} AS share")
+        .selectExpr("column", "value", f"CAST({at} * {SLICES} + {part} AS INT) AS slice")
         .groupBy("column", "slice")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        .agg(F.expr("count(*) AS cnt"), F.expr("min(value) AS lo"), F.expr("max(value) AS hi"))
     )
     # At most FENCES * SLICES rows per column reach these windows.
-    whole = Window.partitionBy("column")
-    running = whole.orderBy("slice")
-    return (
-        counted.withColumn("before", F.sum("cnt").over(running) - F.col("cnt"))
-        .withColumn("n", F.sum("cnt").over(whole))
-        .withColumn("lowest", F.min("lo").over(whole))
-        .withColumn("highest", F.max("hi").over(whole))
+    return counted.selectExpr(
+        "column",
+        "cnt",
+        "lo",
+        "hi",
+        "sum(cnt) OVER (PARTITION BY column ORDER BY slice ROWS UNBOUNDED PRECEDING) - cnt AS before",
+        "sum(cnt) OVER (PARTITION BY column) AS n",
+        "min(lo) OVER (PARTITION BY column) AS lowest",
+        "max(hi) OVER (PARTITION BY column) AS highest",
     )
 
 
-def _share(column: Column) -> Column:
-    """A share of a slice; overflowing differences of huge numbers fall back to one slice."""
-    return F.when((column >= 0) & (column <= SLICES), column)
-
-
-def _ranks_within(points: Sequence[float], before: str, cnt: str) -> Column:
-    """The wanted ranks that lie among rows ``before .. before + cnt - 1``."""
+def _ranks_within(points: Sequence[float]) -> str:
+    """SQL for the wanted ranks that lie among rows ``before .. before + cnt - 1``."""
     ranks = []
-    for p in dict.fromkeys(points):
-        place = F.lit(float(p)) * (F.col("n") - 1)
-        lower = F.floor(place)
+    for p in dict.fromkeys(float(p) for p in points):
+        place, last = f"{p}D * (n - 1)", "n - 1"
         for upper in (False, True):
-            rank = F.least(lower + 1, F.col("n") - 1) if upper else lower
+            rank = f"least(floor({place}) + 1, {last})" if upper else f"floor({place})"
             ranks.append(
-                F.struct(
-                    F.lit(float(p)).alias("point"),
-                    F.lit(upper).alias("upper"),
-                    rank.cast("bigint").alias("rank"),
-                    (place - lower).alias("part"),
-                )
+                f"named_struct('point', {p}D, 'upper', {str(upper).lower()}, 'rank', CAST({rank} AS BIGINT), "
+                f"'part', {place} - floor({place}))"
             )
-    start = F.col(before)
-    end = start + F.col(cnt)
-    return F.filter(F.array(*ranks), lambda r: (r["rank"] >= start) & (r["rank"] < end))
-
-
-def _between(a: Column, b: Column, t: Column) -> Column:
-    """Linear interpolation, taken from the nearer end."""
-    return F.when(t < 0.5, a + (b - a) * t).otherwise(b - (b - a) * (1 - t))
+    return f"filter(array({', '.join(ranks)}), r -> r.rank >= before AND r.rank < before + cnt)"

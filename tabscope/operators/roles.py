@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions import fixed
-from tabscope.functions.reshape import constant, literal_rows, per_column
+from tabscope.functions.reshape import literal_rows, per_column
 from tabscope.functions.scalars import (
     Names,
-    order_key,
-    parse_moment,
+    key_sql,
+    literal,
+    moment_sql,
+    quoted,
     ref,
     string_columns,
     strip_numeric,
@@ -19,23 +23,23 @@ from tabscope.functions.scalars import (
 )
 
 
-def _role(df: DataFrame, name: str, order_by: Names) -> Column:
+def _role(df: DataFrame, name: str, order_by: Names) -> str:
     """Numeric by type, or text with a digit somewhere and no letter in the first row."""
     dtype = df.schema[name].dataType
     if not isinstance(dtype, T.StringType):
         nested = isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.BinaryType))
-        return constant("object" if nested else "numeric")
-    text = ref(name)
-    first = F.min_by(text, order_key(order_by))
-    lettered = F.coalesce(first.rlike("[A-Za-z]"), F.lit(True))  # a missing first value reads "None"
-    digits = F.coalesce(F.max(text.rlike(r"\d")), F.lit(False))
-    return F.when(digits & ~lettered, "numeric").otherwise("object")
+        return literal("object" if nested else "numeric")
+    text = quoted(name)
+    digits = f"coalesce(bool_or({text} RLIKE '[0-9]'), false)"
+    # A missing first value reads "None".
+    lettered = f"coalesce(min_by({text}, {key_sql(order_by)}) RLIKE '[A-Za-z]', true)"
+    return f"IF({digits} AND NOT {lettered}, 'numeric', 'object')"
 
 
 def column_roles(df: DataFrame, order_by: Names) -> DataFrame:
     """``(position, column, role)`` with role ``numeric`` or ``object``, in one pass."""
     parts = [
-        {"position": constant(i, "int"), "column": constant(c), "role": _role(df, c, order_by)}
+        {"position": str(i), "column": literal(c), "role": _role(df, c, order_by)}
         for i, c in enumerate(df.columns)
     ]
     return per_column(df, parts)
@@ -43,8 +47,8 @@ def column_roles(df: DataFrame, order_by: Names) -> DataFrame:
 
 def role_counts(df: DataFrame, order_by: Names) -> DataFrame:
     """``(count_header, count_records, all_columns, numeric_columns, object_columns)``, one row."""
-    roles = {c: F.struct(F.lit(c).alias("column"), _role(df, c, order_by).alias("role")) for c in df.columns}
-    summary = df.agg(F.count(F.lit(1)).alias("count_records"), F.array(*roles.values()).alias("roles"))
+    roles = [f"named_struct('column', {literal(c)}, 'role', {_role(df, c, order_by)})" for c in df.columns]
+    summary = df.selectExpr("count(*) AS count_records", f"array({', '.join(roles)}) AS roles")
     return summary.select(
         F.lit(len(df.columns)).alias("count_header"),
         "count_records",
@@ -65,16 +69,13 @@ def header_summary(df: DataFrame, order_by: Names) -> DataFrame:
     numbers by the time the headers are read.
     """
     texts = string_columns(df)
-    roles = [
-        F.struct(
-            F.lit(c).alias("column"),
-            _role(df, c, order_by).alias("role"),
-            (_date_format(c).isNotNull() if c in texts else constant(None, "boolean")).alias("dated"),
-        )
-        for c in df.columns
-    ]
-    summary = df.agg(F.count(F.lit(1)).alias("count_records"), F.array(*roles).alias("roles"))
-    dated = F.filter("roles", lambda r: (r["role"] == "object") & F.coalesce(r["dated"], F.lit(False)))
+    roles = []
+    for c in df.columns:
+        dated = f"{_date_format(c)} IS NOT NULL" if c in texts else "false"
+        role = _role(df, c, order_by)
+        roles.append(f"named_struct('column', {literal(c)}, 'role', {role}, 'dated', {dated})")
+    summary = df.selectExpr("count(*) AS count_records", f"array({', '.join(roles)}) AS roles")
+    dated = F.filter("roles", lambda r: (r["role"] == "object") & r["dated"])
     labels = F.transform(
         _named("numeric"), lambda c: F.struct(c.alias("value"), c.alias("label"))
     )
@@ -104,20 +105,22 @@ def typed_by_role(df: DataFrame, order_by: Names) -> DataFrame:
 # --- dates ----------------------------------------------------------------------------------
 
 
-def _date_format(name: str) -> Column:
+ALL_DATE_FORMATS = (*fixed.DATE_FORMATS, *fixed.FREE_DATE_FORMATS)
+# Rows that rule out most formats before the whole table is read.
+FIRST_LOOK = 100
+
+
+def _fits(name: str, pattern: str, shape: str) -> str:
+    return f"count({moment_sql(name, pattern, shape)}) = count({quoted(name)})"
+
+
+def _date_format(name: str) -> str:
     """First format that reads every present value of a text column, NULL if none does.
 
     The fixed formats come first, so they decide ambiguous columns; a column without any value
     passes with the first one.
     """
-    text = ref(name)
-    formats = [*fixed.DATE_FORMATS, *fixed.FREE_DATE_FORMATS]
-    return F.coalesce(
-        *[
-            F.when(F.count(parse_moment(text, pattern, shape)) == F.count(text), pattern)
-            for pattern, shape in formats
-        ]
-    )
+    return f"CASE {' '.join(f"WHEN {_fits(name, *f)} THEN '{f[0]}'" for f in ALL_DATE_FORMATS)} END"
 
 
 def date_columns(df: DataFrame) -> DataFrame:
@@ -126,13 +129,33 @@ def date_columns(df: DataFrame) -> DataFrame:
     if not texts:
         empty = literal_rows(df.sparkSession, [{"column": "", "date_format": ""}])
         return empty.filter(F.lit(False))
-    parts = [{"column": constant(c), "date_format": _date_format(c)} for c in texts]
-    return per_column(df, parts).filter(F.col("date_format").isNotNull())
+    parts = [{"column": literal(c), "date_format": _date_format(c)} for c in texts]
+    return per_column(df, parts).filter("date_format IS NOT NULL")
 
 
 def date_formats(df: DataFrame) -> dict[str, str]:
-    """The same as a dictionary; it decides a schema, so it is looked up right away."""
-    return {r["column"]: r["date_format"] for r in date_columns(df).collect()}  # one row per column
+    """The same as a dictionary; it decides a schema, so it is looked up right away.
+
+    A format has to read every value, so those that fail on a few rows need no second look: tables
+    without dates are not read as a whole.
+    """
+    texts = string_columns(df)
+    if not texts:
+        return {}
+    left = _fitting(df.select(*[ref(c) for c in texts]).limit(FIRST_LOOK), {c: ALL_DATE_FORMATS for c in texts})
+    left = _fitting(df, left) if left else left
+    return {c: formats[0][0] for c, formats in left.items()}
+
+
+def _fitting(df: DataFrame, wanted: dict[str, Sequence[tuple[str, str]]]) -> dict[str, Sequence[tuple[str, str]]]:
+    """The formats of each column that read all of its values."""
+    parts = [
+        {"column": literal(c), "fits": f"array({', '.join(_fits(c, *f) for f in formats)})"}
+        for c, formats in wanted.items()
+    ]
+    rows = per_column(df, parts).collect()  # one row per text column
+    kept = {r["column"]: [f for f, fits in zip(wanted[r["column"]], r["fits"], strict=True) if fits] for r in rows}
+    return {c: formats for c, formats in kept.items() if formats}
 
 
 def is_date_column(df: DataFrame, name: str) -> bool:
@@ -144,10 +167,10 @@ def is_date_column(df: DataFrame, name: str) -> bool:
 
 def parse_dates(df: DataFrame, formats: dict[str, str]) -> DataFrame:
     """Text columns turned into timestamps by their known formats."""
-    shapes = dict([*fixed.DATE_FORMATS, *fixed.FREE_DATE_FORMATS])
-    return df.select(
+    shapes = dict(ALL_DATE_FORMATS)
+    return df.selectExpr(
         *[
-            parse_moment(ref(c), formats[c], shapes[formats[c]]).alias(c) if c in formats else ref(c)
+            f"{moment_sql(c, formats[c], shapes[formats[c]])} AS {quoted(c)}" if c in formats else quoted(c)
             for c in df.columns
         ]
     )
@@ -158,6 +181,6 @@ def dataset_summary(df: DataFrame, file_type: str | None = None, file_size: int
     return df.agg(F.count(F.lit(1)).alias("total_rows")).select(
         "total_rows",
         F.lit(len(df.columns)).alias("total_columns"),
-        constant(file_type).alias("file_type"),
-        constant(file_size, "bigint").alias("file_size"),
+        F.lit(file_type).cast("string").alias("file_type"),
+        F.lit(file_size).cast("bigint").alias("file_size"),
     )

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions import fixed
-from tabscope.functions.reshape import constant, per_column
-from tabscope.functions.scalars import NUMBER_TEXT, ref, string_columns
+from tabscope.functions.reshape import per_column
+from tabscope.functions.scalars import NUMBER_TEXT, literal, quoted, ref, string_columns
 
 _WHOLE_TEXT = r"^\s*[+-]?\d{1,19}\s*$"
 _TRUTH_TEXT = r"^(True|TRUE|true|False|FALSE|false)$"
@@ -63,17 +63,15 @@ def narrow_types(df: DataFrame) -> DataFrame:
         return df
     parts = []
     for name in texts:
-        text, present = ref(name), F.count(ref(name))
-        whole = F.when(text.rlike(_WHOLE_TEXT), F.trim(text).try_cast("bigint"))
-        number = F.when(text.rlike(NUMBER_TEXT) | F.lower(F.trim(text)).isin(*_NON_FINITE), text)
-        truth = F.when(text.rlike(_TRUTH_TEXT), text)
+        text, present = quoted(name), f"count({quoted(name)})"
+        whole = f"count(IF({text} RLIKE r'{_WHOLE_TEXT}', try_cast(trim({text}) AS BIGINT), NULL))"
+        number = f"count_if({text} RLIKE r'{NUMBER_TEXT}' OR lower(trim({text})) IN {_NON_FINITE})"
+        truth = f"count_if({text} RLIKE '{_TRUTH_TEXT}')"
         fits = (
-            F.when(present == 0, "double")
-            .when(F.count(whole) == present, "bigint")
-            .when(F.count(number) == present, "double")
-            .when(F.count(truth) == present, "boolean")
+            f"CASE WHEN {present} = 0 THEN 'double' WHEN {whole} = {present} THEN 'bigint' "
+            f"WHEN {number} = {present} THEN 'double' WHEN {truth} = {present} THEN 'boolean' END"
         )
-        parts.append({"column": constant(name), "type": fits})
+        parts.append({"column": literal(name), "type": fits})
     found = {r["column"]: r["type"] for r in per_column(df, parts).collect()}  # one row per column
     return df.select(
         *[_cast(ref(c), found[c]).alias(c) if found.get(c) else ref(c) for c in df.columns]
