@@ -14,7 +14,6 @@ from tabscope.functions.scalars import (
     literal,
     number_sql,
     quoted,
-    ref,
     reject_maps,
 )
 
@@ -51,8 +50,6 @@ def long_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _melt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    if len(columns) == 1:
-        return df.select(F.lit(columns[0]).alias("column"), ref(columns[0]).alias("value"))
     safe = {f"c{i}": name for i, name in enumerate(columns)}
     if all("." not in name and "`" not in name for name in columns):
         return df.unpivot([], list(columns), "column", "value")
@@ -77,7 +74,7 @@ def as_text(df: DataFrame, name: str) -> Column:
     return F.expr(text_sql(df, name))
 
 
-SLOTS = ("whole", "number", "moment", "text")
+SLOTS = {"whole": "BIGINT", "number": "DOUBLE", "moment": "TIMESTAMP", "text": "STRING"}
 
 
 def slot_of(dtype: T.DataType) -> str:
@@ -91,19 +88,24 @@ def slot_of(dtype: T.DataType) -> str:
     return "text"
 
 
-def long_typed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, whole, number, moment, text)``: one row per value, in the slot of its type."""
-    types = {"whole": "BIGINT", "number": "DOUBLE", "moment": "TIMESTAMP", "text": "STRING"}
-    structs = []
+def long_typed(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """``(column, value)`` of every present value, one table per slot, so that types stay apart.
+
+    The tables read different columns, so together they read the data once.
+    """
+    by_slot: dict[str, list[str]] = {}
     for name in columns:
-        slot = slot_of(field_type(df, name))
-        value = {
-            "whole": f"CAST({quoted(name)} AS BIGINT)",
-            "number": f"nanvl(CAST({quoted(name)} AS DOUBLE), NULL) + 0D",
-            "moment": f"CAST({quoted(name)} AS TIMESTAMP)",
-            "text": text_sql(df, name) if slot == "text" else "",
-        }[slot]
-        fields = [f"'{s}', {value if s == slot else f'CAST(NULL AS {types[s]})'}" for s in SLOTS]
-        structs.append(f"named_struct('column', {literal(name)}, {', '.join(fields)})")
-    present = " OR ".join(f"{s} IS NOT NULL" for s in SLOTS)
-    return df.selectExpr(f"inline(array({', '.join(structs)}))").filter(present)
+        by_slot.setdefault(slot_of(field_type(df, name)), []).append(name)
+    out = {}
+    for slot, names in by_slot.items():
+        typed = df.selectExpr(*[f"{slot_sql(df, c, slot)} AS {quoted(c)}" for c in names])
+        out[slot] = _melt(typed, names).filter("value IS NOT NULL")
+    return out
+
+
+def slot_sql(df: DataFrame, name: str, slot: str) -> str:
+    if slot == "text":
+        return text_sql(df, name)
+    if slot == "number":
+        return f"nanvl(CAST({quoted(name)} AS DOUBLE), NULL) + 0D"
+    return f"CAST({quoted(name)} AS {SLOTS[slot]})"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,11 +87,13 @@ def impute_by_mean(df: DataFrame, columns: Names | None = None) -> DataFrame:
 def column_modes(df: DataFrame, columns: Names | None = None) -> DataFrame:
     """``(column, n, whole, number, moment, text)``: most frequent value, the lowest on a tie."""
     names = as_list(columns) or df.columns
-    counted = long_typed(df, names).groupBy("column", *SLOTS).agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("less"), *SLOTS)).alias("best")
-    return counted.groupBy("column").agg(best).select(
-        "column", (-F.col("best.less")).alias("n"), *[F.col(f"best.{s}").alias(s) for s in SLOTS]
-    )
+    found = []
+    for slot, values in long_typed(df, names).items():
+        counted = values.groupBy("column", "value").agg(F.expr("-count(*) AS less"))
+        best = counted.groupBy("column").agg(F.expr("min(struct(less, value)) AS best"))
+        slots = [f"{'best.value' if s == slot else f'CAST(NULL AS {t})'} AS {s}" for s, t in SLOTS.items()]
+        found.append(best.selectExpr("column", "-best.less AS n", *slots))
+    return reduce(DataFrame.unionByName, found)
 
 
 def impute_by_mode(df: DataFrame, columns: Names | None = None) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions import fixed
-from tabscope.functions.reshape import SLOTS, literal_rows, long_numbers, long_text, long_typed, per_column
+from tabscope.functions.reshape import literal_rows, long_numbers, long_text, long_typed, per_column
 from tabscope.functions.scalars import (
     Names,
     as_list,
@@ -134,7 +136,8 @@ def profile_string(df: DataFrame, columns: Names | None = None, limit: int = fix
     counted = text_counts(df, columns)
     entry = F.struct("position", F.col("value").alias("key"), F.col("count").alias("value"))
     top = _top(counted, limit).groupBy("column").agg(F.sort_array(F.collect_list(entry)).alias("top"))
-    unique = counted.groupBy("column").agg(F.count(F.lit(1)).alias("unique_value_count"))
+    # Asking for the counts keeps both branches alike, so that they share one shuffle.
+    unique = counted.groupBy("column").agg(F.expr("count_if(count > 0) AS unique_value_count"))
     return unique.join(F.broadcast(top), "column").select(  # one row per column
         "column",
         F.get("top", F.lit(0))["key"].alias("most_common_value"),
@@ -152,14 +155,12 @@ def distinct_per_column(df: DataFrame, columns: Names | None = None, *, approxim
         return per_column(
             df, [{"column": literal(c), "unique_value_count": distinct(known_sql(df, c))} for c in names]
         )
-    # One expanded pass: every value meets its equals by hash, whatever the number of columns.
-    found = (
-        long_typed(df, names)
-        .groupBy("column", *SLOTS)
-        .agg(F.lit(1).alias("one"))
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("found"))
-    )
+    # Every value meets its equals by hash, whatever the number of columns.
+    counts = [
+        values.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("found"))
+        for values in long_typed(df, names).values()
+    ]
+    found = reduce(DataFrame.unionByName, counts)
     listed = literal_rows(df.sparkSession, [{"column": c} for c in names])
     return listed.join(F.broadcast(found), "column", "left").select(
         "column", F.coalesce("found", F.lit(0)).alias("unique_value_count")
