@@ -81,7 +81,7 @@ def approximate_quantiles(
         value = number_sql(df, c)
         values = f"percentile_approx({value}, {grid}, {accuracy})"
         parts.append({"column": literal(c), "n": f"count({value})", "values": values})
-    pairs = f"inline(arrays_zip({grid} AS point, values AS value))"
+    pairs = f"inline(zip_with({grid}, values, (p, v) -> named_struct('point', p, 'value', v)))"
     return per_column(df, parts).filter("n > 0").selectExpr("column", "n", pairs)
 
 
