@@ -15,6 +15,7 @@ from tabscope.functions.scalars import (
     number_sql,
     quoted,
     reject_maps,
+    short_sql,
 )
 
 
@@ -88,17 +89,21 @@ def slot_of(dtype: T.DataType) -> str:
     return "text"
 
 
-def long_typed(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+def long_typed(df: DataFrame, columns: Sequence[str], *, short: bool = False) -> dict[str, DataFrame]:
     """``(column, value)`` of every present value, one table per slot, so that types stay apart.
 
-    The tables read different columns, so together they read the data once.
+    The tables read different columns, so together they read the data once. ``short`` puts digests
+    in place of long texts.
     """
     by_slot: dict[str, list[str]] = {}
     for name in columns:
         by_slot.setdefault(slot_of(field_type(df, name)), []).append(name)
     out = {}
     for slot, names in by_slot.items():
-        typed = df.selectExpr(*[f"{slot_sql(df, c, slot)} AS {quoted(c)}" for c in names])
+        values = [slot_sql(df, c, slot) for c in names]
+        if short and slot == "text":
+            values = [short_sql(v) for v in values]
+        typed = df.selectExpr(*[f"{v} AS {quoted(c)}" for c, v in zip(names, values, strict=True)])
         out[slot] = _melt(typed, names).filter("value IS NOT NULL")
     return out
 

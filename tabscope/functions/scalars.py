@@ -237,6 +237,12 @@ def is_date_text(column: Column) -> Column:
     return any_of(text.rlike(shape) for shape in fixed.DATE_SHAPES)
 
 
+def short_sql(column: str) -> str:
+    """Text for comparing: long ones by digest, so that a shuffle does not carry them."""
+    digest = f"concat('\\u0000', octet_length({column}), ':', sha2({column}, 256))"
+    return f"IF(octet_length({column}) > 128, {digest}, {column})"
+
+
 def two_decimals(column: Column) -> Column:
     return F.format_string("%.2f", column.cast("double"))
 
@@ -246,7 +252,8 @@ def two_decimals(column: Column) -> Column:
 
 def moment_sql(name: str, pattern: str, shape: str) -> str:
     """Text of that shape as a timestamp, else NULL; the shape test spares failing parses."""
-    text = f"IF({quoted(name)} RLIKE r'{shape}', {quoted(name)}, NULL)"
+    column = quoted(name)
+    text = f"IF(octet_length({column}) BETWEEN 8 AND 40 AND {column} RLIKE r'{shape}', {column}, NULL)"
     return f"try_cast({text} AS TIMESTAMP)" if pattern == "iso" else f"try_to_timestamp({text}, '{pattern}')"
 
 

@@ -15,8 +15,9 @@ from tabscope.functions.scalars import (
     order_key,
     ref,
 )
+from tabscope.sources.shared import fresh_path
 
-# Pages that begin beyond this row are read from a page index.
+# Pages that end beyond this row are read from a page index.
 DEEPEST_SCANNED_ROW = 2_000_000
 
 
@@ -86,13 +87,16 @@ def floats_as_text(df: DataFrame) -> DataFrame:
 def page_slice(df: DataFrame, order_by: Names, page: int = 1, size: int = fixed.PAGE_SIZE) -> DataFrame:
     """One page of the sorted table.
 
-    Every task keeps only the rows up to the page's end, which suits the pages people turn to. For
-    pages far down a large table use ``write_page_index`` or ``page_after``.
+    Every task keeps only the rows up to the page's end, which suits the pages people turn to. A
+    page far down a large table is cut out of a page index, written for it in the shared folder;
+    keep an index with ``write_page_index``, or go on with ``page_after``, to turn many such pages.
     """
     page, size = _checked(page, size)
     start = (page - 1) * size
     if start + size > DEEPEST_SCANNED_ROW:
-        raise ValueError("page lies too deep for a scan: use write_page_index or page_after")
+        path = fresh_path(df.sparkSession, "page-index")
+        write_page_index(df, order_by, path)
+        return read_page(df.sparkSession, path, page, size).orderBy("row_number").drop("row_number")
     return df.orderBy(*order_columns(order_by)).offset(start).limit(size)
 
 
@@ -153,14 +157,14 @@ def write_page_index(df: DataFrame, order_by: Names, path: str) -> None:
         .withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_id")
     )
-    numbered.write.mode("errorifexists").parquet(f"{path}/rows")
+    numbered.write.mode("errorifexists").partitionBy("_range").parquet(f"{path}/rows")
     spark = df.sparkSession
     stored = spark.read.parquet(f"{path}/rows")
     sizes = stored.groupBy("_range").agg(F.count(F.lit(1)).alias("size"))
     # One row per written range: as many as there were sorting tasks.
     before = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), "size")
-    starts.write.mode("errorifexists").parquet(f"{path}/ranges")
+    starts.withColumn("_range", F.col("_range").cast("bigint")).write.mode("errorifexists").parquet(f"{path}/ranges")
 
 
 def read_page(spark: SparkSession, path: str, page: int = 1, size: int = fixed.PAGE_SIZE) -> DataFrame:
@@ -170,7 +174,7 @@ def read_page(spark: SparkSession, path: str, page: int = 1, size: int = fixed.P
     ranges = spark.read.parquet(f"{path}/ranges").filter(
         (F.col("start") < end) & (F.col("start") + F.col("size") > first)
     )
-    rows = spark.read.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows").withColumn("_range", F.col("_range").cast("bigint"))
     at = F.col("start") + F.col("_row")
     return (
         rows.join(F.broadcast(ranges), "_range")  # ranges that touch the page

@@ -158,7 +158,7 @@ def distinct_per_column(df: DataFrame, columns: Names | None = None, *, approxim
     # Every value meets its equals by hash, whatever the number of columns.
     counts = [
         values.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("found"))
-        for values in long_typed(df, names).values()
+        for values in long_typed(df, names, short=True).values()
     ]
     found = reduce(DataFrame.unionByName, counts)
     listed = literal_rows(df.sparkSession, [{"column": c} for c in names])

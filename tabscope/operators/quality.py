@@ -18,8 +18,10 @@ from tabscope.functions.scalars import (
     measure_columns,
     number_sql,
     order_key,
+    quoted,
     ref,
     reject_maps,
+    short_sql,
 )
 from tabscope.operators.quantiles import quantile_table
 
@@ -64,7 +66,6 @@ def _first_of_each(df: DataFrame, subset: list[str], order_by: Names | None) ->
     if order_by is None:
         raise ValueError("copies by subset need order_by, a key that is unique per row")
     reject_maps(df, subset)
-    # Long texts are compared by digest, so that the shuffle does not carry them.
     keys = [_short(df, c).alias(f"_k{i}") for i, c in enumerate(subset)]
     return (
         df.select(*keys, order_key(order_by).alias("_at"))
@@ -77,9 +78,7 @@ def _first_of_each(df: DataFrame, subset: list[str], order_by: Names | None) ->
 def _short(df: DataFrame, name: str) -> Column:
     if df.schema[name].dataType.typeName() != "string":
         return ref(name)
-    text = ref(name)
-    digest = F.concat(F.lit("\u0000"), F.length(text).cast("string"), F.lit(":"), F.sha2(text, 256))
-    return F.when(F.length(text) > 128, digest).otherwise(text)
+    return F.expr(short_sql(quoted(name)))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:

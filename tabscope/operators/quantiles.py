@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from tabscope.functions.reshape import long_numbers, per_column
 from tabscope.functions.scalars import literal, number_sql
 
-FENCES = 256
-SLICES = 16
-SKETCH_SIZE = 800
+# A slice holds about one 4096th of the rows, and a few thousandths at worst.
+FENCES = 1024
+SLICES = 4
+SKETCH_SIZE = 4_000
 
 _WHOLE = ("n", "lowest", "highest")
 

@@ -38,7 +38,7 @@ def read_csv(
     options = {"header": True, "sep": sep, "encoding": encoding, "quote": '"', "escape": '"'}
     names = spark.read.options(**options).csv(path).columns  # reads the header line
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SPARE]])
-    # Without column pruning the parser sees every cell, so the spare one is always filled in.
+    # The filter asks for the spare cell, so it is parsed whatever columns are read later.
     raw = spark.read.options(**options, mode="PERMISSIVE", enforceSchema=True).schema(schema).csv(path)
     kept = raw.filter(F.col(_SPARE).isNull())
     cells = [F.when(~ref(n).isin(*missing), ref(n)).alias(n) for n in names]

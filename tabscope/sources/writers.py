@@ -18,15 +18,17 @@ def write_cleansed(df: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
-def write_tables(cells: DataFrame, path: str) -> None:
+def write_tables(cells: DataFrame, path: str, *, folder_per_table: bool = True) -> None:
     """Scraped rows as headerless CSV, one folder per page and table, led by the row's index.
 
-    A page is read by one task, so every table ends up in one file.
+    A page is read by one task, so every table ends up in one file. For more tables than a file
+    system likes folders, ``folder_per_table=False`` puts page and table in front of each row.
     """
     wide = widen_table_cells(cells)
-    wide.sortWithinPartitions("page_id", "table_index", "row_index").write.partitionBy(
-        "page_id", "table_index"
-    ).mode("errorifexists").csv(path, header=False, escape='"')
+    writer = wide.sortWithinPartitions("page_id", "table_index", "row_index").write.mode("errorifexists")
+    if folder_per_table:
+        writer = writer.partitionBy("page_id", "table_index")
+    writer.csv(path, header=False, escape='"')
 
 
 def append_profile(profile: DataFrame, file_id: str, project_id: str, path: str) -> None:

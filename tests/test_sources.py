@@ -150,6 +150,8 @@ def test_html_job(spark):
     writers.write_tables(rows, path)
     stored = spark.read.csv(f"{path}/page_id=1/table_index=0").collect()
     assert [tuple(r)[:3] for r in stored] == [("0", "A", "b"), ("1", "c", None)]
+    writers.write_tables(rows, f"{path}-flat", folder_per_table=False)
+    assert spark.read.csv(f"{path}-flat").count() == rows.count()
 
 
 def test_many_rows_per_page(spark):
