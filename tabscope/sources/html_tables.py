@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -19,6 +20,7 @@ _ARROW = pa.schema(
     ]
 )
 _ROWS_PER_BATCH = 5_000
+_TABLE_TAG = re.compile(r"</?table[^>]*>?", re.IGNORECASE | re.ASCII)
 
 
 class _TableReader(HTMLParser):
@@ -76,6 +78,9 @@ class _TableReader(HTMLParser):
                 if name == "td":
                     cell.append(data)
 
+    def tables_open(self) -> bool:
+        return any(name == "table" for name, _ in self._open)
+
     def _inside(self, tag: str, within: str | None = None) -> bool:
         for name, _ in reversed(self._open):
             if name == tag:
@@ -96,7 +101,11 @@ def table_rows(html: str | None) -> Iterator[tuple[int, int, list[str]]]:
     if not html:
         return
     reader = _TableReader()
-    reader.feed(html)
+    # Behind the last table tag no table begins; once all are closed there, the rest adds nothing.
+    cut = max((tag.end() for tag in _TABLE_TAG.finditer(html)), default=0)
+    reader.feed(html[:cut])
+    if reader.tables_open() or reader.rawdata:  # rawdata: a tag or comment that is not complete yet
+        reader.feed(html[cut:])
     reader.close()
     kept = 0
     for table in reader.tables:

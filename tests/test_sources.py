@@ -126,6 +126,9 @@ PAGES = {
     3: "no tables, a < b",
     4: "<table><tr><td>a<script>var x = '<td>';</script><!-- <td>no --><td><b>b</b> c<tr><td>d</table>tail",
     5: None,
+    6: "<table><tr><td>a<td>open to the end",
+    7: "<!-- <table><tr><td>no</table> --><p title='</table'>x</p><table><tr><td title='<table>'>yes</table>rest",
+    8: "<table title='<table>'><tr><td>quoted",
 }
 
 
@@ -134,6 +137,8 @@ def test_html_rules():
     assert found[1] == [(0, 0, ["A", "b"]), (0, 1, ["c"]), (1, 0, ["d"])]
     assert found[2] == [(0, 0, ["outin", "in", "end"]), (0, 1, ["in"]), (1, 0, ["in"])]
     assert found[3] == [] and found[5] == []
+    assert found[6] == [(0, 0, ["a", "open to the end"])] and found[7] == [(0, 0, ["yes"])]
+    assert found[8] == [(0, 0, ["quoted"])]
     assert found[4] == [(0, 0, ["a", "b c"]), (0, 1, ["d"])]
 
 
