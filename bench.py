@@ -23,7 +23,7 @@ HEADLINES = [
     "outlier_values",
     "quantiles",
     "histogram_fd",
-    "profile_table",
+    "profile",
     "duplicate_rows",
     "duplicate_rows_many_copies",
     "delete_duplicate_row_by_text",
@@ -32,7 +32,7 @@ HEADLINES = [
     "map_join",
     "latest_per_key",
     "page_slice",
-    "html_table_rows",
+    "html_tables",
 ]
 
 

@@ -38,6 +38,14 @@ def _query(make: Query) -> Query:
     return make
 
 
+def _query_as(name: str) -> Callable[[Query], Query]:
+    def register(make: Query) -> Query:
+        _registered[name] = make
+        return make
+
+    return register
+
+
 def catalog() -> dict[str, Query]:
     return dict(_registered)
 
@@ -336,7 +344,7 @@ def remove_missing_cell(spark: SparkSession, folder: str) -> DataFrame:
     return cleanse.remove_missing_cell(customer_gaps(spark, folder), "c_custkey")
 
 
-@_query
+@_query_as("cleanse")
 def cleanse_steps(spark: SparkSession, folder: str) -> DataFrame:
     narrow = lineitem_gaps(spark, folder).select("l_returnflag", "l_linenumber", "l_tax", "l_discount")
     return cleanse.cleanse(narrow, ["delete_duplicate_row", "delete_missing_row"])
@@ -595,7 +603,7 @@ def distinct_per_column(spark: SparkSession, folder: str) -> DataFrame:
     return profile.distinct_per_column(lineitem_gaps(spark, folder))
 
 
-@_query
+@_query_as("profile")
 def profile_table(spark: SparkSession, folder: str) -> DataFrame:
     flat = profile.profile(table(spark, folder, "lineitem"))
     return rounded(flat, 4, "mean", "standard_deviation", "q1", "q2", "q3")
@@ -726,7 +734,7 @@ def files_of_projects(spark: SparkSession, folder: str) -> DataFrame:
 # --- sources and sinks ----------------------------------------------------------------------
 
 
-@_query
+@_query_as("html_tables")
 def html_table_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Every page with a table put before its own text; the rest of the page holds none."""
     lead = F.concat(

@@ -450,7 +450,7 @@ def oracle() -> dict[str, str]:
         "remove_missing_cell": f"""SELECT c_custkey, 'c_acctbal' AS "column", CAST(c_acctbal AS VARCHAR) AS value
             FROM {CUSTOMER_GAPS} WHERE c_acctbal IS NOT NULL
             UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM {CUSTOMER_GAPS} WHERE c_mktsegment IS NOT NULL""",
-        "cleanse_steps": f"""SELECT DISTINCT l_returnflag, l_linenumber, l_tax, l_discount FROM {LINEITEM_GAPS}
+        "cleanse": f"""SELECT DISTINCT l_returnflag, l_linenumber, l_tax, l_discount FROM {LINEITEM_GAPS}
             WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL AND l_returnflag IS NOT NULL""",
         "kpi_cards": _number_cards("average", "lineitem", MEASURES),
         "cards_of_raw_text": f"""SELECT 'amount' AS field, 'sum' AS aggregation, round(sum(o_custkey)::DOUBLE, 4) AS value,
@@ -565,7 +565,7 @@ def oracle() -> dict[str, str]:
             """'{c}' AS "column", count(DISTINCT {c}) AS unique_value_count""",
             LINEITEM_GAPS,
         ),
-        "profile_table": _profile_table(),
+        "profile": _profile_table(),
         "profile_documents": _profile_documents(),
         "column_analysis": _column_analysis(),
         "type_mix": _type_mix(),
@@ -592,7 +592,7 @@ def oracle() -> dict[str, str]:
         "files_of_project": f"SELECT _id, filename FROM {FILE_RECORDS} WHERE project_id = '70'",
         "files_of_projects": f"""SELECT _id, filename FROM {FILE_RECORDS} WHERE project_id IN
             (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_mktsegment = 'BUILDING')""",
-        "html_table_rows": """SELECT page_id, 0 AS table_index, 0 AS row_index, 'Page|Address' AS cells FROM pages
+        "html_tables": """SELECT page_id, 0 AS table_index, 0 AS row_index, 'Page|Address' AS cells FROM pages
             UNION ALL SELECT page_id, 0, 1, page_id || '|<' || url || '>' FROM pages
             UNION ALL SELECT page_id, 1, 0, CAST(length(url) AS VARCHAR) FROM pages""",
         "widen_table_cells": """SELECT o_orderkey AS page_id, 0 AS table_index, 0 AS row_index, o_orderstatus AS c0,

@@ -138,6 +138,14 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
+def stream_json_lines(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
+    """JSON lines as a stream of the files that arrive in a folder."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(path)
+
+
 def read_table(spark: SparkSession, path: str, *, encoding: str = "UTF-8") -> DataFrame:
     """A data set by its file extension: csv, json or txt."""
     extension = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""

@@ -1,4 +1,5 @@
 from tabscope.operators import profile
+from tabscope.sources import readers
 from tabscope.sources.shared import fresh_path
 from tabscope.streaming import running
 
@@ -28,6 +29,14 @@ def test_running_profile_equals_the_batch_profile(spark):
     assert running.read_running(result, out).first()["finite_count"] == 60
 
 
+def test_json_lines_arrive_in_batches(spark):
+    path = fresh_path(spark, "lines")
+    spark.range(30).selectExpr("id % 2 AS k").repartition(3).write.json(path)
+    stream = readers.stream_json_lines(spark, path, "k bigint", files_per_batch=1)
+    final = running.run_to_end(running.stream_value_counts(stream, "k"), "lines")
+    assert {r["k"]: r["count"] for r in final.collect()} == {0: 15, 1: 15}
+
+
 def test_running_counts(spark):
     path = fresh_path(spark, "in")
     batches(spark, path, [(0, 10), (10, 50)])
