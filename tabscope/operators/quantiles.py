@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions.reshape import long_numbers, per_column
-from tabscope.functions.scalars import literal, number_sql
+from tabscope.functions.scalars import as_number, literal, number_sql, quoted
 
 # A slice holds about one 4096th of the rows, and a few thousandths at worst.
 FENCES = 1024
@@ -39,7 +39,7 @@ def exact_quantiles(
     if any(not 0 <= p <= 1 for p in points):
         raise ValueError("quantile points lie between 0 and 1")
     numbers = long_numbers(df, columns, strip=strip)
-    slices = _count_slices(numbers, _fences(df, columns, strip))
+    slices = _count_slices(df, columns, strip)
     ranks = _ranks_within(points)
     # One row per column and wanted rank at most, so the broadcast has a fixed bound.
     wanted = slices.filter(f"size({ranks}) > 0").selectExpr("column", "lo", "hi", "before", *_WHOLE)
@@ -86,20 +86,30 @@ def approximate_quantiles(
     return per_column(df, parts).filter("n > 0").selectExpr("column", "n", pairs)
 
 
-def _fences(df: DataFrame, columns: Sequence[str], strip: bool) -> DataFrame:
+def _fences(df: DataFrame, columns: Sequence[str], strip: bool) -> Column:
+    """Fences of every column, as one array of arrays that the plan computes once."""
     grid = ",".join(str(i / FENCES) for i in range(FENCES + 1))
     grid = f"CAST(split('{grid}', ',') AS ARRAY<DOUBLE>)"  # folded to a single constant
-    parts = []
+    fences = []
     for c in columns:
         value = number_sql(df, c, strip=strip)
         sketch = f"kll_sketch_agg_double({value}, {SKETCH_SIZE})"
-        fences = f"IF(count({value}) > 0, kll_sketch_get_quantile_double({sketch}, {grid}), NULL)"
-        parts.append({"column": literal(c), "fences": fences})
-    return per_column(df, parts)
+        fences.append(f"IF(count({value}) > 0, kll_sketch_get_quantile_double({sketch}, {grid}), NULL)")
+    return df.selectExpr(f"array({', '.join(fences)}) AS fences").scalar()
 
 
-def _count_slices(numbers: DataFrame, fences: DataFrame) -> DataFrame:
+def _count_slices(df: DataFrame, columns: Sequence[str], strip: bool) -> DataFrame:
     """Row counts, extremes and the number of smaller rows for every slice of every column."""
+    fences = _fences(df, columns, strip)
+    wide = df.select(
+        *[as_number(df, c, strip=strip).alias(f"v{i}") for i, c in enumerate(columns)],
+        *[fences[i].alias(f"f{i}") for i in range(len(columns))],
+    )
+    # Every value travels with the fences of its column, which spares a join.
+    pairs = ", ".join(f"(v{i}, f{i}) AS {quoted(c)}" for i, c in enumerate(columns))
+    numbers = df.sparkSession.sql(
+        f"SELECT * FROM {{wide}} UNPIVOT INCLUDE NULLS ((value, fences) FOR column IN ({pairs}))", wide=wide
+    )
     # Binary search over the inner fences, one step per line; each builds on the one before.
     steps, at, step = [], "0", FENCES // 2
     while step:
@@ -109,7 +119,7 @@ def _count_slices(numbers: DataFrame, fences: DataFrame) -> DataFrame:
     # Overflowing differences of huge numbers fall back to the first part.
     part = f"IF(share >= 0 AND share <= {SLICES}, least(floor(share), {SLICES - 1}), 0)"
     counted = (
-        numbers.join(F.broadcast(fences), "column")
+        numbers.filter("value IS NOT NULL")
         .selectExpr("column", "value", "fences", *steps, f"{share} AS share")
         .selectExpr("column", "value", f"CAST({at} * {SLICES} + {part} AS INT) AS slice")
         .groupBy("column", "slice")
