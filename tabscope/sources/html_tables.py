@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The parser travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCHEMA = "page_id bigint, table_index int, row_index int, cells array<string>"
 _ARROW = pa.schema(
     [
