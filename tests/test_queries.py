@@ -1,9 +1,11 @@
 import pytest
 
 import __spark_entry__ as registered
+from tabscope.plans.catalog import catalog
+from tabscope.plans.oracle import oracle
 from tests.compare import connection, difference
 
-QUERIES, SQL = registered.queries(), registered.oracle_sql()
+QUERIES, SQL = catalog(), oracle()
 
 
 @pytest.fixture(scope="module")
