@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, near_dup, toxicity, url_filter
+from tabscope.llm import bpe, decontaminate, near_dup, suffix_dedup, toxicity, url_filter
 from tabscope.llm.common import read_table
 
 # Fixed value: the rules that the URL query applies.
@@ -28,6 +28,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,12 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), rules)
@@ -62,9 +72,11 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate": benchmark_passages,
         "op4_near_dedup": near_dedup,
         "op5_bpe": bpe_round_trip,
         "op6_toxicity": toxicity_scores,
+        "op8_suffix_dedup": repeated_passages,
         "op9_url_filter": url_verdicts,
     }
 
