@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, decontaminate, near_dup, suffix_dedup, toxicity, url_filter
+from tabscope.llm import bpe, decontaminate, fingerprints, lm_score, near_dup, suffix_dedup, toxicity, url_filter
 from tabscope.llm.common import read_table
 
 # Fixed value: the rules that the URL query applies.
@@ -32,6 +32,11 @@ def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return fingerprints.compare_edited(docs, fingerprints.lexicon(docs))
+
+
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,10 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
@@ -73,9 +82,11 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": benchmark_passages,
+        "op3_fingerprints": document_fingerprints,
         "op4_near_dedup": near_dedup,
         "op5_bpe": bpe_round_trip,
         "op6_toxicity": toxicity_scores,
+        "op7_lm_score": lm_scores,
         "op8_suffix_dedup": repeated_passages,
         "op9_url_filter": url_verdicts,
     }
