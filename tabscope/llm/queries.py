@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, decontaminate, fingerprints, lm_score, near_dup, suffix_dedup, toxicity, url_filter
+from tabscope.llm import bpe, decontaminate, fingerprints, html_extract, lm_score, near_dup, suffix_dedup, toxicity, url_filter
 from tabscope.llm.common import read_table
 
 # Fixed value: the rules that the URL query applies.
@@ -28,6 +28,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -81,6 +85,7 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": main_texts,
         "op2_decontaminate": benchmark_passages,
         "op3_fingerprints": document_fingerprints,
         "op4_near_dedup": near_dedup,
