@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, decontaminate, fingerprints, html_extract, lm_score, near_dup, suffix_dedup, toxicity, url_filter
+from tabscope.llm import bpe, decontaminate, fingerprints, html_extract, id_codec, lm_score, near_dup, suffix_dedup, toxicity, url_filter
 from tabscope.llm.common import read_table
 
 # Fixed value: the rules that the URL query applies.
@@ -18,6 +18,8 @@ URL_RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
+#: Fixed value: the id that ends each document in token files.
+END_ID = 2
 #: Rows whose crc32 of the id, modulo 4, is this are never learnt from.
 HELD_OUT = 2
 
@@ -83,6 +85,11 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = id_codec.write_ids(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), END_ID)
+    return id_codec.with_checksums(id_codec.read_documents(frames))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": main_texts,
@@ -94,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_lm_score": lm_scores,
         "op8_suffix_dedup": repeated_passages,
         "op9_url_filter": url_verdicts,
+        "op10_id_codec": token_files,
     }
 
 
