@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Code travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -48,6 +49,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter that :func:`likely_rows` sends to every task (4 MB).
+_FILTER_BITS = 25
+
+
+def _filter_hash(key: Column) -> tuple[Column, Column]:
+    at = F.pmod(F.xxhash64(key, F.lit("filter")), F.lit(1 << _FILTER_BITS))
+    return (at / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(at, F.lit(64)).cast("int"))
+
+
+def likely_rows(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted`` (one column), for a join that follows.
+
+    The filter has one size whatever ``wanted`` holds; the more keys there are, the more other rows pass.
+    """
+    word, bit = _filter_hash(F.col(wanted.columns[0]))
+    filled = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    words = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
+    words[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64)
+    word, bit = _filter_hash(F.col(key))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.num_columns - 2
+            keep = words[batch.column(at).to_numpy()] & batch.column(at + 1).to_numpy() != 0
+            yield batch.select(range(at)).filter(pa.array(keep))
+
+    return rows.select("*", word.alias("__word"), bit.alias("__bit")).mapInArrow(work, rows.schema)
+
+
 def per_process(key: str, make: Callable[[], object]) -> object:
     """``make()``, called once in a Python worker and kept for its later tasks."""
     kept = sys.__dict__.setdefault("_tabscope_llm_kept", {})

@@ -1,10 +1,10 @@
 """Near-duplicate documents: MinHash banding, exact confirmation, connected components.
 
 Documents with the same shingle set are one node from the start, so large groups of copies cost one row each and no
-pair. Bands of equal minima name candidates. In each bucket every member is paired with the smallest one; when the
-links found that way have been joined into components, buckets that still hold several components compare the
-signatures of their members across components, so that no link between members is lost. Every candidate is
-confirmed on the full shingle sets. Components come from alternating large-star and small-star steps on the
+pair. Bands of equal minima name candidates. In each bucket every member is paired with its centre; when the
+links found that way have been joined into components, buckets that still hold several components compare their
+members across components, so that no link between members is lost. Every link is confirmed on the full shingle
+sets. Components come from alternating large-star and small-star steps on the
 table of links.
 
 With the default 32 bands of 4 minima, a pair at a similarity of 0.75 misses all bands with a probability of 6e-6,
@@ -19,11 +19,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import batches_out, mixed, per_process, stored, text_buffers, word_hashes
+from tabscope.llm.common import batches_out, likely_rows, mixed, per_process, stored, text_buffers, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,7 +35,7 @@ LINK_PERCENT = 75
 #: Signatures that agree in fewer places than this cannot belong to linked documents, but for a chance below 1e-5.
 SIGNATURE_LEAST = 0.57
 #: Members of a bucket that one task compares at a time; larger buckets are dealt out in pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
 _STEP = np.uint64(0x9DDFEA08EB382D69)
 
 
@@ -133,11 +134,8 @@ def _bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(work, "bucket bigint, node bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those ``(a, b)`` whose full shingle sets are similar enough. Texts are fetched for documents in a pair only."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = stored(rows.join(wanted, "node", "left_semi"), "texts")
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those ``(a, b)`` whose full shingle sets are similar enough; ``texts`` has ``(node, text)``."""
     # Repeated ids: any of their texts may make the link, as in the sketches.
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -203,12 +201,19 @@ def components(links: DataFrame) -> DataFrame:
     return stars.union(edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node")))
 
 
-def _across(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidates ``(a, b)`` of different components in the same bucket whose signatures agree enough.
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [packer.compress((t or "").encode("utf-8")) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["node", "packed"])
+
 
-    In each bucket, the members outside its most frequent component are compared with all members of other
-    components. Both sides are dealt out in blocks, so a bucket of any size is spread over many tasks; nothing is
-    emitted for pairs of one component or for pairs that do not agree.
+def _across(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between members of one bucket that belong to different components, on their full sets.
+
+    In each bucket, the members outside its most frequent component are compared with all members of other components.
+    Both sides are dealt out in blocks, so a bucket of any size is spread over many tasks. A task counts common shingles
+    through an index of its block and gives back one link for each member and other component at most.
     """
     counts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = (
@@ -219,8 +224,9 @@ def _across(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
             "bucket", "main", F.ceil((F.col("all") - F.col("top")) / BLOCK).alias("lefts"), F.ceil(F.col("all") / BLOCK).alias("rights")
         )
     )
-    rows = labelled.join(main, "bucket").join(nodes.select("node", "signature"), "node")
-    out = ["bucket", "l", "r", "side", "node", "component", "signature"]
+    packed = stored(texts.mapInArrow(_packed, "node bigint, packed binary"), "packed")
+    rows = labelled.join(main, "bucket").join(packed, "node")
+    out = ["bucket", "l", "r", "side", "node", "component", "packed"]
     left = rows.filter("component <> main").select(
         "*",
         F.pmod(F.xxhash64("node", F.lit(1)), F.col("lefts")).alias("l"),
@@ -235,14 +241,24 @@ def _across(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        minima = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(len(group), -1)
+        unpack = zstandard.ZstdDecompressor()
+        values, bounds = shingle_sets(*text_buffers(pa.array([unpack.decompress(p) for p in group["packed"]], pa.large_binary())))
         node, component, side = (group[c].to_numpy() for c in ("node", "component", "side"))
-        everyone = np.flatnonzero(side == 1)
+        sizes = np.diff(bounds)
+        shingle = np.unique(values, return_inverse=True)[1]
+        owner = np.repeat(np.arange(len(group)), sizes)
+        listed = np.flatnonzero(side[owner] == 1)
+        listed = listed[np.argsort(shingle[listed], kind="stable")]
+        begin = np.searchsorted(shingle[listed], np.arange(len(values) + 1))
         found: list[tuple[int, int]] = []
         for r in np.flatnonzero(side == 0):
-            others = everyone[component[everyone] != component[r]]
-            near = others[(minima[others] == minima[r]).mean(axis=1) >= SIGNATURE_LEAST]
-            found.extend((max(node[r], node[o]), min(node[r], node[o])) for o in near)
+            own = shingle[bounds[r] : bounds[r + 1]]
+            many = begin[own + 1] - begin[own]
+            at = np.repeat(begin[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            common = np.bincount(owner[listed[at]], minlength=len(group))
+            near = np.flatnonzero((100 * common >= LINK_PERCENT * (sizes + sizes[r] - common)) & (common > 0) & (component != component[r]))
+            for o in near[np.unique(component[near], return_index=True)[1]]:
+                found.append((max(node[r], node[o]), min(node[r], node[o])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     dealt = left.select(out).union(right.select(out))
@@ -273,9 +289,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     banded = _bands(nodes)
     size = banded.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members"))
-    members = stored(banded.join(size.filter("first < last"), "bucket"), "buckets")
-    pairs = members.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    linked = stored(_confirmed(stored(_agreeing(pairs, nodes), "pairs"), docs), "confirmed").union(copies)
+    members = stored(banded.join(size.filter("first < last"), "bucket").select("bucket", "node", "members"), "buckets")
+    shared = members.select("node").distinct()
+    # Texts are fetched for documents that share a bucket only.
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("node"), F.col("text").cast("string").alias("text"))
+    texts = stored(likely_rows(rows, "node", shared).join(shared, "node", "left_semi"), "texts")
+    # What copies were made from shares more buckets with them than they do with each other: the centre of a bucket is
+    # its member with the most company in all its buckets.
+    company = members.groupBy("node").agg(F.sum("members").alias("company"))
+    centres = members.join(company, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", F.bitwise_not("node"))).alias("centre"))
+    pairs = (
+        members.join(centres, "bucket")
+        .filter("node <> centre")
+        .select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
+        .distinct()
+    )
+    pairs = stored(pairs, "pairs")
+    linked = stored(_confirmed(_agreeing(pairs, nodes), texts), "confirmed").union(copies)
     found = components(linked)
 
     # Buckets that still hold several components: compare their members across components.
@@ -287,10 +317,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .withColumn("component", F.coalesce("component", "node")),
         "labelled",
     )
-    more = stored(_across(labelled, nodes).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = stored(_across(labelled, texts), "late")
     if not more.isEmpty():
-        late = _confirmed(more, docs)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     found = found.select(F.col("node").alias("doc_id"), F.col("component").alias("found"))
     return sketch.select("doc_id", "n_shingles").join(found, "doc_id", "left").select(
         "doc_id",
