@@ -1,13 +1,14 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on windows typical of toxic text and one on windows typical of
-ordinary text. A window (one word, written :data:`REPEATS` times, so that knowing it already pays whatever its
-length) that the toxic dictionary compresses to fewer bytes than the ordinary one speaks for toxicity. A text's
-distance is that of its most toxic window, found over the whole text.
+ordinary text. A window is a word or its beginning (toxic words have many endings), written :data:`REPEATS` times, so that
+knowing it already pays whatever its length. It speaks for toxicity if two lengths agree on it: the toxic dictionary compresses it to no more bytes than its own
+windows, and to fewer than the ordinary dictionary does. A text's distance is that of its most toxic window, found over
+the whole text.
 
 Fitting uses at most ``max_rows`` labelled texts of each kind, the first by a hash of their id. Two thirds of them
 choose the windows, the rest calibrate how many windows the toxic dictionary holds and the threshold on the
-distance. Windows are counted by the different neighbours they stand between, so that copies of one text do not
+distance, where labelled texts left out of the sample count by weight. Windows are counted by the different neighbours they stand between, so that copies of one text do not
 make its words typical.
 """
 
@@ -26,14 +27,18 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import per_process
+from tabscope.llm.common import per_process, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 REPEATS = 4
+#: Letters of a word's beginnings that are windows, beside the whole word; shorter words are none.
+BEGINNINGS = (4, 5, 6, 8)
 _WORD = re.compile(r"[^\W_]+")
 #: Sizes of the toxic dictionary, in windows, that calibration tries.
-SIZES = (4, 6, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, 256)
+SIZES = (4, 8, 12, 16, 20, 24, 32, 48, 64, 96, 128)
+#: How far, in standard deviations, a window's count in toxic text has to lie above the expected one.
+TELLING = 4.0
 ORDINARY_WINDOWS = 2000
 #: The score at the threshold, and how steeply it rises there.
 CUT, SLOPE = 0.3, 20.0
@@ -48,13 +53,21 @@ def _words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def _windows(word: str) -> set[str]:
+    return {word, *(word[:n] for n in BEGINNINGS)} if len(word) >= BEGINNINGS[0] else set()
+
+
 def _contexts(texts: Iterable[str]) -> Counter:
-    """How many different pairs of neighbours each word stands between."""
+    """Between how many different pairs of neighbours the words of each window stand."""
     seen: set[tuple[str, str, str]] = set()
     for text in texts:
         words = ["", *_words(text), ""]
         seen.update(zip(words, words[1:], words[2:]))
-    return Counter(word for _, word, _ in seen)
+    out: Counter = Counter()
+    for word, n in Counter(word for _, word, _ in seen).items():
+        for window in _windows(word):
+            out[window] += n
+    return out
 
 
 def _dictionary(words: list[str], counts: Counter) -> bytes:
@@ -67,15 +80,18 @@ def _dictionary(words: list[str], counts: Counter) -> bytes:
         trained = zstandard.train_dictionary(size, samples, level=3).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
         trained = b""
-    return b"".join(w for w in windows if w not in trained) + trained
+    # matches do not reach into the last bytes of a dictionary
+    return b"".join(w for w in windows if w not in trained) + trained + b"\n" * 16
 
 
 class ToxicityModel:
     """Both dictionaries and the calibrated threshold; without labels of both kinds all distances are 0."""
 
-    def __init__(self, toxic: bytes = b"", ordinary: bytes = b"", threshold: float = 1.0) -> None:
-        self.toxic, self.ordinary, self.threshold = toxic, ordinary, threshold
+    def __init__(self, toxic: bytes = b"", ordinary: bytes = b"", own: list[str] | None = None) -> None:
+        self.toxic, self.ordinary, self.threshold = toxic, ordinary, 1.0
         self._ready = None
+        #: what a window that the toxic dictionary holds is compressed to, at most
+        self.length = max((len(self._compressors()[0].compress(_window(w))) for w in own or ()), default=0)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_ready": None}
@@ -110,8 +126,11 @@ class ToxicityModel:
         for word in _words(text):
             saved = kept.get(word)
             if saved is None:
-                window = _window(word)
-                saved = (len(ordinary.compress(window)) - len(toxic.compress(window))) * REPEATS / len(window)
+                saved = 0.0
+                for window in map(_window, _windows(word)):
+                    size = len(toxic.compress(window))
+                    if size <= self.length:
+                        saved = max(saved, (len(ordinary.compress(window)) - size) * REPEATS / len(window))
                 if len(word) < 64:
                     kept[word] = saved
             if saved > most:
@@ -123,8 +142,11 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-SLOPE * (distance - self.threshold)) * (1 / CUT - 1))
 
 
-def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
-    """A model from ``(text, toxic)`` pairs, the same for any order of them."""
+def fit(sample: list[tuple[str, int]], ordinary_weight: float = 1.0) -> ToxicityModel:
+    """A model from ``(text, toxic)`` pairs, the same for any order of them.
+
+    An ordinary text of the sample stands for ``ordinary_weight`` times as many texts as a toxic one.
+    """
     toxic = sorted({t for t, y in sample if y and t})
     ordinary = sorted({t for t, y in sample if not y and t} - set(toxic))
     if not toxic or not ordinary:
@@ -132,16 +154,18 @@ def fit(sample: list[tuple[str, int]]) -> ToxicityModel:
     chosen = [[t for t in texts if zlib.crc32(t.encode("utf-8", "replace")) % 3] or texts for texts in (toxic, ordinary)]
     held = [(t, y) for texts, y in ((toxic, 1), (ordinary, 0)) for t in texts if not zlib.crc32(t.encode("utf-8", "replace")) % 3]
     words, counts = _typical(*chosen)
-    best: tuple[float, int, float] | None = None
+    tried: list[tuple[float, int, float]] = []
+    usual = _dictionary(words[1], counts[1]) if words[1] else b""
     for size in SIZES:
-        if best and size > len(words[0]):
+        if tried and size > len(words[0]):
             break
-        f1, threshold = _calibrated(_model(words, counts, size), held or [(t, 1) for t in toxic] + [(t, 0) for t in ordinary])
-        if best is None or f1 >= best[0]:
-            best = (f1, size, threshold)
+        f1, threshold = _calibrated(_model(words[0][:size], counts[0], usual), held or [(t, 1) for t in toxic] + [(t, 0) for t in ordinary], ordinary_weight)
+        tried.append((f1, size, threshold))
+    good = [t for t in tried if t[0] >= max(tried)[0] - 0.002]
+    _, size, threshold = good[len(good) // 2]  # the middle: neither too few windows to find all nor needless ones
     words, counts = _typical(toxic, ordinary)
-    model = _model(words, counts, best[1])
-    model.threshold = best[2]
+    model = _model(words[0][:size], counts[0], _dictionary(words[1], counts[1]) if words[1] else b"")
+    model.threshold = threshold
     return model
 
 
@@ -150,23 +174,25 @@ def _typical(toxic: list[str], ordinary: list[str]) -> tuple[tuple[list[str], li
     a, b = _contexts(toxic), _contexts(ordinary)
     share = sum(a.values()) / max(1, sum(b.values()))
     telling = {w: (n - (b[w] + 0.5) * share) / math.sqrt((b[w] + 0.5) * share) for w, n in a.items() if n >= 3}
-    first = sorted((w for w, z in telling.items() if z > 0), key=lambda w: (-telling[w], w))
+    first = sorted((w for w, z in telling.items() if z >= TELLING), key=lambda w: (-telling[w], w))
+    # a beginning that nearly always goes on the same way says no more than the longer window
+    longer = {x for w in first for x in _windows(w) if x != w and a[w] >= 0.9 * a[x]}
+    first = [w for w in first if w not in longer]
     second = sorted((w for w, n in b.items() if n >= 3 and n * share > a[w]), key=lambda w: (-b[w], w))
     return (first, second[:ORDINARY_WINDOWS]), (a, b)
 
 
-def _model(words: tuple[list[str], list[str]], counts: tuple[Counter, Counter], size: int) -> ToxicityModel:
-    first = words[0][:size]
-    return ToxicityModel(_dictionary(first, counts[0]) if first else b"", _dictionary(words[1], counts[1]) if words[1] else b"")
+def _model(windows: list[str], counts: Counter, ordinary: bytes) -> ToxicityModel:
+    return ToxicityModel(_dictionary(windows, counts) if windows else b"", ordinary, windows)
 
 
-def _calibrated(model: ToxicityModel, held: list[tuple[str, int]]) -> tuple[float, float]:
+def _calibrated(model: ToxicityModel, held: list[tuple[str, int]], ordinary_weight: float) -> tuple[float, float]:
     """Best F1 over ``held`` and the threshold that gives it, midway between the distances around it."""
     rows = sorted(((model.distance(t), y) for t, y in held), reverse=True)
     positives = sum(y for _, y in rows)
-    best, right, wrong = (0.0, 1.0), 0, 0
+    best, right, wrong = (0.0, 1.0), 0, 0.0
     for i, (at, y) in enumerate(rows):
-        right, wrong = right + y, wrong + 1 - y
+        right, wrong = right + y, wrong + (1 - y) * ordinary_weight
         below = rows[i + 1][0] if i + 1 < len(rows) else 0.0
         if below < at:
             best = max(best, (2 * right / (positives + right + wrong), (at + below) / 2))
@@ -185,15 +211,13 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, max_chars:
         .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
         .filter("toxic = most")
     )
-    short = docs.filter(F.length("text") <= max_chars).select("doc_id").join(known, "doc_id").distinct()
-    order = F.xxhash64("doc_id")
-    picked = None
-    for kind in (0, 1):
-        part = short.filter(F.col("toxic") == kind).select("doc_id", "toxic").orderBy(order, "doc_id").limit(max_rows)
-        picked = part if picked is None else picked.unionByName(part)
+    short = stored(docs.filter(F.length("text") <= max_chars).select("doc_id").join(known, "doc_id").select("doc_id", "toxic").distinct(), "labelled")
+    sizes = {r["toxic"]: r["count"] for r in short.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
+    parts = [short.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for kind in (0, 1)]
     # At most 2 * max_rows ids: small enough to send to every task.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic").collect()
-    return fit([(r["text"], r["toxic"]) for r in rows])
+    rows = docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("text", "toxic").collect()
+    share = {kind: max(1.0, sizes.get(kind, 0) / max_rows) for kind in (0, 1)}
+    return fit([(r["text"], r["toxic"]) for r in rows], share[0] / share[1])
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
