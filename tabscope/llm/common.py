@@ -19,7 +19,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _SETTING = "spark.checkpoint.dir"
 #: Bytes of text that array code looks at in one go; a longer text is taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 MASK = (1 << 64) - 1
@@ -134,7 +134,7 @@ def powers(count: int, inverse: bool = False) -> np.ndarray:
     """``BASE^0 .. BASE^(count-1)`` modulo 2^64, or the same of its inverse."""
     size = max(1 << 16, 1 << max(0, count - 1).bit_length())
     base = pow(int(BASE), -1, 1 << 64) if inverse else int(BASE)
-    if size > 1 << 23:  # one very long text: not kept
+    if size > 1 << 21:  # one very long text: not kept
         return _powers(base, count)
     return per_process(f"powers-{inverse}-{size}", lambda: _powers(base, size))[:count]
 

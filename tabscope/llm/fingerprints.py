@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import mixed, per_process, stored
+from tabscope.llm.common import mixed, per_process, slices, stored, text_buffers
 from tabscope.llm.terms import distinct_in_rows, row_words, term_counts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,7 +36,7 @@ SHARES = [1 / 8] * 16 + [1 / 32] * 32 + [1 / 128] * 48 + [1 / 512] * 32
 #: Words that a lexicon may hold. Each word fills LOW of the documents, so there are at most (mean number of distinct
 #: words of a document) / LOW; for longer documents LOW is doubled until this bound holds.
 MOST_WORDS = 1_000_000
-_BATCH = 2 << 20
+_BATCH = 1 << 20
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
@@ -150,19 +150,14 @@ def compare_edited(docs: DataFrame, words: np.ndarray) -> DataFrame:
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc_id, key, alt, text = row
-                packed = packer.compress(text.encode("utf-8"))
-                out.append((bisect.bisect_left(ends, key), False, doc_id, key, alt, packed))
-                if key in head_keys:
-                    out.extend((b, True, doc_id, key, alt, packed) for b in also.get((key, alt), ()))
-                size += len(packed)
-                if size > 8 << 20:
-                    yield dealt(out)
-                    out, size = [], 0
-            if out:
+            _, offsets = text_buffers(batch.column(3))
+            for start, end in slices(offsets):
+                out: list[tuple] = []
+                for doc_id, key, alt, text in zip(*(c.to_pylist() for c in batch.slice(start, end - start).columns), strict=True):
+                    packed = packer.compress(text.encode("utf-8"))
+                    out.append((bisect.bisect_left(ends, key), False, doc_id, key, alt, packed))
+                    if key in head_keys:
+                        out.extend((b, True, doc_id, key, alt, packed) for b in also.get((key, alt), ()))
                 yield dealt(out)
 
     def dealt(out: list[tuple]) -> pa.RecordBatch:
