@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +47,7 @@ def as_list(names: Names | None) -> list[str]:
 
 def field_type(df: DataFrame, name: str) -> T.DataType:
     if name not in df.columns:
-        raise ValueError(f"Field '{name}' not found in the dataset.")
+        raise ValueError(f"the table has no column {name}")
     return df.schema[name].dataType
 
 
@@ -88,6 +88,10 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(or_, conditions, F.lit(False))
 
 
+def all_of(conditions: Iterable[Column]) -> Column:
+    return reduce(and_, conditions, F.lit(True))
+
+
 def order_columns(order_by: Names, *, descending: bool = False) -> list[Column]:
     """Sort columns; a leading minus turns one column around."""
     names = as_list(order_by)

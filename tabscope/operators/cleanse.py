@@ -42,8 +42,6 @@ def delete_duplicate_row(df: DataFrame, subset: Names | None = None, order_by: N
     if subset is None:
         reject_maps(df, df.columns)
         return df.dropDuplicates()
-    if order_by is None:
-        raise ValueError("copies by subset need order_by, a key that is unique per row")
     return first_rows(df, subset, order_by)
 
 

@@ -49,11 +49,16 @@ def bin_count(df: DataFrame, columns: Names, method: str = "fd") -> DataFrame:
     return _layout(df, as_list(columns), method).select("column", "n", "lo", "hi", "bins")
 
 
-def histogram(df: DataFrame, columns: Names, method: str = "fd", *, strip: bool = False) -> DataFrame:
-    """``(column, index, label, left_value, right_value, count)``, empty bins included."""
+def histogram(
+    df: DataFrame, columns: Names, method: str = "fd", *, strip: bool = False, filled_only: bool = False
+) -> DataFrame:
+    """``(column, index, label, left_value, right_value, count)``, empty bins included.
+
+    ``filled_only`` leaves them out: a single far value can make a rule ask for more bins than there are rows.
+    """
     names = as_list(columns)
     layout = _layout(df, names, method, strip=strip)
-    return _labelled(binned(long_numbers(df, names, strip=strip), layout))
+    return _labelled(binned(long_numbers(df, names, strip=strip), layout, filled_only=filled_only))
 
 
 def fixed_histogram(df: DataFrame, columns: Names, bins: int, *, strip: bool = False) -> DataFrame:
@@ -89,7 +94,9 @@ def datetime_histogram(df: DataFrame, columns: Names, bins: int = fixed.DATETIME
     )
 
 
-def binned(numbers: DataFrame, layout: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def binned(
+    numbers: DataFrame, layout: DataFrame, carry: tuple[str, ...] = (), *, filled_only: bool = False
+) -> DataFrame:
     """Counts per bin of ``(column, value)`` rows; ``layout`` has one row per column.
 
     The first and the last bin hold the extremes and are never empty, so empty bins are gaps
@@ -106,23 +113,23 @@ def binned(numbers: DataFrame, layout: DataFrame, carry: tuple[str, ...] = ()) -
         .groupBy("column", "index")
         .agg(F.expr("count(*) AS count"), *[F.expr(f"first({c}) AS {c}") for c in facts])
     )
+    edges = (f"{edge_sql('index')} AS left_value", f"{edge_sql('index + 1')} AS right_value")
+    if filled_only:
+        return counted.selectExpr("column", "index", *edges, "count", *carry)
     # A flat column fills one middle bin only: reach down to bin 0 from the first filled one.
     neighbour = "OVER (PARTITION BY column ORDER BY index)"
     start = f"IF(lag(index) {neighbour} IS NULL, 0, index)"
     last = f"coalesce(lead(index) {neighbour}, bins) - 1"
-    slots = counted.selectExpr("*", f"sequence({start}, {last}) AS slots").selectExpr(
-        "column", "index AS filled", "explode(slots) AS index", "count", *facts
-    )
-    return slots.selectExpr(
-        "column",
-        "index",
-        f"{edge_sql('index')} AS left_value",
-        f"{edge_sql('index + 1')} AS right_value",
-        "IF(index = filled, count, 0) AS count",
-        *carry,
-    )
+    # Wide gaps are written out block by block: no array is longer than a block.
+    gaps = counted.selectExpr("column", "index AS filled", f"{start} AS a", f"{last} AS b", "count", *facts)
+    blocks = gaps.selectExpr("*", f"explode(sequence(0L, (b - a) div {_BLOCK})) AS block")
+    block = f"sequence(a + block * {_BLOCK}, least(a + block * {_BLOCK} + {_BLOCK - 1}, b))"
+    slots = blocks.selectExpr("column", "filled", f"explode({block}) AS index", "count", *facts)
+    return slots.selectExpr("column", "index", *edges, "IF(index = filled, count, 0) AS count", *carry)
 
 
+#: Bins of a gap that one array lists.
+_BLOCK = 100_000
 _GUESS = "least(floor((value - lo) * bins / (hi - lo)), bins - 1)"
 
 

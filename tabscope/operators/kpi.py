@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions import fixed
-from tabscope.functions.reshape import literal_rows, per_column
+from tabscope.functions.reshape import literal_rows, long_numbers, per_column
 from tabscope.functions.scalars import (
     Names,
     as_list,
@@ -18,12 +18,13 @@ from tabscope.functions.scalars import (
     quoted,
     two_decimals,
 )
+from tabscope.operators.profile import distinct_per_column
 from tabscope.operators.quantiles import quantile_table
 
 
 def _check(aggregation: str, allowed: tuple[str, ...]) -> None:
     if aggregation not in allowed:
-        raise ValueError(f"Invalid aggregation method: {aggregation}")
+        raise ValueError(f"cards cannot show {aggregation}; there are {', '.join(allowed)}")
 
 
 _NUMBER_SQL = {
@@ -32,7 +33,6 @@ _NUMBER_SQL = {
     "minimum": "min({0})",
     "maximum": "max({0})",
     "count": "CAST(count({0}) AS DOUBLE)",
-    "count_distinct": "CAST(count(DISTINCT {0}) AS DOUBLE)",
     "std_deviation": "stddev_samp({0})",
     "variance": "var_samp({0})",
 }
@@ -40,7 +40,6 @@ _CATEGORY_SQL = {
     "first": "min_by(CAST({0} AS STRING), {1})",
     "last": "max_by(CAST({0} AS STRING), {1})",
     "count": "CAST(count(*) AS STRING)",
-    "count_distinct": "CAST(count(DISTINCT {0}) AS STRING)",
 }
 
 
@@ -65,6 +64,11 @@ def kpi_number(df: DataFrame, aggregation: str, fields: Names) -> DataFrame:
         listed = literal_rows(df.sparkSession, [{"field": c} for c in names])
         middle = quantile_table(df, names, {"value": 0.5}).select(F.col("column").alias("field"), "value")
         cards = listed.join(F.broadcast(middle), "field", "left")
+    elif aggregation == "count_distinct":
+        listed = literal_rows(df.sparkSession, [{"field": c} for c in names])
+        different = long_numbers(df, names).distinct().groupBy(F.col("column").alias("field")).count()
+        value = F.coalesce(F.col("count"), F.lit(0)).cast("double").alias("value")
+        cards = listed.join(F.broadcast(different), "field", "left").select("field", value)
     else:
         sql = _NUMBER_SQL[aggregation]
         parts = [{"field": literal(c), "value": sql.format(number_sql(df, c))} for c in names]
@@ -81,10 +85,13 @@ def kpi_category(df: DataFrame, aggregation: str, fields: Names, order_by: Names
     names = as_list(fields)
     for name in names:
         field_type(df, name)
-    at = key_sql(order_by or []) if aggregation in ("first", "last") else ""
-    sql = _CATEGORY_SQL[aggregation]
-    parts = [{"field": literal(c), "value": sql.format(quoted(c), at)} for c in names]
-    cards = per_column(df, parts)
+    if aggregation == "count_distinct":
+        found = distinct_per_column(df, names)
+        cards = found.select(F.col("column").alias("field"), F.col("unique_value_count").cast("string").alias("value"))
+    else:
+        at = key_sql(order_by or []) if aggregation in ("first", "last") else ""
+        sql = _CATEGORY_SQL[aggregation]
+        cards = per_column(df, [{"field": literal(c), "value": sql.format(quoted(c), at)} for c in names])
     return _card(cards.withColumn("value_text", F.col("value")), aggregation)
 
 

@@ -15,10 +15,6 @@ from tabscope.functions.scalars import (
     order_key,
     ref,
 )
-from tabscope.sources.shared import fresh_path
-
-# Pages that end beyond this row are read from a page index.
-DEEPEST_SCANNED_ROW = 2_000_000
 
 
 def active(df: DataFrame) -> DataFrame:
@@ -84,20 +80,22 @@ def floats_as_text(df: DataFrame) -> DataFrame:
     )
 
 
-def page_slice(df: DataFrame, order_by: Names, page: int = 1, size: int = fixed.PAGE_SIZE) -> DataFrame:
-    """One page of the sorted table.
+def page_slice(
+    df: DataFrame,
+    order_by: Names,
+    page: int = 1,
+    size: int = fixed.PAGE_SIZE,
+    *,
+    max_size: int | None = fixed.MAX_PAGE_SIZE,
+) -> DataFrame:
+    """One page of the sorted table, lazily; ``max_size`` bounds the page.
 
-    Every task keeps only the rows up to the page's end, which suits the pages people turn to. A
-    page far down a large table is cut out of a page index, written for it in the shared folder;
-    keep an index with ``write_page_index``, or go on with ``page_after``, to turn many such pages.
+    One rule for every depth: tasks keep the rows up to the page's end, so the cost of a page grows with its depth, and
+    nothing is written. To turn pages far down a large table, keep an index with ``write_page_index`` or go on with
+    ``page_after``, whose cost is the same at every depth.
     """
-    page, size = _checked(page, size)
-    start = (page - 1) * size
-    if start + size > DEEPEST_SCANNED_ROW:
-        path = fresh_path(df.sparkSession, "page-index")
-        write_page_index(df, order_by, path)
-        return read_page(df.sparkSession, path, page, size).orderBy("row_number").drop("row_number")
-    return df.orderBy(*order_columns(order_by)).offset(start).limit(size)
+    page, size = _checked(page, size, max_size)
+    return df.orderBy(*order_columns(order_by)).offset((page - 1) * size).limit(size)
 
 
 def page_after(df: DataFrame, order_by: Names, last: dict[str, object] | None, size: int = fixed.PAGE_SIZE) -> DataFrame:
@@ -205,9 +203,9 @@ def find_record(files: DataFrame, project_id: str, identifier: str) -> DataFrame
     return found.orderBy("_rank", F.col("created_at").desc()).limit(1).drop("_rank")
 
 
-def _checked(page: int, size: int) -> tuple[int, int]:
+def _checked(page: int, size: int, max_size: int | None = None) -> tuple[int, int]:
     if page < 1:
         raise ValueError("pages are numbered from 1")
     if size < 1:
         raise ValueError("a page holds at least one row")
-    return page, min(size, fixed.MAX_PAGE_SIZE)
+    return page, size if max_size is None else min(size, max_size)

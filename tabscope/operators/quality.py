@@ -9,6 +9,7 @@ from tabscope.functions import fixed
 from tabscope.functions.reshape import literal_rows, long_numbers, per_column
 from tabscope.functions.scalars import (
     Names,
+    all_of,
     any_of,
     as_list,
     as_number,
@@ -39,40 +40,49 @@ def duplicate_rows(df: DataFrame, subset: Names | None = None, order_by: Names |
 
     Copies of a whole row are identical, so they are counted and written out again: a row that
     makes up a third of the table is merged before the shuffle and unfolded by many tasks after it.
-    With ``subset``, ``order_by`` (unique per row) says which row of a group is the first one; the
-    others are found by that key and never meet in one task.
+    With ``subset``, ``order_by`` says which row of a group is the first one (see :func:`first_rows`).
     """
     if subset is None:
         reject_maps(df, df.columns)
         groups = df.groupBy(*[ref(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-        extra = F.col("_copies") - 1
-        chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((extra - 1) / COPIES_PER_TASK))
-        batches = groups.filter(extra > 0).withColumn("_batch", F.explode(chunks))
-        spread = batches.repartition(*[ref(c) for c in df.columns], "_batch")
-        size = F.least(F.lit(COPIES_PER_TASK), extra - F.col("_batch") * COPIES_PER_TASK)
-        copies = F.explode(F.sequence(F.lit(1), size.cast("int"))).alias("_copy")
-        return spread.select(*[ref(c) for c in df.columns], copies).drop("_copy")
-    firsts = _first_of_each(df, as_list(subset), order_by)
-    return df.withColumn("_at", order_key(order_by or [])).join(firsts, "_at", "left_anti").drop("_at")
+        return _unfolded(groups.withColumn("_copies", F.col("_copies") - 1), df.columns)
+    # Whole rows with their number of copies, less the one row of each group that comes first. Groups are only merged, so
+    # their other rows never meet in one task.
+    reject_maps(df, df.columns)
+    firsts = first_rows(df, subset, order_by)
+    rows = df.groupBy(*[ref(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    one = firsts.select(*[ref(c).alias(f"_f{i}") for i, c in enumerate(df.columns)], F.lit(1).alias("_first"))
+    same = all_of(ref(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(df.columns))
+    left = rows.join(one, same, "left").select(
+        *[ref(c) for c in df.columns], (F.col("_copies") - F.coalesce("_first", F.lit(0))).alias("_copies")
+    )
+    return _unfolded(left, df.columns)
+
 
+def _unfolded(groups: DataFrame, names: list[str]) -> DataFrame:
+    """Every row as often as ``_copies`` says, written out by as many tasks as it takes."""
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / COPIES_PER_TASK))
+    batches = groups.filter(F.col("_copies") > 0).withColumn("_batch", F.explode(chunks))
+    spread = batches.repartition(*[ref(c) for c in names], "_batch")
+    size = F.least(F.lit(COPIES_PER_TASK), F.col("_copies") - F.col("_batch") * COPIES_PER_TASK)
+    copies = F.explode(F.sequence(F.lit(1), size.cast("int"))).alias("_copy")
+    return spread.select(*[ref(c) for c in names], copies).drop("_copy")
 
-def first_rows(df: DataFrame, subset: Names, order_by: Names) -> DataFrame:
-    """The first row of every group of equal ``subset`` values."""
-    firsts = _first_of_each(df, as_list(subset), order_by)
-    return df.withColumn("_at", order_key(order_by)).join(firsts, "_at", "left_semi").drop("_at")
 
+def first_rows(df: DataFrame, subset: Names, order_by: Names | None) -> DataFrame:
+    """The first row of every group of equal ``subset`` values, in one reading.
 
-def _first_of_each(df: DataFrame, subset: list[str], order_by: Names | None) -> DataFrame:
+    A missing order key comes first; of rows with equal keys the one that sorts first by all its columns does.
+    """
     if order_by is None:
-        raise ValueError("copies by subset need order_by, a key that is unique per row")
-    reject_maps(df, subset)
-    keys = [_short(df, c).alias(f"_k{i}") for i, c in enumerate(subset)]
-    return (
-        df.select(*keys, order_key(order_by).alias("_at"))
-        .groupBy(*[f"_k{i}" for i in range(len(subset))])
-        .agg(F.min("_at").alias("_at"))
-        .select("_at")
-    )
+        raise ValueError("copies by subset need order_by, the key that says which row comes first")
+    reject_maps(df, df.columns)
+    keys = [_short(df, c).alias(f"_k{i}") for i, c in enumerate(as_list(subset))]
+    whole = F.struct(*[ref(c) for c in df.columns])
+    # Inside a struct a missing key is a value like any other.
+    first = F.min_by(whole, F.struct(order_key(order_by).alias("at"), whole.alias("row")))
+    groups = df.groupBy(*keys).agg(first.alias("_row"))
+    return groups.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def _short(df: DataFrame, name: str) -> Column:

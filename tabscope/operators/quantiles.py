@@ -9,6 +9,7 @@ ranked. The fences only decide how evenly the slices are cut, never the result.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,10 @@ from tabscope.functions.scalars import as_number, literal, number_sql, quoted
 FENCES = 1024
 SLICES = 4
 SKETCH_SIZE = 4_000
+# Tasks that merge sketches in the first step.
+MERGED = 256
+# Columns that are unfolded together; more of them leave compiled code.
+TOGETHER = 16
 
 _WHOLE = ("n", "lowest", "highest")
 
@@ -38,6 +43,9 @@ def exact_quantiles(
     """
     if any(not 0 <= p <= 1 for p in points):
         raise ValueError("quantile points lie between 0 and 1")
+    if len(columns) > TOGETHER:
+        parts = [columns[i : i + TOGETHER] for i in range(0, len(columns), TOGETHER)]
+        return reduce(DataFrame.unionAll, [exact_quantiles(df, part, points, strip=strip) for part in parts])
     numbers = long_numbers(df, columns, strip=strip)
     slices = _count_slices(df, columns, strip)
     ranks = _ranks_within(points)
@@ -90,12 +98,16 @@ def _fences(df: DataFrame, columns: Sequence[str], strip: bool) -> Column:
     """Fences of every column, as one array of arrays that the plan computes once."""
     grid = ",".join(str(i / FENCES) for i in range(FENCES + 1))
     grid = f"CAST(split('{grid}', ',') AS ARRAY<DOUBLE>)"  # folded to a single constant
-    fences = []
-    for c in columns:
-        value = number_sql(df, c, strip=strip)
-        sketch = f"kll_sketch_agg_double({value}, {SKETCH_SIZE})"
-        fences.append(f"IF(count({value}) > 0, kll_sketch_get_quantile_double({sketch}, {grid}), NULL)")
-    return df.selectExpr(f"array({', '.join(fences)}) AS fences").scalar()
+    # Sketches of all tasks are merged in two steps, so that no task merges more than a share of them.
+    values = [number_sql(df, c, strip=strip) for c in columns]
+    sketches = [F.expr(f"kll_sketch_agg_double({v}, {SKETCH_SIZE})").alias(f"s{i}") for i, v in enumerate(values)]
+    counts = [F.expr(f"count({v})").alias(f"n{i}") for i, v in enumerate(values)]
+    parts = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGED)).alias("_part")).agg(*sketches, *counts)
+    fences = [
+        f"IF(sum(n{i}) > 0, kll_sketch_get_quantile_double(kll_merge_agg_double(s{i}, {SKETCH_SIZE}) FILTER (WHERE n{i} > 0), {grid}), NULL)"
+        for i in range(len(columns))
+    ]
+    return parts.selectExpr(f"array({', '.join(fences)}) AS fences").scalar()
 
 
 def _count_slices(df: DataFrame, columns: Sequence[str], strip: bool) -> DataFrame:

@@ -11,29 +11,27 @@ from tabscope.functions.scalars import (
     Names,
     as_number,
     field_type,
+    known,
     normalize_key,
     order_columns,
     ref,
 )
 from tabscope.operators.histogram import fixed_histogram
 
-# Largest cut for series whose rows are compared with each other in one window.
-MAX_WINDOW_GROUPS = 10_000
-
 
 def group_sum(
     df: DataFrame, key: str, value: str, limit: int | None = fixed.CHART_GROUPS, *, order: str = "key"
 ) -> DataFrame:
     """``(<key>, sum)``: sum per group for the first groups in key order.
 
-    Text values are stripped to digits and dots first. Groups without a key vanish; a group without
+    Text values are stripped to digits and dots first. Groups without a key (NaN is none) vanish; a group without
     a readable value sums to zero. ``order="value"`` takes the largest sums instead.
     """
     field_type(df, key)
     if order not in ("key", "value"):
         raise ValueError(f"Unknown order: {order}")
     summed = (
-        df.select(ref(key).alias(key), as_number(df, value, strip=True).alias("_value"))
+        df.select(known(df, key).alias(key), as_number(df, value, strip=True).alias("_value"))
         .filter(ref(key).isNotNull())
         .groupBy(ref(key))
         .agg(F.coalesce(F.sum("_value"), F.lit(0.0)).alias("sum"))
@@ -45,16 +43,17 @@ def group_sum(
 def value_counts(df: DataFrame, column: str, limit: int | None = fixed.CHART_GROUPS) -> DataFrame:
     """``(<column>, count)``: most frequent values; equal counts in value order."""
     field_type(df, column)
-    counted = df.filter(ref(column).isNotNull()).groupBy(ref(column)).agg(F.count(F.lit(1)).alias("count"))
+    present = df.select(known(df, column).alias(column)).filter(ref(column).isNotNull())
+    counted = present.groupBy(ref(column)).agg(F.count(F.lit(1)).alias("count"))
     ordered = counted.orderBy(F.col("count").desc(), ref(column).asc())
     return ordered if limit is None else ordered.limit(limit)
 
 
-def share_series(df: DataFrame, column: str, limit: int = fixed.CHART_GROUPS) -> DataFrame:
+def share_series(df: DataFrame, column: str, limit: int | None = fixed.CHART_GROUPS) -> DataFrame:
     """``(<column>, count, percent)``: slices of a pie or donut, percent of the slices shown."""
-    _bounded(limit)
-    total = F.sum("count").over(Window.partitionBy())
-    return value_counts(df, column, limit).withColumn("percent", F.round(F.col("count") * 100.0 / total, 1))
+    shown = value_counts(df, column, limit)
+    total = shown.agg(F.sum("count")).scalar()
+    return shown.withColumn("percent", F.round(F.col("count") * 100.0 / total, 1))
 
 
 def area_series(df: DataFrame, x: str, y: str, order_by: Names, limit: int = fixed.CHART_GROUPS) -> DataFrame:
@@ -85,7 +84,7 @@ def bubble_series(df: DataFrame, x: str, y: str, limit: int | None = fixed.CHART
     factor, smallest, largest, below, above = 10, 50, 2000, 0.9, 1.1
     sums = group_sum(df, x, y, limit)
     size = F.greatest(F.least(F.col("sum") * factor, F.lit(float(largest))), F.lit(float(smallest)))
-    low, high = _range_of(sums, limit)
+    low, high = _range_of(sums)
     return sums.select(
         ref(x).alias(x),
         "sum",
@@ -96,19 +95,19 @@ def bubble_series(df: DataFrame, x: str, y: str, limit: int | None = fixed.CHART
     )
 
 
-def _range_of(sums: DataFrame, limit: int | None) -> tuple[Column, Column]:
-    """Lowest and highest sum: a window over the few groups shown, else one aggregated row."""
-    if limit is not None:
-        _bounded(limit)
-        whole = Window.partitionBy()
-        return F.min("sum").over(whole), F.max("sum").over(whole)
+def _range_of(sums: DataFrame) -> tuple[Column, Column]:
+    """Lowest and highest sum, from one aggregated row."""
     ends = sums.agg(F.struct(F.min("sum").alias("low"), F.max("sum").alias("high"))).scalar()
     return ends["low"], ends["high"]
 
 
 def waterfall_series(df: DataFrame, x: str, y: str, limit: int = fixed.CHART_GROUPS) -> DataFrame:
-    """``(position, <x>, measure, value, start, end)``: stacked steps and a total at the end."""
-    _bounded(limit)
+    """``(position, <x>, measure, value, start, end)``: stacked steps and a total at the end.
+
+    Every step starts where the one before ends, so one task sees all ``limit`` steps.
+    """
+    if limit < 1:
+        raise ValueError("a waterfall needs at least one step")
     steps = group_sum(df, x, y, limit).select(as_text(df, x).alias(x), "sum", ref(x).alias("_key"))
     running = Window.partitionBy().orderBy("_key")
     end = F.sum("sum").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -144,7 +143,7 @@ def waterfall_series(df: DataFrame, x: str, y: str, limit: int = fixed.CHART_GRO
 def radar_series(df: DataFrame, x: str, y: str, limit: int | None = fixed.CHART_GROUPS) -> DataFrame:
     """``(<x>, sum, scaled)``: group sums as a share of the largest one."""
     sums = group_sum(df, x, y, limit)
-    _, high = _range_of(sums, limit)
+    _, high = _range_of(sums)
     return sums.withColumn("scaled", F.coalesce(F.try_divide(F.col("sum"), high), F.lit(0.0)))
 
 
@@ -166,13 +165,13 @@ def find_location_column(df: DataFrame, name: str = "Country") -> str | None:
 def _matched(df: DataFrame, x: str, y: str, countries: DataFrame) -> DataFrame:
     place, known_place = find_location_column(df, x), find_location_column(countries)
     if place is None:
-        raise ValueError(f"Location column '{x}' not found in the data.")
+        raise ValueError(f"no column of the data holds places: {x}")
     if known_place is None:
-        raise ValueError(f"No valid country column found. Columns: {countries.columns}")
+        raise ValueError(f"the known countries have no column of names: {countries.columns}")
     # Rows without a value are dropped after the outer join, which makes it an inner one. How the
     # country side travels is left to its size at run time: no hint.
     left = countries.select(normalize_key(ref(known_place)).alias("Country"))
-    right = df.select(normalize_key(ref(place)).alias("Country"), ref(y).alias(y))
+    right = df.select(normalize_key(ref(place)).alias("Country"), known(df, y).alias(y))
     return left.join(right.filter(ref(y).isNotNull()), "Country")
 
 
@@ -183,7 +182,7 @@ def map_series(df: DataFrame, x: str, y: str, countries: DataFrame, *, strict: b
     """
     matched = _matched(df, x, y, countries)
     if strict and matched.isEmpty():
-        raise ValueError("No matches found between dataset countries and the known ones.")
+        raise ValueError("no place of the data is a known country")
     return matched.orderBy(ref(y).desc(), "Country")
 
 
@@ -231,7 +230,7 @@ def chart(
     if name == "map_chart":
         if countries is None:
             raise ValueError("map_chart needs the known countries")
-        return map_series(df, x, y, countries)
+        return map_series(df, x, y, countries, strict=True)
     if name == "area_chart":
         return area_series(df, x, y, order_by or [])
     if name == "heatmap":
@@ -246,8 +245,3 @@ def chart(
         "radar_chart": radar_series,
     }
     return builders[name](df, x, y)
-
-
-def _bounded(limit: int) -> None:
-    if not 1 <= limit <= MAX_WINDOW_GROUPS:
-        raise ValueError(f"limit must lie between 1 and {MAX_WINDOW_GROUPS}")

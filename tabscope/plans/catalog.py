@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.functions import scalars
+from tabscope.functions import reshape, scalars
 from tabscope.functions.scalars import Names
 from tabscope.operators import (
     cleanse,
@@ -114,6 +114,19 @@ def file_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def lineitem_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items with a discount that is no number."""
+    discount = F.when(F.col("l_discount") == 0.05, F.lit(float("nan"))).otherwise(F.col("l_discount"))
+    return table(spark, folder, "lineitem").withColumn("l_discount", discount)
+
+
+def lineitem_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items with a key that is missing for some rows and alike for others."""
+    return table(spark, folder, "lineitem").select(
+        F.nullif("l_linenumber", F.lit(1)).alias("k"), "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
+    )
+
+
 # --- scalars --------------------------------------------------------------------------------
 
 
@@ -265,6 +278,28 @@ def duplicate_rows_by_text(spark: SparkSession, folder: str) -> DataFrame:
     return quality.duplicate_rows(documents, "text", "doc_id").drop("text")
 
 
+@_query
+def duplicate_rows_tied_key(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.duplicate_rows(lineitem_ties(spark, folder), "l_orderkey", "k")
+
+
+@_query
+def delete_duplicate_row_tied_key(spark: SparkSession, folder: str) -> DataFrame:
+    return cleanse.delete_duplicate_row(lineitem_ties(spark, folder), "l_orderkey", "k")
+
+
+@_query
+def delete_duplicate_row_whole(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    return cleanse.delete_duplicate_row(lines.union(lines.filter("l_quantity < 10")))
+
+
+@_query
+def duplicate_rows_whole(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    return quality.duplicate_rows(lines.union(lines.filter("l_quantity < 10")))
+
+
 @_query
 def delete_duplicate_row(spark: SparkSession, folder: str) -> DataFrame:
     return cleanse.delete_duplicate_row(lineitem_gaps(spark, folder).select("l_returnflag", "l_linenumber", "l_tax"))
@@ -651,6 +686,48 @@ def type_mix(spark: SparkSession, folder: str) -> DataFrame:
     return columns.type_mix(order_texts(spark, folder))
 
 
+@_query
+def group_sum_nan(spark: SparkSession, folder: str) -> DataFrame:
+    return series.group_sum(lineitem_nan(spark, folder), "l_discount", "l_quantity", None)
+
+
+@_query
+def value_counts_nan(spark: SparkSession, folder: str) -> DataFrame:
+    return series.value_counts(lineitem_nan(spark, folder), "l_discount", None)
+
+
+@_query
+def kpi_distinct_nan(spark: SparkSession, folder: str) -> DataFrame:
+    lines = lineitem_nan(spark, folder)
+    both = kpi.kpi_category(lines, "count_distinct", ["l_discount", "l_returnflag"])
+    return both.select("field", "value").union(kpi.kpi_number(lines, "count_distinct", "l_discount").select("field", F.col("value").cast("bigint").cast("string")))
+
+
+@_query
+def map_summary_nan(spark: SparkSession, folder: str) -> DataFrame:
+    people = table(spark, folder, "customer").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    balance = F.when(F.col("c_acctbal") > 5000, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    places = people.select(F.col("n_name").alias("Country"), balance.alias("balance"))
+    return series.map_summary(places, "Country", "balance", table(spark, folder, "nation").select(F.col("n_name").alias("Country")))
+
+
+@_query
+def share_series_all(spark: SparkSession, folder: str) -> DataFrame:
+    return series.share_series(table(spark, folder, "part"), "p_brand", None)
+
+
+@_query
+def radar_all(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(series.radar_series(table(spark, folder, "orders"), "o_custkey", "o_totalprice", None), 6, "sum", "scaled")
+
+
+@_query
+def date_flags(spark: SparkSession, folder: str) -> DataFrame:
+    texts = order_texts(spark, folder)
+    names = ["iso_day", "us_day", "some_day", "lettered"]
+    return reshape.literal_rows(spark, [{"column": c, "is_date": roles.is_date_column(texts, c)} for c in names])
+
+
 # --- paging ---------------------------------------------------------------------------------
 
 NEWEST_FIRST: Names = ["-o_totalprice", "o_orderkey"]
@@ -679,6 +756,16 @@ def page_info(spark: SparkSession, folder: str) -> DataFrame:
     return paging.page_info(table(spark, folder, "orders"), 2, 64)
 
 
+@_query
+def page_info_large(spark: SparkSession, folder: str) -> DataFrame:
+    return paging.page_info(table(spark, folder, "lineitem"), 1, 3_000_000)
+
+
+@_query
+def page_slice_large(spark: SparkSession, folder: str) -> DataFrame:
+    return paging.page_slice(table(spark, folder, "customer"), "c_custkey", 1, 3_000_000, max_size=None)
+
+
 @_query
 def page_list(spark: SparkSession, folder: str) -> DataFrame:
     return paging.page_list(table(spark, folder, "orders"), 64)
@@ -775,6 +862,37 @@ def cleansed_csv(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_csv(spark, path)
 
 
+@_query
+def csv_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Line breaks, quotes and separators inside cells, written and read again."""
+    path = shared.fresh_path(spark, "broken-lines")
+    note = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('",;'), F.col("c_nationkey").cast("string"), F.lit("\n"))
+    customers = table(spark, folder, "customer").select("c_custkey", note.alias("note"), "c_acctbal")
+    writers.write_cleansed(customers, path)
+    return readers.read_csv(spark, path)
+
+
+@_query
+def scraped_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables of different widths in one crawl, pages by address, written and read again."""
+    path = shared.fresh_path(spark, "scraped")
+    page = F.concat(
+        F.lit("<table><tr><td>"), F.col("n_name"), F.lit("</table><table><tr><td>a, b<td>c<td>"), F.col("n_nationkey").cast("string"),
+        F.lit("<tr><td>short</table>"),
+    )
+    pages = table(spark, folder, "nation").select(F.concat(F.lit("p-"), F.col("n_nationkey").cast("string")).alias("page_id"), page.alias("html"))
+    writers.write_tables(html_tables.extract_html_tables(pages), path, folder_per_table=False)
+    return spark.read.text(path)
+
+
+@_query
+def json_document(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared.fresh_path(spark, "document")
+    records = table(spark, folder, "region").agg(F.to_json(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("value"))
+    records.write.text(path)
+    return readers.read_json_document(spark, path)
+
+
 @_query
 def delimited_file(spark: SparkSession, folder: str) -> DataFrame:
     """Written with another separator and read back without naming it."""
@@ -800,6 +918,14 @@ def stored_profiles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def stored_profile_by_id(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared.fresh_path(spark, "profiles")
+    writers.append_profile(profile.profile_counts(table(spark, folder, "orders")), "orders", "tpch", path)
+    wanted = writers.find_profiles(spark, path).filter(F.col("metadata")["column"] == "o_custkey").first()["_id"]
+    return writers.profile_by_id(spark, path, wanted).select("file_id", "metadata.column", "metadata.total_count")
+
+
 @_query
 def cleansed_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Cleansed into a file, profiled from that file, stored and looked up."""

@@ -306,6 +306,13 @@ def _copies(source: str, columns: str) -> str:
     FROM {source}) WHERE copy > 1"""
 
 
+def _tied(wanted: str) -> str:
+    columns = "k, l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
+    order = "k NULLS FIRST, l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate"
+    return f"""SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {order}) AS copy
+        FROM (SELECT nullif(l_linenumber, 1) AS k, * FROM lineitem)) WHERE {wanted}"""
+
+
 def _quality_counts() -> str:
     source = "(SELECT nullif(event_type, 'view') AS event_type, value, user_id FROM events)"
     return f"""SELECT 'missing_rows' AS measure, '' AS "column",
@@ -424,6 +431,39 @@ def oracle() -> dict[str, str]:
         "delete_duplicate_row": f"SELECT DISTINCT l_returnflag, l_linenumber, l_tax FROM {LINEITEM_GAPS}",
         "delete_duplicate_row_by_text": """SELECT doc_id, lang, n_chars FROM (SELECT *, row_number() OVER
             (PARTITION BY text ORDER BY doc_id) AS copy FROM documents) WHERE copy = 1""",
+        "duplicate_rows_tied_key": _tied("copy > 1"),
+        "delete_duplicate_row_tied_key": _tied("copy = 1"),
+        "delete_duplicate_row_whole": "SELECT DISTINCT * FROM lineitem",
+        "duplicate_rows_whole": """SELECT * FROM lineitem WHERE l_quantity < 10
+            UNION ALL SELECT * EXCLUDE (copy) FROM (SELECT *, row_number() OVER (PARTITION BY lineitem) AS copy FROM lineitem)
+            WHERE copy > 1""",
+        "group_sum_nan": """SELECT l_discount, sum(l_quantity) AS sum FROM lineitem WHERE l_discount <> 0.05 GROUP BY 1""",
+        "value_counts_nan": """SELECT l_discount, count(*) AS "count" FROM lineitem WHERE l_discount <> 0.05 GROUP BY 1""",
+        "kpi_distinct_nan": """SELECT 'l_discount' AS field,
+            CAST(count(DISTINCT nullif(l_discount, 0.05)) AS VARCHAR) AS value FROM lineitem
+            UNION ALL SELECT 'l_returnflag', CAST(count(DISTINCT l_returnflag) AS VARCHAR) FROM lineitem
+            UNION ALL SELECT 'l_discount', CAST(count(DISTINCT nullif(l_discount, 0.05)) AS VARCHAR) FROM lineitem""",
+        "map_summary_nan": """SELECT min(c_acctbal) AS minimum, max(c_acctbal) AS maximum, count(*) AS total_countries
+            FROM customer WHERE c_acctbal <= 5000""",
+        "share_series_all": """SELECT p_brand, count(*) AS "count",
+            round(count(*) * 100.0 / (SELECT count(*) FROM part), 1) AS percent FROM part GROUP BY 1""",
+        "radar_all": """SELECT o_custkey, round(s, 6) AS sum, round(s / max(s) OVER (), 6) AS scaled
+            FROM (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY 1)""",
+        "date_flags": f"""SELECT 'iso_day' AS "column", count(try_strptime(iso_day, '%Y-%m-%d')) = count(iso_day) AS is_date
+            FROM {ORDER_TEXTS}
+            UNION ALL SELECT 'us_day', count(try_strptime(us_day, '%m/%d/%Y')) = count(us_day) FROM {ORDER_TEXTS}
+            UNION ALL SELECT 'some_day', count(try_strptime(some_day, '%Y-%m-%d')) = count(some_day) FROM {ORDER_TEXTS}
+            UNION ALL SELECT 'lettered', count(try_strptime(lettered, '%Y-%m-%d')) = count(lettered) FROM {ORDER_TEXTS}""",
+        "page_info_large": """SELECT count(*) AS "count", 1 AS total_pages, 1 AS page, 3000000 AS size, FALSE AS next,
+            FALSE AS previous FROM lineitem""",
+        "page_slice_large": "SELECT * FROM customer",
+        "csv_line_breaks": """SELECT c_custkey, c_name || chr(10) || '"' || c_mktsegment || '",;' || c_nationkey || chr(10) AS note,
+            c_acctbal FROM customer""",
+        "scraped_files": """SELECT 'p-' || n_nationkey || ',0,0,' || n_name AS value FROM nation
+            UNION ALL SELECT 'p-' || n_nationkey || ',1,0,"a, b",c,' || n_nationkey FROM nation
+            UNION ALL SELECT 'p-' || n_nationkey || ',1,1,short,,' FROM nation""",
+        "json_document": "SELECT r_regionkey, r_name FROM region",
+        "stored_profile_by_id": """SELECT 'orders' AS file_id, 'o_custkey' AS "column", count(*) AS total_count FROM orders""",
         "iqr_bounds": "\nUNION ALL\n".join(
             f"""SELECT "column", round(q1, 6) AS q1, round(q3, 6) AS q3, round(q1 - 1.5 * (q3 - q1), 6) AS lower,
             round(q3 + 1.5 * (q3 - q1), 6) AS upper FROM ({_quartiles(c, "lineitem")})"""

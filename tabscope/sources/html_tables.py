@@ -15,15 +15,9 @@ from pyspark.sql import functions as F
 # The parser travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SCHEMA = "page_id bigint, table_index int, row_index int, cells array<string>"
-_ARROW = pa.schema(
-    [
-        ("page_id", pa.int64()),
-        ("table_index", pa.int32()),
-        ("row_index", pa.int32()),
-        ("cells", pa.list_(pa.string())),
-    ]
-)
+_FIELDS = "table_index int, row_index int, cells array<string>"
+_KINDS = (pa.int32(), pa.int32(), pa.list_(pa.string()))
+_NAMES = ("page_id", "table_index", "row_index", "cells")
 _ROWS_PER_BATCH = 5_000
 _TABLE_TAG = re.compile(r"</?table[^>]*>?", re.IGNORECASE | re.ASCII)
 
@@ -120,30 +114,33 @@ def table_rows(html: str | None) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple[int, int, int, list[str]]] = []
+    rows: list[tuple[object, int, int, list[str]]] = []
+    key = pa.null()
     for batch in batches:
+        key = batch.column(0).type
         for page_id, html in zip(batch.column(0), batch.column(1), strict=True):
             for table, row, cells in table_rows(html.as_py()):
                 rows.append((page_id.as_py(), table, row, cells))
                 if len(rows) >= _ROWS_PER_BATCH:
-                    yield _batch(rows)
+                    yield _batch(rows, key)
                     rows = []
     if rows:
-        yield _batch(rows)
+        yield _batch(rows, key)
 
 
-def _batch(rows: list[tuple[int, int, int, list[str]]]) -> pa.RecordBatch:
-    columns = [pa.array(values, field.type) for values, field in zip(zip(*rows, strict=True), _ARROW, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+def _batch(rows: list[tuple[object, int, int, list[str]]], key: pa.DataType) -> pa.RecordBatch:
+    columns = [pa.array(v, kind) for v, kind in zip(zip(*rows, strict=True), (key, *_KINDS), strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=list(_NAMES))
 
 
 def extract_html_tables(pages: DataFrame) -> DataFrame:
-    """``(page_id, table_index, row_index, cells)`` from a table with ``page_id`` and ``html``.
+    """``(page_id, table_index, row_index, cells)`` from a table with ``page_id``, of any type, and ``html``.
 
     Pages without a table are dropped by a text test first and never leave the JVM.
     """
     wanted = pages.filter(F.contains(F.lower("html"), F.lit("<table")))
-    return wanted.select(F.col("page_id").cast("bigint"), "html").mapInArrow(_extract, SCHEMA)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return wanted.select("page_id", "html").mapInArrow(_extract, f"page_id {kind}, {_FIELDS}")
 
 
 def table_cells(rows: DataFrame) -> DataFrame:
@@ -153,12 +150,14 @@ def table_cells(rows: DataFrame) -> DataFrame:
     )
 
 
-def widen_table_cells(rows: DataFrame) -> DataFrame:
+def widen_table_cells(rows: DataFrame, width: int | None = None) -> DataFrame:
     """Ragged rows as a rectangular table ``c0, c1, ...``; short rows are padded with NULL.
 
-    The width decides the schema, so it is looked up right away.
+    The width decides the schema. If it is not given, it is looked up right away, which reads ``rows`` once more: store
+    rows that are dear to make.
     """
-    width = rows.agg(F.max(F.size("cells")).alias("width")).first()["width"] or 0
+    if width is None:
+        width = rows.agg(F.max(F.size("cells")).alias("width")).first()["width"] or 0
     return rows.select(
         "page_id",
         "table_index",

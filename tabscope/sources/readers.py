@@ -26,16 +26,20 @@ def read_csv(
     path: str,
     *,
     sep: str = ",",
-    encoding: str = "UTF-8",
+    encoding: str | None = None,
     missing: Sequence[str] = fixed.MISSING_TEXTS,
     with_order: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A CSV file with a header, typed by its content.
 
     Rows with too many cells are left out, short ones are padded. ``with_order`` adds ``_order``,
-    the position in the files, for operators that follow row order.
+    the position in the files, for operators that follow row order. Without ``encoding``, files that are not all
+    UTF-8 are read as Latin-1. ``multi_line`` lets quoted cells hold line breaks; a file is then read by one task, so
+    set it to False for large files that hold none.
     """
-    options = {"header": True, "sep": sep, "encoding": encoding, "quote": '"', "escape": '"'}
+    encoding = encoding or text_encoding(spark, path)
+    options = {"header": True, "sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": multi_line}
     names = spark.read.options(**options).csv(path).columns  # reads the header line
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SPARE]])
     # The filter asks for the spare cell, so it is parsed whatever columns are read later.
@@ -86,19 +90,37 @@ def _cast(column: Column, target: str) -> Column:
     return F.trim(column).try_cast(target)
 
 
-def read_csv_for_profile(spark: SparkSession, path: str, *, encoding: str = "UTF-8") -> DataFrame:
+def text_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line is, else Latin-1, which any bytes are; looked up right away."""
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value"))
+    return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
+
+
+def read_csv_for_profile(
+    spark: SparkSession, path: str, *, encoding: str | None = None, multi_line: bool = True
+) -> DataFrame:
     """A CSV file whose separator is the more frequent of comma and semicolon; few texts mean missing."""
+    encoding = encoding or text_encoding(spark, path)
     head = _head_text(spark, path, encoding)
     sep = ";" if head.count(";") > head.count(",") else ","
-    return read_csv(spark, path, sep=sep, encoding=encoding, missing=fixed.PROFILE_MISSING_TEXTS)
+    return read_csv(
+        spark, path, sep=sep, encoding=encoding, missing=fixed.PROFILE_MISSING_TEXTS, multi_line=multi_line
+    )
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str | None = None, *, encoding: str = "UTF-8", with_order: bool = False
+    spark: SparkSession,
+    path: str,
+    sep: str | None = None,
+    *,
+    encoding: str | None = None,
+    with_order: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A text table; the separator is found in the first lines when none is given."""
+    encoding = encoding or text_encoding(spark, path)
     sep = sep or sniff_separator(_head_text(spark, path, encoding))
-    return read_csv(spark, path, sep=sep, encoding=encoding, with_order=with_order)
+    return read_csv(spark, path, sep=sep, encoding=encoding, with_order=with_order, multi_line=multi_line)
 
 
 def sniff_separator(text: str) -> str:
@@ -146,13 +168,13 @@ def stream_json_lines(spark: SparkSession, path: str, schema: str, files_per_bat
     return reader.json(path)
 
 
-def read_table(spark: SparkSession, path: str, *, encoding: str = "UTF-8") -> DataFrame:
+def read_table(spark: SparkSession, path: str, *, encoding: str | None = None) -> DataFrame:
     """A data set by its file extension: csv, json or txt."""
     extension = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     if extension == "csv":
         return read_csv(spark, path, encoding=encoding)
     if extension == "json":
-        return read_json_document(spark, path, encoding=encoding)
+        return read_json_document(spark, path, encoding=encoding or "UTF-8")
     if extension == "txt":
         return read_delimited(spark, path, encoding=encoding)
     raise ValueError(f"Unsupported file type: {extension or path}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,13 +14,13 @@ _SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    A session that runs on one machine and names none gets a temporary folder of its own; a
-    cluster session has to name one.
+    A session inside one process that names none gets a temporary folder of its own; any cluster
+    session, a local cluster too, has to name one.
     """
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError(f"{_SETTING} names no shared folder")
     made = tempfile.mkdtemp(prefix="tabscope-")
     spark.conf.set(_SETTING, made)

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabscope.functions.scalars import ref
-from tabscope.sources.html_tables import widen_table_cells
 
 
 def write_cleansed(df: DataFrame, path: str) -> int:
     """CSV with a header; returns the number of rows, counted while writing."""
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").csv(
-        path, header=True, escape='"'
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     )
     return seen.get["rows"]
 
@@ -21,14 +20,25 @@ def write_cleansed(df: DataFrame, path: str) -> int:
 def write_tables(cells: DataFrame, path: str, *, folder_per_table: bool = True) -> None:
     """Scraped rows as headerless CSV, one folder per page and table, led by the row's index.
 
-    A page is read by one task, so every table ends up in one file. For more tables than a file
-    system likes folders, ``folder_per_table=False`` puts page and table in front of each row.
+    Rows are padded to the width of their own table. For more tables than a file system likes folders,
+    ``folder_per_table=False`` puts page and table in front of each row.
     """
-    wide = widen_table_cells(cells)
-    writer = wide.sortWithinPartitions("page_id", "table_index", "row_index").write.mode("errorifexists")
+    table = Window.partitionBy("page_id", "table_index")  # the rows of one table of one page
+    sized = cells.withColumn("_width", F.max(F.size("cells")).over(table))
+    spare = F.array_repeat(F.lit(""), F.col("_width") - F.size("cells"))
+    lead = [F.col("row_index").cast("string")]
+    if not folder_per_table:
+        lead = [F.col(c).cast("string") for c in ("page_id", "table_index", "row_index")]
+    row = F.concat(F.array(*lead), F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), spare)
+    quoted = F.transform(
+        row, lambda c: F.when(c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    )
+    ordered = sized.sortWithinPartitions("page_id", "table_index", "row_index")
+    line = F.array_join(quoted, ",").alias("value")
     if folder_per_table:
-        writer = writer.partitionBy("page_id", "table_index")
-    writer.csv(path, header=False, escape='"')
+        ordered.select("page_id", "table_index", line).write.mode("errorifexists").partitionBy("page_id", "table_index").text(path)
+    else:
+        ordered.select(line).write.mode("errorifexists").text(path)
 
 
 def append_profile(profile: DataFrame, file_id: str, project_id: str, path: str) -> None:
@@ -46,8 +56,11 @@ def append_profile(profile: DataFrame, file_id: str, project_id: str, path: str)
 def find_profiles(
     spark: SparkSession, path: str, file_id: str | None = None, project_id: str | None = None
 ) -> DataFrame:
-    """Stored documents of a file or project; the conditions reach the file reader."""
-    found = spark.read.parquet(path)
+    """Stored documents of a file or project; the conditions reach the file reader.
+
+    Profiles of several kinds may stand in one store: their fields are put together.
+    """
+    found = spark.read.option("mergeSchema", True).parquet(path)
     if file_id:
         found = found.filter(F.col("file_id") == file_id)
     if project_id:
@@ -56,4 +69,4 @@ def find_profiles(
 
 
 def profile_by_id(spark: SparkSession, path: str, document_id: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("_id") == document_id)
+    return spark.read.option("mergeSchema", True).parquet(path).filter(F.col("_id") == document_id)

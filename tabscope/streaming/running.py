@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tabscope.functions.reshape import long_numbers
-from tabscope.functions.scalars import Names, as_list, field_type, numeric_columns, ref
+from tabscope.functions.scalars import Names, as_list, field_type, known, numeric_columns, ref
 from tabscope.sources.shared import fresh_path
 
 
@@ -44,13 +44,14 @@ def stream_profile(
 def stream_value_counts(stream: DataFrame, column: str) -> DataFrame:
     """Running ``(<column>, count)`` of present values."""
     field_type(stream, column)
-    return stream.filter(ref(column).isNotNull()).groupBy(ref(column)).agg(F.count(F.lit(1)).alias("count"))
+    present = stream.select(known(stream, column).alias(column)).filter(ref(column).isNotNull())
+    return present.groupBy(ref(column)).agg(F.count(F.lit(1)).alias("count"))
 
 
 def start_running(
     result: DataFrame, path: str, *, available_now: bool = True, interval: str = "1 minute"
 ) -> StreamingQuery:
-    """Keeps the newest state of a running aggregation below ``path``, one folder per batch.
+    """Keeps the newest states of a running aggregation below ``path``, one folder for each of the last two batches.
 
     A batch that is run again after a failure rewrites its own folder, so results appear once.
     """
@@ -66,6 +67,10 @@ def start_running(
 def _replace(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        # The state before stays for whoever is reading it.
+        jvm = batch.sparkSession._jvm
+        old = jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number - 2}")
+        old.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
 

@@ -137,10 +137,12 @@ def test_map(spark):
     assert rows == [("france", 5.0), ("france", 1.0)]
     assert tuple(series.map_summary(data, "place", "v", countries).first()) == (1.0, 5.0, 2)
     assert [tuple(r) for r in series.unmatched_places(data, "place", countries).collect()] == [("atlantis", 2)]
-    with pytest.raises(ValueError, match="No matches"):
+    with pytest.raises(ValueError, match="no place"):
         series.map_series(data.filter("place = 'Atlantis'"), "place", "v", countries, strict=True)
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="holds places"):
         series.map_series(data, "zzz", "v", countries)
+    with pytest.raises(ValueError, match="no place"):
+        series.chart(data.filter("place = 'Atlantis'"), "map_chart", "place", "v", countries=countries)
     named = data.withColumnRenamed("place", "NAME")
     assert series.map_series(named, "zzz", "v", countries).count() == 2
 

@@ -1,3 +1,5 @@
+import os
+
 import datetime
 
 import pytest
@@ -42,8 +44,11 @@ def test_page_index(spark, rows):
     assert got == list(enumerate(want, 1))
 
 
-def test_deep_pages_come_from_an_index(rows, monkeypatch):
-    monkeypatch.setattr(paging, "DEEPEST_SCANNED_ROW", 500)
+def test_deep_pages_write_nothing(spark, rows):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    before = set(os.listdir(folder.removeprefix("file:")))
+    assert paging.page_slice(rows, "id", 2_000_002, 1).count() == 0
+    assert set(os.listdir(folder.removeprefix("file:"))) == before
     deep = [r["id"] for r in paging.page_slice(rows, ["g", "-id"], 4, 150).collect()]
     assert deep == [r["id"] for r in rows.orderBy("g", rows["id"].desc()).collect()][450:600]
 
@@ -53,7 +58,7 @@ def test_info_and_list(spark, rows):
     assert (info["count"], info["total_pages"], info["next"], info["previous"]) == (1000, 3, False, True)
     assert [r["page"] for r in paging.page_list(rows, 400).collect()] == [1, 2, 3]
     assert [r["page"] for r in paging.page_list(rows.filter("id < 0")).collect()] == [1]
-    assert paging.page_info(rows, 1, 5_000_000).first()["size"] == 1_000_000
+    assert paging.page_info(rows, 1, 5_000_000).first()["size"] == 5_000_000
     for bad in ((0, 10), (1, 0)):
         with pytest.raises(ValueError):
             paging.page_info(rows, *bad)

@@ -58,6 +58,15 @@ def test_copies_by_subset_follow_the_order(spark):
         cleanse.delete_duplicate_row(df, "text")
 
 
+def test_copies_by_subset_with_ties_and_missing_keys(spark):
+    df = spark.createDataFrame([("a", None), ("b", 1), ("b", 2)], "s string, k int")
+    assert quality.duplicate_rows(df, "s", "k").collect() == [("b", 2)]
+    assert sorted(map(tuple, cleanse.delete_duplicate_row(df, "s", "k").collect()), key=repr) == [("a", None), ("b", 1)]
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("b", 2)], "s string, k int")
+    assert sorted(map(tuple, quality.duplicate_rows(df, "s", "k").collect())) == [("a", 2), ("b", 2), ("b", 3)]
+    assert sorted(map(tuple, cleanse.delete_duplicate_row(df, "s", "k").collect())) == [("a", 1), ("b", 2)]
+
+
 def test_one_group_holds_a_third_of_all_rows(spark):
     df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     assert quality.duplicate_rows(df).count() == 9_999

@@ -85,7 +85,7 @@ def test_headers_and_names(spark):
     df = spark.createDataFrame([(1, 2)], "` a ` int, `b.c` int")
     assert trim_headers(df).columns == ["a", "b.c"]
     assert df.select(scalars.ref("b.c")).first()[0] == 2
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no column"):
         scalars.field_type(df, "zzz")
 
 

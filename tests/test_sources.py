@@ -155,10 +155,32 @@ def test_html_job(spark):
     writers.write_tables(rows, path)
     stored = spark.read.csv(f"{path}/page_id=1/table_index=0").collect()
     assert [tuple(r)[:3] for r in stored] == [("0", "A", "b"), ("1", "c", None)]
+    lines = [r[0] for r in spark.read.text(f"{path}/page_id=1/table_index=1").collect()]
+    assert all(line.count(",") == 1 for line in lines)  # as wide as its own table
     writers.write_tables(rows, f"{path}-flat", folder_per_table=False)
     assert spark.read.csv(f"{path}-flat").count() == rows.count()
 
 
+def test_pages_by_address(spark):
+    pages = spark.createDataFrame([("http://a/?x=1", "<table><tr><td>1</table>"), (None, "<table><tr><td>2</table>")], "page_id string, html string")
+    assert sorted(((r.page_id, r.cells) for r in extract_html_tables(pages).collect()), key=repr) == [("http://a/?x=1", ["1"]), (None, ["2"])]
+
+
+def test_latin1_files(spark, folder):
+    path = write(folder, "l.csv", "id,name\n1,Müller\n2,é\n", "latin-1")
+    assert [r["name"] for r in readers.read_csv(spark, path).orderBy("id").collect()] == ["Müller", "é"]
+    path = write(folder, "u.csv", "id;name\n1;Müller\n")
+    assert readers.read_csv_for_profile(spark, path).first()["name"] == "Müller"
+
+
+def test_cells_with_line_breaks(spark, folder):
+    df = spark.createDataFrame([(1, "one\ntwo"), (2, 'say "x", y'), (3, "plain")], "id int, s string")
+    writers.write_cleansed(df, f"{folder}/out")
+    back = readers.read_csv_for_profile(spark, f"{folder}/out").orderBy("id")
+    assert back.dtypes[0] == ("id", "bigint")
+    assert [r["s"] for r in back.collect()] == ["one\ntwo", 'say "x", y', "plain"]
+
+
 def test_many_rows_per_page(spark):
     cells = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12_000)), lambda i: F.concat(F.lit("<tr><td>"), i.cast("string"))), "")
     pages = spark.range(2).select(F.col("id").alias("page_id"), F.concat(F.lit("<table>"), cells).alias("html"))
