@@ -82,13 +82,13 @@ def backoff_scores(rows: list[tuple[int, str | None]], rare: float, backoff: flo
     two = Counter(g for line in lines.values() for g in zip(line, line[1:], strict=False))
     out = {}
     for i, line in lines.items():
-        own, pairs, score = Counter(line), Counter(zip(line, line[1:], strict=False)), 0.0
+        pairs, score = Counter(zip(line, line[1:], strict=False)), 0.0
         for (v, w), n in pairs.items():
             others = two[v, w] - n
             if others:
-                score += n * math.log(others / (one[v] - own[v]))
+                score += n * math.log(others / one[v])
             else:
-                score += n * math.log(backoff * (one[w] - own[w] + 1) / (total - len(line) + 1 + len(vocabulary) + 1))
+                score += n * math.log(backoff * one[w] / total)
         out[i] = (len(line) - 1, score)
     return out
 
