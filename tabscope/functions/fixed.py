@@ -135,3 +135,6 @@ LIST_PAGE_SIZE = 10
 # Outlier limits.
 IQR_FENCE = 1.5
 Z_LIMIT = 3.0
+
+# Fixed value: the type name of a column's document.
+COLUMN_DOCUMENT = "OBJECT_TYPE_TABLE_COLUMN"

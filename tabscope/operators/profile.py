@@ -205,8 +205,9 @@ def _head(df: DataFrame) -> DataFrame:
 def profile(df: DataFrame, *, detect_dates: bool = True) -> DataFrame:
     """One flat row per column: counts, moments, quartiles, number of bins, most common value.
 
-    Four readings of the table: one aggregation for all columns, two to pin down the quartiles,
-    one to count texts. ``detect_dates`` looks for dates in text columns first.
+    Five readings of the table: one aggregation for all columns, three to pin down the quartiles (sketch, counts
+    between fences, the wanted slices), one to count texts. ``detect_dates`` looks for dates in text columns first, with up
+    to two more.
     """
     if detect_dates:
         df = with_dates(df)
@@ -229,7 +230,7 @@ def profile(df: DataFrame, *, detect_dates: bool = True) -> DataFrame:
             F.lit(None).cast("bigint").alias("most_common_value_count"),
             F.lit(None).cast("bigint").alias("unique_value_count"),
         )
-    return out.join(F.broadcast(quartiles), "column", "left").join(F.broadcast(common), "column", "left")
+    return out.join(F.broadcast(quartiles), "column", "left").join(common, "column", "left")
 
 
 def profile_histograms(df: DataFrame, columns: Names | None = None) -> DataFrame:
@@ -243,7 +244,11 @@ def profile_histograms(df: DataFrame, columns: Names | None = None) -> DataFrame
 
 
 def profile_documents(df: DataFrame, *, detect_dates: bool = True) -> DataFrame:
-    """One nested document per column, with quantiles, value counts and histogram buckets."""
+    """One nested document per column, with quantiles, value counts and histogram buckets.
+
+    A document holds all buckets of its column, as many as the bin rule asks for; :func:`profile_histograms` gives them as
+    rows instead.
+    """
     if detect_dates:
         df = with_dates(df)
     out = _head(df)
@@ -273,7 +278,7 @@ def profile_documents(df: DataFrame, *, detect_dates: bool = True) -> DataFrame:
                 ]
             ).alias("quantiles"),
         )
-        out = out.join(F.broadcast(shaped), "column", "left")
+        out = out.join(shaped, "column", "left")  # no hint: bucket lists may be long
     else:
         out = out.withColumn("buckets", F.lit(None).cast(bucket_type)).withColumn(
             "quantiles", F.lit(None).cast("array<struct<point:double,value:double>>")
@@ -283,11 +288,11 @@ def profile_documents(df: DataFrame, *, detect_dates: bool = True) -> DataFrame:
         shaped = datetime_histogram(df, dates).groupBy("column").agg(
             F.sort_array(F.collect_list(bucket)).alias("date_buckets")
         )
-        out = out.join(F.broadcast(shaped), "column", "left")
+        out = out.join(shaped, "column", "left")  # no hint: bucket lists may be long
     else:
         out = out.withColumn("date_buckets", F.lit(None).cast(date_bucket_type))
     if texts:
-        out = out.join(F.broadcast(profile_string(df, texts)), "column", "left")
+        out = out.join(profile_string(df, texts), "column", "left")  # no hint: nor are texts bounded
     else:
         out = (
             out.withColumn("most_common_value", F.lit(None).cast("string"))
@@ -319,7 +324,7 @@ def profile_documents(df: DataFrame, *, detect_dates: bool = True) -> DataFrame:
         F.struct(F.coalesce("date_buckets", no_date_buckets).alias("buckets")).alias("histogram"),
     )
     return out.select(
-        F.lit("OBJECT_TYPE_TABLE_COLUMN").alias("type"),
+        F.lit(fixed.COLUMN_DOCUMENT).alias("type"),
         F.col("column").alias("name"),
         F.lit("").alias("description"),
         F.struct(F.col("position").alias("order"), "original_type", F.col("type"), "extended_type").alias(
