@@ -71,7 +71,8 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(read_table(spark, sf_dir, "documents"))
+    scores = lm_score.score_documents(read_table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", *[F.round(c, 4).alias(c) for c in ("log_score", "mean_log")])
 
 
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,5 +134,93 @@ FROM pieces
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"""words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+)"""
+
+NEAR_SQL = f"""
+WITH RECURSIVE {_WORDS},
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s
+  FROM words WHERE len(ws) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id
+),
+links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c.n >= {near_dup.LINK_PERCENT} * (x.n + y.n - c.n)
+),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+LM_SQL = f"""
+WITH {_WORDS},
+tokens AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM words),
+counts AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
+total AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM counts),
+known AS (SELECT word FROM counts, total WHERE n > 1 AND n >= {lm_score.RARE} * t),
+numbered AS (SELECT doc_id, place, coalesce(k.word, ' ?') AS word FROM tokens LEFT JOIN known k ON k.word = tokens.word),
+grams AS (
+  SELECT doc_id, lag(word, 1, ' ^') OVER (PARTITION BY doc_id ORDER BY place) AS v, word AS w FROM numbered
+),
+one AS (
+  SELECT w AS word, CAST(count(*) AS DOUBLE) AS n FROM grams GROUP BY w
+  UNION ALL SELECT ' ^', CAST(count(DISTINCT doc_id) AS DOUBLE) FROM grams
+),
+own AS (SELECT doc_id, v, w, CAST(count(*) AS DOUBLE) AS n FROM grams GROUP BY doc_id, v, w),
+two AS (SELECT v, w, sum(n) AS n FROM own GROUP BY v, w),
+scores AS (
+  SELECT doc_id, CAST(sum(o.n) AS BIGINT) AS n_words,
+    sum(o.n * CASE WHEN p.n > o.n THEN ln(p.n - o.n) - ln(a.n) ELSE ln({lm_score.BACKOFF} * b.n / t) END) AS score
+  FROM own o JOIN two p ON p.v = o.v AND p.w = o.w JOIN one a ON a.word = o.v JOIN one b ON b.word = o.w CROSS JOIN total
+  GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(score, 0.0), 4) AS log_score, round(score / n_words, 4) AS mean_log
+FROM documents LEFT JOIN scores USING (doc_id)
+"""
+
+_BYTES = suffix_dedup.LENGTH
+REPEATS_SQL = f"""
+WITH data AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (
+  SELECT doc_id, h, unnest(range(length(h) // 2 - {_BYTES - 1})) AS p FROM data WHERE length(h) >= {2 * _BYTES}
+),
+strings AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, {2 * _BYTES})) AS s FROM starts),
+hits AS (SELECT doc_id, p FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)),
+marked AS (
+  SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {_BYTES}, TRUE) AS first FROM hits
+),
+grouped AS (SELECT doc_id, p, sum(CAST(first AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(p) AS b, max(p) + {_BYTES} AS e FROM grouped GROUP BY doc_id, span),
+between_spans AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS k, b FROM spans
+  UNION ALL SELECT doc_id, max(e), 4000000000 FROM spans GROUP BY doc_id
+),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * k + 1, 2 * least(b - k, length(h))), '' ORDER BY k) AS h FROM between_spans JOIN data USING (doc_id)
+  GROUP BY doc_id
+),
+sizes AS (SELECT doc_id, CAST(sum(e - b) AS BIGINT) AS removed, count(*) AS n FROM spans GROUP BY doc_id)
+SELECT doc_id, length(d.h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM data d LEFT JOIN kept k USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": URL_SQL}
+    return {
+        "op4_near_dedup": NEAR_SQL,
+        "op7_lm_score": LM_SQL,
+        "op8_suffix_dedup": REPEATS_SQL,
+        "op9_url_filter": URL_SQL,
+    }
