@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import batches_out, mixed, prefix_hashes, span_hashes, stored, text_buffers
+from tabscope.llm.common import batches_out, likely_rows, mixed, prefix_hashes, span_hashes, stored, text_buffers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -202,7 +202,8 @@ def repeated_ranges(rows: DataFrame, length: int, gram: int, unit: int = 1, dist
         F.max("content").alias("c2"),
         *([F.min(place).alias("p1"), F.max(place).alias("p2")] if distinct else []),
     )
-    shared = facts.filter("p1 <> p2" if distinct else "n > 1").select("anchor", (F.col("c1") != F.col("c2")).alias("mixed"))
+    # Tables that a large side is joined with are stored first: then Spark can split an anchor with very many rows.
+    shared = stored(facts.filter("p1 <> p2" if distinct else "n > 1").select("anchor", (F.col("c1") != F.col("c2")).alias("mixed")), "shared")
     segments = stored(found.join(shared, "anchor"), "segments")
 
     # One row for each different segment of an anchor, its copies counted.
@@ -211,9 +212,10 @@ def repeated_ranges(rows: DataFrame, length: int, gram: int, unit: int = 1, dist
         .groupBy("anchor", "content")
         .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "alt", "first", "windows")).alias("one"), F.min(place).alias("p1"), F.max(place).alias("p2"))
     )
-    many = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = stored(kinds, "kinds")
+    many = stored(kinds.groupBy("anchor").count().filter(F.col("count") > GROUP).select("anchor", F.lit(True).alias("many")), "many")
     # Owners as numbers that keep "the same or not": equal numbers for equal owners.
-    wanted = kinds.join(many, "anchor").select(
+    wanted = kinds.join(many, "anchor", "left").select(
         F.col("one.id").alias("id"),
         F.col("one.alt").alias("alt"),
         F.struct(
@@ -224,11 +226,11 @@ def repeated_ranges(rows: DataFrame, length: int, gram: int, unit: int = 1, dist
             "copies",
             F.xxhash64("p1").alias("low"),
             F.xxhash64("p2").alias("high"),
-            (F.col("kinds") > GROUP).alias("hot"),
+            F.coalesce("many", F.lit(False)).alias("hot"),
         ).alias("part"),
     )
-    by_row = wanted.groupBy("id", "alt").agg(F.collect_list("part").alias("parts"))
-    pieces = _cut(rows, by_row, length, unit)
+    by_row = stored(wanted.groupBy("id", "alt").agg(F.collect_list("part").alias("parts")), "wanted")
+    pieces = stored(_cut(likely_rows(rows, "id", by_row.select("id")), by_row, length, unit), "pieces")
     cold = pieces.filter("window is null").drop("window", "place")
     ordered = _ordered(cold, size, unit, distinct)
 
@@ -237,7 +239,7 @@ def repeated_ranges(rows: DataFrame, length: int, gram: int, unit: int = 1, dist
     counted = windows.groupBy("window").agg(
         F.sum("copies").alias("total"), F.min(F.least("low", "high")).alias("a"), F.max(F.greatest("low", "high")).alias("b")
     )
-    common = counted.filter("a <> b" if distinct else "total > 1").select("window")
+    common = stored(counted.filter("a <> b" if distinct else "total > 1").select("window"), "common")
     spread = windows.join(common, "window").select("anchor", "content", F.col("place").alias("start"), F.lit(1).alias("run"))
 
     marks = ordered.unionByName(spread)
