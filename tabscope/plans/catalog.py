@@ -581,16 +581,26 @@ for _method in ("fd", "sturges", "rice", "sqrt", "doane", "scott", "custom"):
 
 @_query
 def histogram_fd(spark: SparkSession, folder: str) -> DataFrame:
-    bins = histogram.histogram(table(spark, folder, "lineitem"), BIN_COLUMNS).drop("label")
+    bins = histogram.histogram(table(spark, folder, "lineitem"), BIN_COLUMNS)
     return rounded(bins, 6, "left_value", "right_value")
 
 
 @_query
 def histogram_sturges(spark: SparkSession, folder: str) -> DataFrame:
-    bins = histogram.histogram(table(spark, folder, "events"), "value", "sturges").drop("label")
+    bins = histogram.histogram(table(spark, folder, "events"), "value", "sturges")
     return rounded(bins, 6, "left_value", "right_value")
 
 
+@_query
+def histogram_far_value(spark: SparkSession, folder: str) -> DataFrame:
+    """One value far beyond the others asks for very many bins; only filled ones are listed."""
+    value = F.when(F.col("o_orderkey") == 1, F.lit(1e13)).otherwise(F.col("o_totalprice"))
+    orders = table(spark, folder, "orders").select(value.alias("price"))
+    return histogram.histogram(orders, "price", filled_only=True).agg(
+        F.sum("count").alias("n"), F.max("right_value").alias("hi"), (F.max("index") > 1_000_000).alias("many")
+    )
+
+
 @_query
 def datetime_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return histogram.datetime_histogram(table(spark, folder, "orders"), "o_orderdate").drop("label")
@@ -670,6 +680,15 @@ def profile_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def profile_document_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """The buckets inside the nested documents, edge by edge."""
+    documents = profile.profile_documents(table(spark, folder, "orders"))
+    numeric = F.col("table_column_metrics")["numeric_metrics"]["histogram"]["buckets"]
+    rows = documents.select(F.col("name").alias("column"), F.inline(numeric))
+    return rounded(rows, 6, "left_value", "right_value")
+
+
 def _bucket_total(metrics: Column) -> Column:
     counts = F.transform(metrics["histogram"]["buckets"], lambda b: b["count"])
     return F.aggregate(counts, F.lit(0).cast("bigint"), lambda total, c: total + c)

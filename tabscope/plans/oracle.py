@@ -157,6 +157,10 @@ def _histogram(columns: list[str], source: str, layout: str, extra: str = "", di
     FROM edges e LEFT JOIN counted c ON e."column" = c."column" AND e.i = c.i"""
 
 
+LABEL = """, printf('%.2f - %.2f', e.l, e.r) AS label"""
+ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
 def _iso(expression: str) -> str:
     return f"""CASE WHEN epoch_us({expression}) % 1000000 = 0 THEN strftime({expression}, '%Y-%m-%dT%H:%M:%S')
     ELSE strftime({expression}, '%Y-%m-%dT%H:%M:%S.%f') END"""
@@ -540,8 +544,10 @@ def oracle() -> dict[str, str]:
             FROM {PLACES} p JOIN {COUNTRIES} c ON p.place = c.name""",
         "unmatched_places": f"""SELECT place AS "Country", count(*) AS "rows" FROM {PLACES}
             WHERE place NOT IN (SELECT name FROM {COUNTRIES}) GROUP BY place""",
-        "histogram_fd": _histogram(BIN_COLUMNS, "lineitem", _layout(BIN_COLUMNS, "lineitem", "fd")),
-        "histogram_sturges": _histogram(["value"], "events", _layout(["value"], "events", "sturges")),
+        "histogram_fd": _histogram(BIN_COLUMNS, "lineitem", _layout(BIN_COLUMNS, "lineitem", "fd"), LABEL),
+        "histogram_sturges": _histogram(["value"], "events", _layout(["value"], "events", "sturges"), LABEL),
+        "histogram_far_value": "SELECT count(*) AS n, 1e13::DOUBLE AS hi, TRUE AS many FROM orders",
+        "profile_document_buckets": _histogram(ORDER_NUMBERS, "orders", _layout(ORDER_NUMBERS, "orders", "fd"), LABEL),
         "profile_histograms": _histogram(
             BIN_COLUMNS,
             "lineitem",
