@@ -33,6 +33,8 @@ HEADLINES = [
     "latest_per_key",
     "page_slice",
     "html_tables",
+    "quality_counts",
+    "profile_documents",
 ]
 
 

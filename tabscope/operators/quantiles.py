@@ -2,8 +2,8 @@
 
 ``percentile`` keeps every distinct value of a column in one task. Here the wanted ranks are
 narrowed down instead: a first pass sketches approximate fences, a second counts the rows between
-them, and only the few slices that hold a wanted rank are read again, counted per value and
-ranked. The fences only decide how evenly the slices are cut, never the result.
+them, and only the few slices that hold a wanted rank are read again, counted per value, cut into
+parts and ranked inside the parts that hold the rank. The fences only decide how evenly the slices are cut, never the result.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from tabscope.functions.scalars import as_number, literal, number_sql, quoted
 FENCES = 1024
 SLICES = 4
 SKETCH_SIZE = 4_000
+# Parts of a wanted slice: what is ranked in one place is about a 16,000,000th of the distinct values.
+PARTS = 4096
 # Tasks that merge sketches in the first step.
 MERGED = 256
 # Columns that are unfolded together; more of them leave compiled code.
@@ -51,13 +53,26 @@ def exact_quantiles(
     ranks = _ranks_within(points)
     # One row per column and wanted rank at most, so the broadcast has a fixed bound.
     wanted = slices.filter(f"size({ranks}) > 0").selectExpr("column", "lo", "hi", "before", *_WHOLE)
+    # Inside a wanted slice the same again: its range is cut into parts, and only parts with a wanted rank are ranked.
     here = "v.column = w.column AND value BETWEEN lo AND hi"
     found = numbers.alias("v").join(F.broadcast(wanted.alias("w")), F.expr(here))
     counted = found.groupBy("v.column", "lo", "value").agg(
-        F.expr("count(*) AS cnt"), F.expr("first(before) AS skipped"), *_carried()
+        F.expr("count(*) AS cnt"), F.expr("first(before) AS skipped"), F.expr("first(hi) AS hi"), *_carried()
     )
-    running = "sum(cnt) OVER (PARTITION BY column, lo ORDER BY value ROWS UNBOUNDED PRECEDING)"
-    ranked = counted.selectExpr("column", "value", "cnt", f"skipped + {running} - cnt AS before", *_WHOLE)
+    share = f"try_divide(value - lo, hi - lo) * {PARTS}"
+    part = f"IF({share} >= 0 AND {share} <= {PARTS}, least(CAST(floor({share}) AS INT), {PARTS - 1}), 0) AS part"
+    parted = counted.selectExpr("column", "lo", "value", "cnt", "skipped", part, *_WHOLE)
+    sized = parted.groupBy("column", "lo", "part").agg(
+        F.expr("sum(cnt) AS cnt"), F.expr("first(skipped) AS skipped"), *_carried()
+    )
+    running = "sum(cnt) OVER (PARTITION BY column, lo ORDER BY {by} ROWS UNBOUNDED PRECEDING)"
+    # At most PARTS rows of a slice reach this window.
+    before = f"skipped + {running.format(by='part')} - cnt AS before"
+    narrow = sized.selectExpr("column", "lo", "part", "cnt", before, "n").filter(f"size({ranks}) > 0")
+    narrow = narrow.selectExpr("column", "lo", "part", "before AS passed")
+    chosen = parted.join(F.broadcast(narrow), ["column", "lo", "part"])  # one row per wanted rank at most
+    within = "sum(cnt) OVER (PARTITION BY column, lo, part ORDER BY value ROWS UNBOUNDED PRECEDING)"
+    ranked = chosen.selectExpr("column", "value", "cnt", f"passed + {within} - cnt AS before", *_WHOLE)
     hits = ranked.selectExpr("column", "value", *_WHOLE, f"inline({ranks})")
     ends = hits.groupBy("column", "point").agg(
         F.expr("max(IF(upper, NULL, value)) AS a"),
