@@ -41,10 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _stored_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tabscope-llm-{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Removes all that :func:`stored` has written in this application; results not yet read are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stored_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: computed once, with short lineage."""
+    """``df`` written as Parquet into the shared folder and read again: computed once, with short lineage.
+
+    The table stays until :func:`drop_stored` or whoever clears the shared folder removes it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_stored_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
