@@ -91,18 +91,35 @@ def likely_rows(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return rows.select("*", word.alias("__word"), bit.alias("__bit")).mapInArrow(work, rows.schema)
 
 
-def per_process(key: str, make: Callable[[], object]) -> object:
-    """``make()``, called once in a Python worker and kept for its later tasks."""
+def per_process(key: str, make: Callable[[], object], *, large: bool = False) -> object:
+    """``make()``, called once in a Python worker and kept for its later tasks.
+
+    Of ``large`` things a worker keeps the last one alone: workers outlive the operator that they worked for.
+    """
     kept = sys.__dict__.setdefault("_tabscope_llm_kept", {})
+    if large:
+        key = f"large {key}"
     if key not in kept:
+        if large:
+            for other in [k for k in kept if k.startswith("large ")]:
+                del kept[other]
         kept[key] = make()
     return kept[key]
 
 
+def batch_of(**columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _is_text(kind: pa.DataType) -> bool:
+    return any(is_kind(kind) for is_kind in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a text column; NULL counts as empty."""
     if column.null_count:
-        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+        binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+        column = pc.fill_null(column, b"" if binary else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     kind = np.dtype(np.int64 if wide else np.int32)
@@ -122,6 +139,14 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         start = end
 
 
+def small_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in row ranges of bounded size, by a text or list column."""
+    data = batch.column(column)
+    offsets = data.offsets.to_numpy().astype(np.int64) * 8 if pa.types.is_list(data.type) else text_buffers(data)[1]
+    for start, end in slices(offsets):
+        yield batch.slice(start, end - start)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """64-bit values with every bit depending on all others (a bijection)."""
     out = values ^ (values >> np.uint64(32))
@@ -200,8 +225,8 @@ def batches_out(batches: Iterable[pa.RecordBatch], work: Callable[[pa.RecordBatc
     for batch in batches:
         if not batch.num_rows:
             continue
-        kinds = [i for i, f in enumerate(batch.schema) if pa.types.is_string(f.type) or pa.types.is_large_string(f.type) or pa.types.is_binary(f.type)]
-        _, offsets = text_buffers(batch.column(kinds[0]))
+        first = next(c for c in batch.columns if _is_text(c.type))
+        _, offsets = text_buffers(first)
         for start, end in slices(offsets):
             yield from work(batch.slice(start, end - start))
 

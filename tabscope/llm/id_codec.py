@@ -1,13 +1,13 @@
 """Token ids in a compact binary form: adaptive context mixing with a range coder, in independent blocks.
 
-An id is coded as a few hexadecimal digits, highest first. The frequencies of a digit come from three predictions that
-are mixed as they prove right: counts of the digit behind the same higher digits (order 0), and the ids that followed
-the last id and the last two ids before (orders 1 and 2). As long as a predicted id agrees with the digits so far, its
-next digit gains weight by how often such predictions have held, by their confidence and the place of the digit. A
-range coder turns the frequencies into bytes.
+Three predictions say what the next id may be: the id that followed the last two ids before (order 2), the one that
+followed the last id (order 1), and the ids seen so far (order 0, by a small table that names each with few bits). How
+likely each is right is learnt as coding goes on, for order 2 by the confidence of both higher orders and whether they agree;
+the three are mixed into one distribution over all ids, with what is left for ids that none predicts. A range coder
+turns the interval of the id that comes into bytes.
 
 Blocks start from nothing: each can be decoded alone and carries the CRC-32 of its ids. That makes them fit for array
-code as well: all blocks of a frame are coded side by side, one lane each. A frame holds whole documents, their ids
+code as well: the blocks of a frame are coded side by side, one lane each. A frame holds whole documents, their ids
 and counts, and its blocks; frames are rows of a Parquet table, ordered by document id.
 """
 
@@ -27,198 +27,223 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.llm.bpe import byte_letters
-from tabscope.llm.common import per_process, stored
+from tabscope.llm.common import batch_of, list_array, per_process, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAGIC = b"TIDS1"
+MAGIC = b"TIDS2"
 #: Ids of one block at most, blocks that are coded side by side, and ids that fill a frame.
-BLOCK, LANES = 1024, 1024
+BLOCK, LANES = 2048, 1024
 FRAME = BLOCK * LANES
-_ROWS, _SLOTS = 256, 1024  # rows of digit counts, and remembered predictions, of a lane
-_STEP = 8
-_TOP, _BOTTOM = np.uint64(1 << 56), np.uint64(1 << 40)
-_U8 = np.uint64(8)
-_SUMS = np.triu(np.ones((16, 16), np.float32))
+#: Slots (as bits) of a lane's tables of predictions, and of ids seen.
+_SLOTS, _SEEN = 11, 10
+#: How fast what is learnt about predictions changes.
+_RATE = np.float32(0.04)
+_TOP, _BOTTOM = np.uint64(1 << 56), np.uint64(1 << 48)
+_U8, _U56 = np.uint64(8), np.uint64(56)
+#: Bits of a distribution's total at most.
+_TOTAL = 44
 
 
 class _Model:
     """The predictions of all lanes."""
 
-    def __init__(self, lanes: int, digits: int) -> None:
-        self.digits = digits
-        self.lane = np.arange(lanes)
-        self.counts = np.ones((lanes * _ROWS, 16), np.float32)
-        self.flat_counts = self.counts.reshape(-1)
-        self.ids = [np.full(lanes * _SLOTS, -1) for _ in range(2)]
-        self.sure = [np.zeros(lanes * _SLOTS, np.uint8) for _ in range(2)]
-        self.right = np.ones((2, lanes * 4 * digits), np.float32)
-        self.wrong = np.ones((2, lanes * 4 * digits), np.float32)
-        self.row_base, self.slot_base, self.stat_base = self.lane * _ROWS, self.lane * _SLOTS, self.lane * (4 * digits)
-        self.before = np.zeros(lanes, np.int64)
-        self.before2 = np.zeros(lanes, np.int64)
-
-    def begin(self) -> None:
-        """Looks up what orders 1 and 2 predict for the next id."""
-        h1 = self.before * 40503 >> 4 & (_SLOTS - 1)
-        h2 = (self.before * 40503 ^ self.before2 * 30011 + (self.before2 >> 3)) & (_SLOTS - 1)
-        self.at = (self.slot_base + h1, self.slot_base + h2)
-        self.guess = [ids.take(at) for ids, at in zip(self.ids, self.at, strict=True)]
-        self.level = [sure.take(at) * np.int64(self.digits) for sure, at in zip(self.sure, self.at, strict=True)]
-        self.path = np.zeros(len(self.lane), np.int64)
-
-    def frequencies(self, digit: int) -> np.ndarray:
-        """Cumulative frequencies of the 16 values of a digit, lane by lane."""
-        shift = 4 * (self.digits - 1 - digit)
-        self.row = self.row_base + ((self.path * 2654435761 + digit * 40503) >> 7 & (_ROWS - 1))
-        table = self.counts.take(self.row, axis=0)
-        flat = table.reshape(-1)
-        total = table @ _SUMS[:, 15]
-        self.seen = []
-        for k in (0, 1):
-            guess = self.guess[k]
-            # no prediction is -1, which no path is equal to
-            fits = (guess >> (shift + 4) == self.path).nonzero()[0]
-            stat = (self.stat_base + self.level[k]).take(fits) + digit
-            value = guess.take(fits) >> shift & 15
-            gain = total.take(fits) * np.minimum(self.right[k].take(stat) / self.wrong[k].take(stat), np.float32(60))
-            flat[fits * 16 + value] += np.floor(gain)
-            self.seen.append((fits, stat, value))
-        return table @ _SUMS
-
-    def learn(self, value: np.ndarray) -> None:
-        """Takes note of a digit."""
-        self.flat_counts[self.row * 16 + value] += _STEP
-        for k, (fits, stat, guess) in enumerate(self.seen):
-            hit = guess == value.take(fits)
-            self.right[k][stat] += hit
-            self.wrong[k][stat] += ~hit
-        self.path = self.path << 4 | value
-
-    def end(self) -> None:
-        """Takes note of a whole id."""
-        for ids, sure, at, guess, level in zip(self.ids, self.sure, self.at, self.guess, self.level, strict=True):
-            same = guess == self.path
-            level = level // self.digits
-            sure[at] = np.where(same, np.minimum(level + 1, 3), np.maximum(level - 1, 0)).astype(np.uint8)
-            new = (~same & (level == 0)).nonzero()[0]
-            ids[at.take(new)] = self.path.take(new)
-        self.before2, self.before = self.before, self.path
-
-
-def _narrow(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    def __init__(self, lanes: int, bits: int) -> None:
+        self.bits, self.share = bits, min(20, _TOTAL - bits)
+        kind = np.int32 if bits <= 24 else np.int64
+        none = 1 << bits
+        lane = np.arange(lanes)
+        self.slots, self.seen_base = lane << _SLOTS, lane << _SEEN
+        # predicted id and confidence (0: none yet) of each slot
+        self.first = np.full(lanes << _SLOTS, none << 2, kind)
+        self.second = np.full(lanes << _SLOTS, none << 2, kind)
+        self.seen = np.full(lanes << _SEEN, none, kind)
+        level = np.array([0.004, 0.2, 0.5, 0.8], np.float32)
+        self.right2 = np.tile(np.repeat(level, 8), lanes)
+        self.right1 = np.tile(level, lanes)
+        self.right0 = np.full(lanes, np.float32(0.5))
+        self.stat2, self.stat1 = lane << 5, lane << 2
+        self.last = np.zeros(lanes, np.int64)
+        self.last2 = np.zeros(lanes, np.int64)
+        self.full = np.int64(1 << self.share)
+
+    def predict(self) -> None:
+        """Mixes the predictions into shares of the total: order 2, order 1, order 0; the rest is for all other ids."""
+        mask = (1 << _SLOTS) - 1
+        one = self.last * 40503
+        self.at1 = self.slots + (one >> 5 & mask)
+        self.at2 = self.slots + ((one + self.last2 * 60493 >> 4) & mask)
+        self.entry1, self.entry2 = self.first.take(self.at1), self.second.take(self.at2)
+        self.guess1, self.guess2 = self.entry1 >> 2, self.entry2 >> 2
+        self.sure1, self.sure2 = self.entry1 & 3, self.entry2 & 3
+        self.agree = self.guess1 == self.guess2
+        self.which2 = self.stat2 + (self.sure2 << 3 | self.sure1 << 1 | self.agree)
+        self.which1 = self.stat1 + self.sure1
+        self.p2, self.p1, self.p0 = self.right2.take(self.which2), self.right1.take(self.which1), self.right0
+        left = np.float32((1 << self.share) - 8)
+        self.share2 = (self.p2 * left).astype(np.int64) + 1
+        rest = left - self.p2 * left
+        first = self.p1 * rest
+        first[self.agree] = 0
+        self.share1 = first.astype(np.int64) + 1
+        self.share0 = ((rest - first) * self.p0).astype(np.int64) + 1
+        self.below1 = self.share2 + self.share1
+        self.below0 = self.below1 + self.share0
+        self.others = self.full - self.below0
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold ``value``."""
+        high = value >> self.bits
+        place = (value - (self.below1 << self.bits)) // (self.share0 << (self.bits - _SEEN))
+        seen = self.seen.take(self.seen_base + (place & ((1 << _SEEN) - 1)))
+        other = (value - (self.below0 << self.bits)) // self.others
+        out = np.where(high < self.below0, seen, other)
+        out = np.where(high < self.below1, self.guess1, out)
+        return np.where(high < self.share2, self.guess2, out)
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the intervals of ``ids``."""
+        self.hit2 = ids == self.guess2
+        self.same1 = ids == self.guess1
+        slot = ids * 40503 >> 3 & ((1 << _SEEN) - 1)
+        self.at0 = self.seen_base + slot
+        self.hit0 = self.seen.take(self.at0) == ids
+        seen_size = self.share0 << (self.bits - _SEEN)
+        start = np.where(self.hit0, (self.below1 << self.bits) + seen_size * slot, (self.below0 << self.bits) + self.others * ids)
+        size = np.where(self.hit0, seen_size, self.others)
+        start = np.where(self.same1, self.share2 << self.bits, start)
+        size = np.where(self.same1, self.share1 << self.bits, size)
+        start[self.hit2] = 0
+        size = np.where(self.hit2, self.share2 << self.bits, size)
+        return start, size
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Takes note of ``ids`` after :meth:`interval` has been asked about them."""
+        self.right2[self.which2] = self.p2 + (self.hit2 - self.p2) * _RATE
+        tried = (~(self.hit2 | self.agree)).nonzero()[0]
+        p1 = self.p1.take(tried)
+        self.right1[self.which1.take(tried)] = p1 + (self.same1.take(tried) - p1) * _RATE
+        missed = (~(self.hit2 | self.same1)).nonzero()[0]
+        p0 = self.p0.take(missed)
+        self.right0[missed] = p0 + (self.hit0.take(missed) - p0) * _RATE
+        np.minimum(self.right0, np.float32(0.98), out=self.right0)
+        new = ids << 2 | 1
+        kept = np.where(self.sure1 > 1, self.entry1 - 1, new)
+        self.first[self.at1] = np.where(self.same1, self.entry1 + (self.sure1 < 3), kept)
+        kept = np.where(self.sure2 > 1, self.entry2 - 1, new)
+        self.second[self.at2] = np.where(self.hit2, self.entry2 + (self.sure2 < 3), kept)
+        self.seen[self.at0] = ids
+        self.last2, self.last = self.last, ids
+
+
+def _settled(low: np.ndarray, width: np.ndarray) -> np.ndarray:
     """The lanes whose highest byte is settled; where the width gets too small it is cut so that it is."""
     settled = (low ^ (low + width)) < _TOP
-    small = ~settled & (width < _BOTTOM)
-    if small.any():
+    small = (~settled & (width < _BOTTOM)).nonzero()[0]
+    if len(small):
         width[small] = -low[small] & (_BOTTOM - np.uint64(1))
-        settled |= small
+        settled[small] = True
     return settled.nonzero()[0]
 
 
-def encode_blocks(blocks: list[np.ndarray], digits: int) -> list[bytes]:
-    """The bytes of each block of ids; at most LANES blocks, longer ones first."""
+def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
+    """The bytes of each block of ids below ``2 ** bits``; at most LANES blocks, longer ones first."""
+    sizes = np.array([len(b) for b in blocks])
+    lanes, steps = len(blocks), int(sizes.max())
+    ids = np.zeros((steps, lanes), np.int64)
+    for i, b in enumerate(blocks):
+        ids[: len(b), i] = b
+    model = _Model(lanes, bits)
+    total = np.uint64(model.share + bits)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
+    most = steps * (-(-_TOTAL // 8) + 2) + 16
+    out = np.zeros(lanes * most, np.uint8)
+    begin = np.arange(lanes) * most
+    at = begin.copy()
+    lengths = np.zeros(lanes, np.int64)
     with np.errstate(over="ignore"):
-        sizes = np.array([len(b) for b in blocks])
-        ids = np.zeros((sizes.max(), len(blocks)), np.int64)
-        for i, b in enumerate(blocks):
-            ids[: len(b), i] = b
-        lanes = len(blocks)
-        model = _Model(lanes, digits)
-        low, width = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
-        out = np.zeros((lanes, int(sizes.max()) * (digits + 1) * 2 + 16), np.uint8)
-        at = np.zeros(lanes, np.int64)
-        lane16 = np.arange(lanes) * 16
-        lengths = np.zeros(lanes, np.int64)
-        for step in range(len(ids)):
-            model.begin()
-            for digit in range(digits):
-                value = ids[step] >> (4 * (digits - 1 - digit)) & 15
-                cum = model.frequencies(digit)
-                place = lane16 + value
-                above = cum.reshape(-1).take(place)
-                below = np.where(value > 0, cum.reshape(-1).take(place - 1), 0)
-                unit = width // cum[:, 15].astype(np.uint64)
-                low += unit * below.astype(np.uint64)
-                width = unit * (above - below).astype(np.uint64)
-                while len(done := _narrow(low, width)):
-                    out[done, at[done]] = low[done] >> np.uint64(56)
-                    at[done] += 1
-                    low[done] <<= _U8
-                    width[done] <<= _U8
-                model.learn(value)
-            model.end()
-            for i in np.flatnonzero(sizes == step + 1):  # the end of a block: what is left of its number
-                left = int(low[i]).to_bytes(8, "big")
-                out[i, at[i] : at[i] + 8] = np.frombuffer(left, np.uint8)
-                lengths[i] = at[i] + 8
-        return [out[i, : lengths[i]].tobytes() for i in range(lanes)]
-
-
-def decode_blocks(coded: list[bytes], sizes: np.ndarray, digits: int) -> list[np.ndarray]:
+        for step in range(steps):
+            now = ids[step]
+            model.predict()
+            start, size = model.interval(now)
+            unit = width >> total
+            low += unit * start.view(np.uint64)
+            width = unit * size.view(np.uint64)
+            while len(done := _settled(low, width)):
+                where, head = at.take(done), low.take(done)
+                out[where] = head >> _U56
+                at[done] = where + 1
+                low[done] = head << _U8
+                width[done] = width.take(done) << _U8
+            model.learn(now)
+            for i in (sizes == step + 1).nonzero()[0] if step + 1 in (steps, int(sizes[-1])) else ():
+                out[at[i] : at[i] + 8] = np.frombuffer(int(low[i]).to_bytes(8, "big"), np.uint8)  # what is left of its number
+                lengths[i] = at[i] + 8 - begin[i]
+    return [out[b : b + n].tobytes() for b, n in zip(begin.tolist(), lengths.tolist(), strict=True)]
+
+
+def decode_blocks(coded: list[bytes], sizes: np.ndarray, bits: int) -> list[np.ndarray]:
     """The ids of each block."""
+    lanes, steps = len(coded), int(sizes.max())
+    most = max(map(len, coded)) + 16
+    data = np.zeros((lanes, most), np.uint8)
+    for i, c in enumerate(coded):
+        data[i, : len(c)] = np.frombuffer(c, np.uint8)
+    model = _Model(lanes, bits)
+    total = np.uint64(model.share + bits)
+    top = np.uint64((1 << (model.share + bits)) - 1)
+    low, width = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
+    code = data[:, :8].copy().view(">u8")[:, 0].astype(np.uint64)
+    data = data.reshape(-1)
+    end = np.arange(1, lanes + 1) * most - 1
+    at = np.arange(lanes) * most + 8
+    ids = np.zeros((steps, lanes), np.uint32)
     with np.errstate(over="ignore"):
-        lanes = len(coded)
-        most = max(map(len, coded))
-        data = np.zeros((lanes, most + 16), np.uint8)
-        for i, c in enumerate(coded):
-            data[i, : len(c)] = np.frombuffer(c, np.uint8)
-        model = _Model(lanes, digits)
-        low, width = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
-        code = data[:, :8].copy().view(">u8")[:, 0].astype(np.uint64)
-        at = np.full(lanes, 8)
-        lane16 = np.arange(lanes) * 16
-        ids = np.zeros((int(sizes.max()), lanes), np.uint32)
-        for step in range(len(ids)):
-            model.begin()
-            for digit in range(digits):
-                cum = model.frequencies(digit)
-                unit = width // cum[:, 15].astype(np.uint64)
-                target = np.minimum((code - low) // unit, (cum[:, 15] - 1).astype(np.uint64)).astype(np.float32)
-                value = np.count_nonzero(cum <= target[:, None], axis=1)
-                place = lane16 + value
-                above = cum.reshape(-1).take(place)
-                below = np.where(value > 0, cum.reshape(-1).take(place - 1), 0)
-                low += unit * below.astype(np.uint64)
-                width = unit * (above - below).astype(np.uint64)
-                while len(done := _narrow(low, width)):
-                    begin = at[done]
-                    code[done] = code[done] << _U8 | data[done, np.minimum(begin, most + 15)].astype(np.uint64)
-                    at[done] = begin + 1
-                    low[done] <<= _U8
-                    width[done] <<= _U8
-                model.learn(value)
-            model.end()
-            ids[step] = model.path
-        return [ids[: sizes[i], i] for i in range(lanes)]
+        for step in range(steps):
+            model.predict()
+            unit = width >> total
+            value = np.minimum((code - low) // np.maximum(unit, np.uint64(1)), top).view(np.int64)
+            now = model.find(value).astype(np.int64)
+            start, size = model.interval(now)
+            low += unit * start.view(np.uint64)
+            width = unit * size.view(np.uint64)
+            while len(done := _settled(low, width)):
+                where = at.take(done)
+                code[done] = code.take(done) << _U8 | data.take(np.minimum(where, end.take(done)))
+                at[done] = where + 1
+                low[done] = low.take(done) << _U8
+                width[done] = width.take(done) << _U8
+            model.learn(now)
+            ids[step] = now
+    return [ids[: sizes[i], i] for i in range(lanes)]
 
 
 def pack(ids: np.ndarray, vocabulary: int) -> bytes:
-    """A frame's blocks: digits of an id, number of blocks; for each its ids, bytes and CRC-32; then all their bytes."""
-    digits = max(1, -(-max(1, int(vocabulary) - 1).bit_length() // 4))
+    """A frame's blocks: bits of an id, number of blocks; for each its ids, bytes and CRC-32; then all their bytes."""
+    bits = max(_SEEN, (int(vocabulary) - 1).bit_length())
     if not len(ids):
-        return MAGIC + struct.pack("<BI", digits, 0)
+        return MAGIC + struct.pack("<BI", bits, 0)
     size = int(min(BLOCK, max(256, -(-len(ids) // LANES))))
     blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
     coded: list[bytes] = []
     for i in range(0, len(blocks), LANES):
-        coded += encode_blocks(blocks[i : i + LANES], digits)
+        coded += encode_blocks(blocks[i : i + LANES], bits)
     heads = b"".join(struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded, strict=True))
-    return MAGIC + struct.pack("<BI", digits, len(blocks)) + heads + b"".join(coded)
+    return MAGIC + struct.pack("<BI", bits, len(blocks)) + heads + b"".join(coded)
 
 
 def unpack(frame: bytes) -> np.ndarray:
     """The ids of a frame; raises if a block's checksum is not right."""
     if frame[: len(MAGIC)] != MAGIC:
         raise ValueError("no frame of token ids")
-    digits, count = struct.unpack_from("<BI", frame, len(MAGIC))
+    bits, count = struct.unpack_from("<BI", frame, len(MAGIC))
     heads = np.frombuffer(frame, "<u4", 3 * count, len(MAGIC) + 5).reshape(-1, 3)
     ends = np.cumsum(heads[:, 1].astype(np.int64)) + len(MAGIC) + 5 + 12 * count
     out: list[np.ndarray] = []
     for i in range(0, count, LANES):
         part = heads[i : i + LANES]
         coded = [frame[e - n : e] for e, n in zip(ends[i : i + LANES].tolist(), part[:, 1].tolist(), strict=True)]
-        out += decode_blocks(coded, part[:, 0].astype(np.int64), digits)
+        out += decode_blocks(coded, part[:, 0].astype(np.int64), bits)
     for ids, check in zip(out, heads[:, 2].tolist(), strict=True):
         if zlib.crc32(ids.astype("<u4").tobytes()) != check:
             raise ValueError("a block of token ids is damaged")
@@ -229,11 +254,14 @@ def unpack(frame: bytes) -> np.ndarray:
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Text of these code points needs no normalisation but lower case, and ``regex`` splits it as the library does.
 _SIMPLE = regex.compile("[^\\x00-\\u012f\\u0131-\\u02ff\\u2010-\\u2027]")
-_KEPT_WORDS, _KEPT_SIZE = 400_000, 48
+_KEPT_WORDS, _KEPT_SIZE = 600_000, 48
 
 
 class WordEncoder(dict):
-    """Ids of a word by the tokenizers library, kept for words seen before."""
+    """Ids of what stands between white space, by the tokenizers library, kept for what has been seen before.
+
+    No word of this vocabulary holds or sees white space, so a text's ids are those of its parts.
+    """
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -246,23 +274,24 @@ class WordEncoder(dict):
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters))
-        ids = np.array([t.id for t in found], "<u4").tobytes()
+    def __missing__(self, part: bytes) -> bytes:
+        words = (w.encode("utf-8").decode("latin-1").translate(self.letters) for w in self.find(part.decode("utf-8")))
+        ids = np.array([t.id for w in words for t in self.model.tokenize(w)], "<u4").tobytes()
         if len(self) >= _KEPT_WORDS:
             self.clear()
-        if len(word) <= _KEPT_SIZE:
-            self[word] = ids
+        if len(part) <= _KEPT_SIZE:
+            self[part] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         if (not text.isascii() and _SIMPLE.search(text)) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, self.find(text.lower())))
+        # as bytes, text is split at ASCII white space only; any other is left to the pattern
+        return b"".join(map(self.__getitem__, text.lower().encode("utf-8").split()))
 
 
 def word_encoder(path: str) -> WordEncoder:
-    return per_process(f"words-{path}", lambda: WordEncoder(path))
+    return per_process(f"words-{path}", lambda: WordEncoder(path), large=True)
 
 
 _FRAMES = "part int, frame int, doc_ids array<bigint>, sizes array<bigint>, data binary"
@@ -274,9 +303,12 @@ def write_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     Each document's ids are followed by ``end_id``. NULL and empty texts have that id alone; NULL ids come first; rows
     that share an id are ordered by a hash of their text.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("alt"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("alt"), F.col("text").cast("string").alias("text")
+    )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "alt").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "alt")
+    ordered = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = word_encoder(path)
@@ -326,9 +358,9 @@ def read_documents(frames: DataFrame) -> DataFrame:
                 doc_ids = doc_ids.as_py()
                 for i in range(0, len(counts), 1000):
                     j = min(i + 1000, len(counts))
-                    lists = pa.ListArray.from_arrays(pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), pa.array(ids[ends[i] : ends[j]].astype(np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids[i:j], pa.int64()), pa.array(starts[i:j]), pa.array(counts[i:j]), lists], names=["doc_id", "start", "n_tokens", "ids"]
+                    lists = list_array(ids[ends[i] : ends[j]].astype(np.int64), ends[i : j + 1] - ends[i], pa.int64())
+                    yield batch_of(
+                        doc_id=pa.array(doc_ids[i:j], pa.int64()), start=pa.array(starts[i:j]), n_tokens=pa.array(counts[i:j]), ids=lists
                     )
 
     rows = frames.join(begins, ["part", "frame"]).select("begin", "doc_ids", "sizes", "data")
@@ -344,6 +376,7 @@ def with_checksums(documents: DataFrame) -> DataFrame:
             raw = lists.values.to_numpy().astype("<u4").tobytes()
             bounds = lists.offsets.to_numpy().astype(np.int64) * 4
             sums = [zlib.crc32(raw[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            doc_id, start, n_tokens = batch.columns[:3]
+            yield batch_of(doc_id=doc_id, start=start, n_tokens=n_tokens, ids_crc32=pa.array(sums, pa.int64()))
 
     return documents.mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -38,7 +38,7 @@ def test_damage_is_noticed():
 def test_blocks_are_independent():
     ids = np.arange(3000, dtype=np.uint32)
     frame = id_codec.pack(ids, 4096)
-    assert len(id_codec.encode_blocks([ids[:256]], 3)[0]) == len(id_codec.encode_blocks([ids[:256], ids[256:512]], 3)[0])
+    assert len(id_codec.encode_blocks([ids[:256]], 12)[0]) == len(id_codec.encode_blocks([ids[:256], ids[256:512]], 12)[0])
     assert np.array_equal(id_codec.unpack(frame), ids)
 
 
