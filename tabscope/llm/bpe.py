@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import per_process, slices, text_buffers
+from tabscope.llm.common import batch_of, per_process, small_parts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -208,7 +208,7 @@ class Encoder(dict):
 
 
 def encoder(path: str) -> Encoder:
-    return per_process(f"bpe-{path}", lambda: Encoder(path))
+    return per_process(f"bpe-{path}", lambda: Encoder(path), large=True)
 
 
 def _list_batch(key: pa.Array, pieces: list[bytes]) -> pa.RecordBatch:
@@ -226,9 +226,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(path)
         for batch in batches:
-            _, offsets = text_buffers(batch.column(1))
-            for start, end in slices(offsets):
-                part = batch.slice(start, end - start)
+            for part in small_parts(batch, 1):
                 yield _list_batch(part.column(0), [made.encode(t) if t else b"" for t in part.column(1).to_pylist()])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -242,14 +240,15 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") ->
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(path)
         for batch in batches:
-            lists = batch.column(1)
-            bounds = lists.offsets.to_numpy()
-            values = lists.values.to_numpy(zero_copy_only=False)
-            texts = []
-            for start, end in zip(bounds[:-1], bounds[1:], strict=True):
-                raw, _ = made.decode_bytes(values[start:end])
-                texts.append(raw.tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())], names=["key", "ids", "text"])
+            for part in small_parts(batch, 1):
+                lists = part.column(1)
+                bounds = lists.offsets.to_numpy()
+                values = lists.values.to_numpy(zero_copy_only=False)
+                texts = []
+                for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+                    raw, _ = made.decode_bytes(values[start:end])
+                    texts.append(raw.tobytes().decode("utf-8", "replace"))
+                yield batch_of(key=part.column(0), ids=lists, text=pa.array(texts, pa.string()))
 
     wanted = rows.select(F.col(key).alias("key"), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
     kind = wanted.schema["key"].dataType.simpleString()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tabscope.llm.common import per_process
+from tabscope.llm.common import per_process, small_parts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -141,7 +141,7 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
 
 def _searcher(items: list[tuple[object, str]], chars_per_edit: int) -> Searcher:
     name = zlib.crc32("\0".join(t for _, t in items).encode("utf-8", "replace"))
-    return per_process(f"benchmark-{name}-{chars_per_edit}-{len(items)}", lambda: Searcher([t for _, t in items], chars_per_edit))
+    return per_process(f"benchmark-{name}-{chars_per_edit}-{len(items)}", lambda: Searcher([t for _, t in items], chars_per_edit), large=True)
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
@@ -185,8 +185,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int
         def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = _searcher(items, chars_per_edit)
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text"))
-                yield batch.filter(pa.array([not made.find(t.as_py()) for t in texts], pa.bool_()))
+                for part in small_parts(batch, batch.schema.get_field_index("text")):
+                    texts = part.column(part.schema.get_field_index("text"))
+                    yield part.filter(pa.array([not made.find(t.as_py()) for t in texts], pa.bool_()))
 
         return left.mapInArrow(work, schema)
 

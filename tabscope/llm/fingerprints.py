@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import mixed, per_process, slices, stored, text_buffers
+from tabscope.llm.common import batch_of, mixed, per_process, slices, stored, text_buffers
 from tabscope.llm.terms import distinct_in_rows, row_words, term_counts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -95,7 +95,8 @@ def fingerprint_documents(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_hex(fingerprints(batch.column(1), words)))], names=["doc_id", "fingerprint"])
+            marks = _hex(fingerprints(batch.column(1), words))
+            yield batch_of(doc_id=batch.column(0), fingerprint=pa.array(marks))
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(work, f"doc_id {kind}, fingerprint string")
 
@@ -119,10 +120,11 @@ def _buckets(spark: SparkSession, rows: DataFrame, parts: int) -> tuple[list[int
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.searchsorted(np.array(ends, np.int64), batch.column(0).to_numpy(), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column(0), batch.column(1)], names=["bucket", "key", "alt"])
+            yield batch_of(bucket=pa.array(at.astype(np.int32)), key=batch.column(0), alt=batch.column(1))
 
     dealt = rows.select("key", "alt").mapInArrow(work, "bucket int, key bigint, alt bigint")
-    firsts = dealt.groupBy("bucket").agg(F.max("key").alias("key"), F.min_by("alt", F.struct(F.bitwise_not("key"), F.col("alt"))).alias("alt"))
+    first = F.min(F.struct(F.bitwise_not("key").alias("down"), F.col("alt")))  # largest key, smallest hash of the text
+    firsts = dealt.groupBy("bucket").agg(F.max("key").alias("key"), first["alt"].alias("alt"))
     filled = sorted((r["bucket"], r["key"], r["alt"]) for r in firsts.collect())
     return ends, {b: [(key, alt)] for (_, key, alt), (b, _, _) in zip(filled, filled[1:] + filled[:1], strict=True)}
 
@@ -137,7 +139,10 @@ def compare_edited(docs: DataFrame, words: np.ndarray) -> DataFrame:
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
     rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"), F.xxhash64("text").alias("alt"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        key.alias("key"),
+        F.xxhash64("text").alias("alt"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ends, heads = _buckets(spark, rows, parts)
@@ -162,10 +167,11 @@ def compare_edited(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
     def dealt(out: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "head", "doc_id", "key", "alt", "packed"])
+        names = ["bucket", "head", "doc_id", "key", "alt", "packed"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = per_process(f"lexicon-{len(words)}-{xxhash.xxh64_hexdigest(words.tobytes())}", lambda: words)
+        known = per_process(f"lexicon-{len(words)}-{xxhash.xxh64_hexdigest(words.tobytes())}", lambda: words, large=True)
         unpack = zstandard.ZstdDecompressor()
         waiting: tuple[int, int | None, str] | None = None
         ready: list[tuple[int | None, str, str]] = []
@@ -207,7 +213,8 @@ def compare_edited(docs: DataFrame, words: np.ndarray) -> DataFrame:
         )
 
     spread = rows.mapInArrow(deal, "bucket int, head boolean, doc_id bigint, key bigint, alt bigint, packed binary")
-    ordered = spread.repartition("bucket").sortWithinPartitions("bucket", F.col("head").asc(), F.col("key").desc(), "alt").select("bucket", "head", "doc_id", "packed")
-    schema = "doc_id bigint, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    made = ordered.mapInArrow(pairs, schema)
-    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    ordered = spread.repartition("bucket").sortWithinPartitions("bucket", F.col("head").asc(), F.col("key").desc(), "alt")
+    marks = "fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    made = ordered.select("bucket", "head", "doc_id", "packed").mapInArrow(pairs, f"doc_id bigint, n_chars bigint, edited string, {marks}")
+    digest = F.sha2("edited", 256).alias("edited_sha256")
+    return made.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")

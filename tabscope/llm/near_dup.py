@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import batches_out, likely_rows, mixed, per_process, stored, text_buffers, word_hashes
+from tabscope.llm.common import batch_of, batches_out, likely_rows, mixed, per_process, stored, text_buffers, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -110,9 +110,12 @@ def sketches(docs: DataFrame) -> DataFrame:
         packed: list[bytes | None] = [None] * len(sizes)
         for r, row in zip(filled, minima, strict=True):
             packed[r] = row.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes.astype(np.int64)), *(pa.array(n.view(np.int64)) for n in names), pa.array(packed, pa.binary())],
-            names=["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+        yield batch_of(
+            doc_id=batch.column(0),
+            n_shingles=pa.array(sizes.astype(np.int64)),
+            set_a=pa.array(names[0].view(np.int64)),
+            set_b=pa.array(names[1].view(np.int64)),
+            signature=pa.array(packed, pa.binary()),
         )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -204,8 +207,8 @@ def components(links: DataFrame) -> DataFrame:
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        texts = [packer.compress((t or "").encode("utf-8")) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["node", "packed"])
+        texts = [packer.compress((t.as_py() or "").encode("utf-8")) for t in batch.column(1)]
+        yield batch_of(node=batch.column(0), packed=pa.array(texts, pa.binary()))
 
 
 def _across(labelled: DataFrame, texts: DataFrame) -> DataFrame:
@@ -297,7 +300,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # What copies were made from shares more buckets with them than they do with each other: the centre of a bucket is
     # its member with the most company in all its buckets.
     company = members.groupBy("node").agg(F.sum("members").alias("company"))
-    centres = members.join(company, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", F.bitwise_not("node"))).alias("centre"))
+    most = F.struct("company", F.bitwise_not("node"))  # the smallest id of several
+    centres = members.join(company, "node").groupBy("bucket").agg(F.max_by("node", most).alias("centre"))
     pairs = (
         members.join(centres, "bucket")
         .filter("node <> centre")

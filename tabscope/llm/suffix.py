@@ -99,7 +99,14 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
 
 
 def repeated_windows(
-    segments: list[bytes], windows: list[int], length: int, unit: int, weights: np.ndarray, low: np.ndarray, high: np.ndarray, distinct: bool
+    segments: list[bytes],
+    windows: list[int],
+    length: int,
+    unit: int,
+    weights: np.ndarray,
+    low: np.ndarray,
+    high: np.ndarray,
+    distinct: bool,
 ) -> list[np.ndarray]:
     """For each segment, which of its first ``windows`` windows (``length`` bytes, every ``unit`` bytes) repeat.
 
@@ -116,7 +123,8 @@ def repeated_windows(
     wanted[places] = True
     order = suffix_order(text, wanted, length)
     # adjacent common prefixes: do neighbours agree in all of ``length``?
-    same = np.fromiter((raw[a : a + length] == raw[b : b + length] for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)), bool, max(0, len(order) - 1))
+    neighbours = zip(order[:-1].tolist(), order[1:].tolist(), strict=True)
+    same = np.array([raw[a : a + length] == raw[b : b + length] for a, b in neighbours], bool)
     begins = np.flatnonzero(np.concatenate([[True], ~same]))
     group = owner[np.searchsorted(places, order)]
     if distinct:
@@ -203,14 +211,20 @@ def repeated_ranges(rows: DataFrame, length: int, gram: int, unit: int = 1, dist
         *([F.min(place).alias("p1"), F.max(place).alias("p2")] if distinct else []),
     )
     # Tables that a large side is joined with are stored first: then Spark can split an anchor with very many rows.
-    shared = stored(facts.filter("p1 <> p2" if distinct else "n > 1").select("anchor", (F.col("c1") != F.col("c2")).alias("mixed")), "shared")
+    several = facts.filter("p1 <> p2" if distinct else "n > 1")
+    shared = stored(several.select("anchor", (F.col("c1") != F.col("c2")).alias("mixed")), "shared")
     segments = stored(found.join(shared, "anchor"), "segments")
 
     # One row for each different segment of an anchor, its copies counted.
     kinds = (
         segments.filter("mixed")
         .groupBy("anchor", "content")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "alt", "first", "windows")).alias("one"), F.min(place).alias("p1"), F.max(place).alias("p2"))
+        .agg(
+            F.count(F.lit(1)).alias("copies"),
+            F.min(F.struct("id", "alt", "first", "windows")).alias("one"),
+            F.min(place).alias("p1"),
+            F.max(place).alias("p2"),
+        )
     )
     kinds = stored(kinds, "kinds")
     many = stored(kinds.groupBy("anchor").count().filter(F.col("count") > GROUP).select("anchor", F.lit(True).alias("many")), "many")
@@ -272,7 +286,8 @@ def _cut(rows: DataFrame, by_row: DataFrame, length: int, unit: int) -> DataFram
                     if p["hot"]:
                         piece = np.frombuffer(raw, np.uint8)[begin:end]
                         starts = np.arange(p["windows"]) * unit
-                        names = span_hashes(prefix_hashes(piece), starts, starts + length * unit) + np.uint64(p["anchor"] & 0xFFFFFFFFFFFFFFFF)
+                        names = span_hashes(prefix_hashes(piece), starts, starts + length * unit)
+                        names += np.uint64(p["anchor"] & 0xFFFFFFFFFFFFFFFF)
                         out.extend((*fixed, None, w, i) for i, w in enumerate(names.view(np.int64).tolist()))
                         size += 100 * p["windows"]
                     else:
@@ -299,15 +314,16 @@ def _ordered(pieces: DataFrame, size: int, unit: int, distinct: bool) -> DataFra
     def one(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(group)
         anchor, content, count, copies, low, high = (table.column(i).to_numpy() for i in range(6))
-        flags = repeated_windows(table.column(6).to_pylist(), count.tolist(), size, unit, copies, np.minimum(low, high), np.maximum(low, high), distinct)
+        low, high = np.minimum(low, high), np.maximum(low, high)
+        flags = repeated_windows(table.column(6).to_pylist(), count.tolist(), size, unit, copies, low, high, distinct)
         out: list[tuple[int, int, int, int]] = []
         for i, hit in enumerate(flags):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
             out.extend((anchor[i], content[i], a, b - a) for a, b in edges.reshape(-1, 2).tolist())
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["anchor", "content", "start", "run"]
-        )
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        columns = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "content", "start", "run"])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by anchor: whole anchors are taken together until there is enough to order.

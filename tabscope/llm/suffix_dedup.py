@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabscope.llm.common import small_parts
 from tabscope.llm.suffix import repeated_ranges, spans
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -20,7 +21,8 @@ LENGTH, GRAM = 400, 160
 def _with_ranges(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """``docs`` with their repeated ranges; the columns are ``row`` (all of ``docs``) and ``ranges``."""
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), data.alias("data"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = docs.select(whole, F.col("doc_id").cast("bigint").alias("id"), data.alias("data"))
     rows = named.select("id", F.lit(0).cast("bigint").alias("seed"), "data")
     found = repeated_ranges(rows, length, gram).withColumnRenamed("id", "k").withColumnRenamed("alt", "a")
     named = named.withColumn("alt", F.xxhash64("data").bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
@@ -45,12 +47,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     NULL texts count as empty; repeated rows and rows that share an id are rows of their own; texts shorter than
     ``length`` stay whole.
     """
-    both = _with_ranges(docs.select("doc_id", "text"), length, gram).select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").cast("string").cast("binary").alias("text"), "ranges")
+    text = F.col("row.text").cast("string").cast("binary").alias("text")
+    both = _with_ranges(docs.select("doc_id", "text"), length, gram).select(F.col("row.doc_id").alias("doc_id"), text, "ranges")
     kind = both.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_parts(whole, 1)):
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             cut = [spans(r, len(t)) for r, t in zip(batch.column(2).to_pylist(), texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -64,7 +67,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 names=["doc_id", "n_bytes", "n_removed", "removed", "kept"],
             )
 
-    return both.mapInArrow(work, f"doc_id {kind}, n_bytes bigint, n_removed bigint, removed array<struct<start: bigint, end: bigint>>, kept binary")
+    spans_type = "array<struct<start: bigint, end: bigint>>"
+    return both.mapInArrow(work, f"doc_id {kind}, n_bytes bigint, n_removed bigint, removed {spans_type}, kept binary")
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -76,8 +80,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     names = docs.columns
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = names.index("text")
+        at = names.index("text")
+        for batch in (part for whole in batches for part in small_parts(whole, at)):
             texts: list[str | None] = []
             for text, ranges in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 if text and ranges:
@@ -87,8 +91,9 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
             columns = {n: batch.column(i) for i, n in enumerate(names)}
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
-                kind = columns["n_chars"].type
-                sizes = [n if r is None or t is None else len(t) for n, r, t in zip(columns["n_chars"].to_pylist(), batch.column(len(names)).to_pylist(), texts, strict=True)]
+                kind, cut = columns["n_chars"].type, batch.column(len(names)).is_valid().to_pylist()
+                before = columns["n_chars"].to_pylist()
+                sizes = [len(t) if c and t is not None else n for n, c, t in zip(before, cut, texts, strict=True)]
                 columns["n_chars"] = pa.array(sizes, kind)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 

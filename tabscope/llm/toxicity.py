@@ -1,15 +1,15 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on windows typical of toxic text and one on windows typical of
-ordinary text. A window is a word or its beginning (toxic words have many endings), written :data:`REPEATS` times, so that
-knowing it already pays whatever its length. It speaks for toxicity if two lengths agree on it: the toxic dictionary compresses it to no more bytes than its own
-windows, and to fewer than the ordinary dictionary does. A text's distance is that of its most toxic window, found over
-the whole text.
+ordinary text. A window is a word or its beginning (toxic words have many endings), written :data:`REPEATS` times, so
+that knowing it already pays whatever its length. It speaks for toxicity if two lengths agree on it: the toxic
+dictionary compresses it to no more bytes than its own windows, and to fewer than the ordinary dictionary does. A
+text's distance is that of its most toxic window, found over the whole text.
 
 Fitting uses at most ``max_rows`` labelled texts of each kind, the first by a hash of their id. Two thirds of them
 choose the windows, the rest calibrate how many windows the toxic dictionary holds and the threshold on the
-distance, where labelled texts left out of the sample count by weight. Windows are counted by the different neighbours they stand between, so that copies of one text do not
-make its words typical.
+distance, where labelled texts left out of the sample count by weight. Windows are counted by the different neighbours
+they stand between, so that copies of one text do not make its words typical.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import per_process, stored
+from tabscope.llm.common import batch_of, per_process, small_parts, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,7 +42,7 @@ TELLING = 4.0
 ORDINARY_WINDOWS = 2000
 #: The score at the threshold, and how steeply it rises there.
 CUT, SLOPE = 0.3, 20.0
-_KEPT_WINDOWS = 400_000
+_KEPT_WINDOWS = 300_000
 
 
 def _window(word: str) -> bytes:
@@ -99,7 +99,7 @@ class ToxicityModel:
     def _compressors(self) -> tuple:
         if self._ready is None:
             key = f"toxicity-{zlib.crc32(self.toxic)}-{zlib.crc32(self.ordinary)}-{len(self.toxic)}-{len(self.ordinary)}"
-            self._ready = per_process(key, self._made)
+            self._ready = per_process(key, self._made, large=True)
         return self._ready
 
     def _made(self) -> tuple:
@@ -159,7 +159,8 @@ def fit(sample: list[tuple[str, int]], ordinary_weight: float = 1.0) -> Toxicity
     for size in SIZES:
         if tried and size > len(words[0]):
             break
-        f1, threshold = _calibrated(_model(words[0][:size], counts[0], usual), held or [(t, 1) for t in toxic] + [(t, 0) for t in ordinary], ordinary_weight)
+        model = _model(words[0][:size], counts[0], usual)
+        f1, threshold = _calibrated(model, held or [(t, 1) for t in toxic] + [(t, 0) for t in ordinary], ordinary_weight)
         tried.append((f1, size, threshold))
     good = [t for t in tried if t[0] >= max(tried)[0] - 0.002]
     _, size, threshold = good[len(good) // 2]  # the middle: neither too few windows to find all nor needless ones
@@ -211,7 +212,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, max_chars:
         .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
         .filter("toxic = most")
     )
-    short = stored(docs.filter(F.length("text") <= max_chars).select("doc_id").join(known, "doc_id").select("doc_id", "toxic").distinct(), "labelled")
+    short = docs.filter(F.length("text") <= max_chars).select("doc_id").join(known, "doc_id")
+    short = stored(short.select("doc_id", "toxic").distinct(), "labelled")
     sizes = {r["toxic"]: r["count"] for r in short.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
     parts = [short.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for kind in (0, 1)]
     # At most 2 * max_rows ids: small enough to send to every task.
@@ -225,11 +227,13 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.distance(t) for t in batch.column(1).to_pylist()]
+            found = [model.distance(t.as_py()) for t in batch.column(1)]
             scores = [model.score(d) for d in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.float64()), pa.array(scores, pa.float64()), pa.array([s >= CUT for s in scores], pa.bool_())],
-                names=["doc_id", "distance", "score", "toxic"],
+            yield batch_of(
+                doc_id=batch.column(0),
+                distance=pa.array(found, pa.float64()),
+                score=pa.array(scores, pa.float64()),
+                toxic=pa.array([s >= CUT for s in scores], pa.bool_()),
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -241,7 +245,8 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([model.score(model.distance(t)) < CUT for t in texts], pa.bool_()))
+            for part in small_parts(batch, batch.schema.get_field_index("text")):
+                texts = part.column(part.schema.get_field_index("text"))
+                yield part.filter(pa.array([model.score(model.distance(t.as_py())) < CUT for t in texts], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

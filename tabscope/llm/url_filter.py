@@ -46,7 +46,9 @@ def bloom_blocks(rules: DataFrame, blocks: int) -> DataFrame:
     return rules.groupBy(_block(key, blocks).alias("block")).agg(F.bit_or(_mask(key)).alias("word"))
 
 
-def filter_urls(urls: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(
+    urls: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", default: str = "allow"
+) -> DataFrame:
     """``(id, host, path, rule, verdict)`` for every row of ``urls``.
 
     ``rules`` has ``(host, path, verdict)``. A rule fits its host and all subdomains if the path starts with the
