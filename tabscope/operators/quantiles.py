@@ -118,10 +118,10 @@ def _fences(df: DataFrame, columns: Sequence[str], strip: bool) -> Column:
     sketches = [F.expr(f"kll_sketch_agg_double({v}, {SKETCH_SIZE})").alias(f"s{i}") for i, v in enumerate(values)]
     counts = [F.expr(f"count({v})").alias(f"n{i}") for i, v in enumerate(values)]
     parts = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGED)).alias("_part")).agg(*sketches, *counts)
-    fences = [
-        f"IF(sum(n{i}) > 0, kll_sketch_get_quantile_double(kll_merge_agg_double(s{i}, {SKETCH_SIZE}) FILTER (WHERE n{i} > 0), {grid}), NULL)"
-        for i in range(len(columns))
-    ]
+    fences = []
+    for i in range(len(columns)):
+        merged = f"kll_merge_agg_double(s{i}, {SKETCH_SIZE}) FILTER (WHERE n{i} > 0)"
+        fences.append(f"IF(sum(n{i}) > 0, kll_sketch_get_quantile_double({merged}, {grid}), NULL)")
     return parts.selectExpr(f"array({', '.join(fences)}) AS fences").scalar()
 
 

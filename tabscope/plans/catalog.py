@@ -682,10 +682,10 @@ def profile_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def profile_document_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    """The buckets inside the nested documents, edge by edge."""
+    """The buckets inside the nested documents, edge by edge; the engines round a label's halves differently."""
     documents = profile.profile_documents(table(spark, folder, "orders"))
     numeric = F.col("table_column_metrics")["numeric_metrics"]["histogram"]["buckets"]
-    rows = documents.select(F.col("name").alias("column"), F.inline(numeric))
+    rows = documents.select(F.col("name").alias("column"), F.inline(numeric)).drop("label")
     return rounded(rows, 6, "left_value", "right_value")
 
 
@@ -718,8 +718,9 @@ def value_counts_nan(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def kpi_distinct_nan(spark: SparkSession, folder: str) -> DataFrame:
     lines = lineitem_nan(spark, folder)
-    both = kpi.kpi_category(lines, "count_distinct", ["l_discount", "l_returnflag"])
-    return both.select("field", "value").union(kpi.kpi_number(lines, "count_distinct", "l_discount").select("field", F.col("value").cast("bigint").cast("string")))
+    texts = kpi.kpi_category(lines, "count_distinct", ["l_discount", "l_returnflag"]).select("field", "value")
+    numbers = kpi.kpi_number(lines, "count_distinct", "l_discount")
+    return texts.union(numbers.select("field", F.col("value").cast("bigint").cast("string")))
 
 
 @_query
@@ -899,7 +900,8 @@ def scraped_files(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("<table><tr><td>"), F.col("n_name"), F.lit("</table><table><tr><td>a, b<td>c<td>"), F.col("n_nationkey").cast("string"),
         F.lit("<tr><td>short</table>"),
     )
-    pages = table(spark, folder, "nation").select(F.concat(F.lit("p-"), F.col("n_nationkey").cast("string")).alias("page_id"), page.alias("html"))
+    address = F.concat(F.lit("p-"), F.col("n_nationkey").cast("string"))
+    pages = table(spark, folder, "nation").select(address.alias("page_id"), page.alias("html"))
     writers.write_tables(html_tables.extract_html_tables(pages), path, folder_per_table=False)
     return spark.read.text(path)
 

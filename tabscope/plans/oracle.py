@@ -547,7 +547,7 @@ def oracle() -> dict[str, str]:
         "histogram_fd": _histogram(BIN_COLUMNS, "lineitem", _layout(BIN_COLUMNS, "lineitem", "fd"), LABEL),
         "histogram_sturges": _histogram(["value"], "events", _layout(["value"], "events", "sturges"), LABEL),
         "histogram_far_value": "SELECT count(*) AS n, 1e13::DOUBLE AS hi, TRUE AS many FROM orders",
-        "profile_document_buckets": _histogram(ORDER_NUMBERS, "orders", _layout(ORDER_NUMBERS, "orders", "fd"), LABEL),
+        "profile_document_buckets": _histogram(ORDER_NUMBERS, "orders", _layout(ORDER_NUMBERS, "orders", "fd")),
         "profile_histograms": _histogram(
             BIN_COLUMNS,
             "lineitem",
