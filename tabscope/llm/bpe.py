@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import batch_of, per_process, small_parts
+from tabscope.llm.common import batch_of, map_batches, per_process, small_parts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -231,7 +231,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(work, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return map_batches(rows, work, f"key {kind}, ids array<int>", large=True).withColumnRenamed("key", key)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -252,7 +252,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") ->
 
     wanted = rows.select(F.col(key).alias("key"), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
     kind = wanted.schema["key"].dataType.simpleString()
-    return wanted.mapInArrow(work, f"key {kind}, ids array<int>, text string").withColumnRenamed("key", key)
+    return map_batches(wanted, work, f"key {kind}, ids array<int>, text string", large=True).withColumnRenamed("key", key)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

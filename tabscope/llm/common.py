@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -88,7 +91,7 @@ def likely_rows(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
             keep = words[batch.column(at).to_numpy()] & batch.column(at + 1).to_numpy() != 0
             yield batch.select(range(at)).filter(pa.array(keep))
 
-    return rows.select("*", word.alias("__word"), bit.alias("__bit")).mapInArrow(work, rows.schema)
+    return map_batches(rows.select("*", word.alias("__word"), bit.alias("__bit")), work, rows.schema)
 
 
 def per_process(key: str, make: Callable[[], object], *, large: bool = False) -> object:
@@ -101,8 +104,7 @@ def per_process(key: str, make: Callable[[], object], *, large: bool = False) ->
         key = f"large {key}"
     if key not in kept:
         if large:
-            for other in [k for k in kept if k.startswith("large ")]:
-                del kept[other]
+            _forget_large()
         kept[key] = make()
     return kept[key]
 
@@ -112,7 +114,7 @@ def batch_of(**columns: pa.Array) -> pa.RecordBatch:
 
 
 def _is_text(kind: pa.DataType) -> bool:
-    return any(is_kind(kind) for is_kind in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary))
+    return kind in (pa.string(), pa.large_string(), pa.binary(), pa.large_binary())
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +141,40 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         start = end
 
 
+def _forget_large() -> None:
+    kept = sys.__dict__.get("_tabscope_llm_kept", {})
+    for key in [k for k in kept if k.startswith("large ")]:
+        del kept[key]
+
+
+def _give_back() -> None:
+    """Returns memory that is free inside the process to the system: idle workers stay for a while."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(
+    rows: DataFrame,
+    work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: object,
+    *,
+    large: bool = False,
+) -> DataFrame:
+    """``rows.mapInArrow``, leaving Python workers small: without ``large``, large things that are kept go first."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not large:
+            _forget_large()
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return rows.mapInArrow(run, schema)
+
+
 def small_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """``batch`` in row ranges of bounded size, by a text or list column."""
     data = batch.column(column)
@@ -220,7 +256,9 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes, np.searchsorted(starts, offsets)
 
 
-def batches_out(batches: Iterable[pa.RecordBatch], work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+def batches_out(
+    batches: Iterable[pa.RecordBatch], work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]
+) -> Iterator[pa.RecordBatch]:
     """``work`` over row ranges of bounded text; the first string or binary column decides."""
     for batch in batches:
         if not batch.num_rows:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tabscope.llm.common import per_process, small_parts
+from tabscope.llm.common import map_batches, per_process, small_parts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -169,7 +169,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = C
                     columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "distance", "edits", "start", "end"])
 
-        return rows.mapInArrow(work, schema)
+        return map_batches(rows, work, schema, large=True)
 
     out = None
     for items in _slices(benchmark):
@@ -189,7 +189,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int
                     texts = part.column(part.schema.get_field_index("text"))
                     yield part.filter(pa.array([not made.find(t.as_py()) for t in texts], pa.bool_()))
 
-        return left.mapInArrow(work, schema)
+        return map_batches(left, work, schema, large=True)
 
     for items in _slices(benchmark):
         docs = without(docs, items)

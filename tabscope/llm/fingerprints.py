@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import batch_of, mixed, per_process, slices, stored, text_buffers
+from tabscope.llm.common import batch_of, map_batches, mixed, per_process, slices, stored, text_buffers
 from tabscope.llm.terms import distinct_in_rows, row_words, term_counts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -98,7 +98,8 @@ def fingerprint_documents(docs: DataFrame, words: np.ndarray) -> DataFrame:
             marks = _hex(fingerprints(batch.column(1), words))
             yield batch_of(doc_id=batch.column(0), fingerprint=pa.array(marks))
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(work, f"doc_id {kind}, fingerprint string")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return map_batches(rows, work, f"doc_id {kind}, fingerprint string", large=True)
 
 
 def edited(text: str, following: str) -> str:
@@ -122,7 +123,7 @@ def _buckets(spark: SparkSession, rows: DataFrame, parts: int) -> tuple[list[int
             at = np.searchsorted(np.array(ends, np.int64), batch.column(0).to_numpy(), "left")
             yield batch_of(bucket=pa.array(at.astype(np.int32)), key=batch.column(0), alt=batch.column(1))
 
-    dealt = rows.select("key", "alt").mapInArrow(work, "bucket int, key bigint, alt bigint")
+    dealt = map_batches(rows.select("key", "alt"), work, "bucket int, key bigint, alt bigint")
     first = F.min(F.struct(F.bitwise_not("key").alias("down"), F.col("alt")))  # largest key, smallest hash of the text
     firsts = dealt.groupBy("bucket").agg(F.max("key").alias("key"), first["alt"].alias("alt"))
     filled = sorted((r["bucket"], r["key"], r["alt"]) for r in firsts.collect())
@@ -212,9 +213,10 @@ def compare_edited(docs: DataFrame, words: np.ndarray) -> DataFrame:
             names=["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    spread = rows.mapInArrow(deal, "bucket int, head boolean, doc_id bigint, key bigint, alt bigint, packed binary")
+    spread = map_batches(rows, deal, "bucket int, head boolean, doc_id bigint, key bigint, alt bigint, packed binary")
     ordered = spread.repartition("bucket").sortWithinPartitions("bucket", F.col("head").asc(), F.col("key").desc(), "alt")
     marks = "fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    made = ordered.select("bucket", "head", "doc_id", "packed").mapInArrow(pairs, f"doc_id bigint, n_chars bigint, edited string, {marks}")
+    ordered = ordered.select("bucket", "head", "doc_id", "packed")
+    made = map_batches(ordered, pairs, f"doc_id bigint, n_chars bigint, edited string, {marks}", large=True)
     digest = F.sha2("edited", 256).alias("edited_sha256")
     return made.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")

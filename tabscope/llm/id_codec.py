@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.llm.bpe import byte_letters
-from tabscope.llm.common import batch_of, list_array, per_process, stored
+from tabscope.llm.common import batch_of, list_array, map_batches, per_process, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -335,7 +335,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         if held:
             yield packed()
 
-    return stored(ordered.mapInArrow(work, _FRAMES), "token-ids")
+    return stored(map_batches(ordered, work, _FRAMES, large=True), "token-ids")
 
 
 def read_documents(frames: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def read_documents(frames: DataFrame) -> DataFrame:
                     )
 
     rows = frames.join(begins, ["part", "frame"]).select("begin", "doc_ids", "sizes", "data")
-    return rows.mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids array<bigint>")
+    return map_batches(rows, work, "doc_id bigint, start bigint, n_tokens bigint, ids array<bigint>")
 
 
 def with_checksums(documents: DataFrame) -> DataFrame:
@@ -379,4 +379,4 @@ def with_checksums(documents: DataFrame) -> DataFrame:
             doc_id, start, n_tokens = batch.columns[:3]
             yield batch_of(doc_id=doc_id, start=start, n_tokens=n_tokens, ids_crc32=pa.array(sums, pa.int64()))
 
-    return documents.mapInArrow(work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_batches(documents, work, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

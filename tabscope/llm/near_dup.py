@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import batch_of, batches_out, likely_rows, mixed, per_process, stored, text_buffers, word_hashes
+from tabscope.llm.common import batch_of, batches_out, likely_rows, map_batches, mixed, per_process, stored, text_buffers, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -119,7 +119,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: batches_out(batches, work), _SKETCH)
+    return map_batches(rows, lambda batches: batches_out(batches, work), _SKETCH)
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def _bands(nodes: DataFrame) -> DataFrame:
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(bucket.reshape(-1).view(np.int64)), pa.array(ids)], names=["bucket", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(work, "bucket bigint, node bigint")
+    return map_batches(nodes.select("node", "signature"), work, "bucket bigint, node bigint")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep[r] = common > 0 and 100 * common >= LINK_PERCENT * (len(x) + len(y) - common)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(lambda batches: batches_out(batches, work), "a bigint, b bigint").distinct()
+    return map_batches(both, lambda batches: batches_out(batches, work), "a bigint, b bigint").distinct()
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     rows = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return rows.mapInArrow(work, "a bigint, b bigint")
+    return map_batches(rows, work, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def _across(labelled: DataFrame, texts: DataFrame) -> DataFrame:
             "bucket", "main", F.ceil((F.col("all") - F.col("top")) / BLOCK).alias("lefts"), F.ceil(F.col("all") / BLOCK).alias("rights")
         )
     )
-    packed = stored(texts.mapInArrow(_packed, "node bigint, packed binary"), "packed")
+    packed = stored(map_batches(texts, _packed, "node bigint, packed binary"), "packed")
     rows = labelled.join(main, "bucket").join(packed, "node")
     out = ["bucket", "l", "r", "side", "node", "component", "packed"]
     left = rows.filter("component <> main").select(

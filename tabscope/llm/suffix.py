@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import batches_out, likely_rows, mixed, prefix_hashes, span_hashes, stored, text_buffers
+from tabscope.llm.common import batches_out, likely_rows, map_batches, mixed, prefix_hashes, span_hashes, stored, text_buffers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -202,7 +202,7 @@ def repeated_ranges(rows: DataFrame, length: int, gram: int, unit: int = 1, dist
         )
 
     schema = "id bigint, alt int, first int, windows int, anchor bigint, content bigint"
-    found = rows.select("id", "alt", "seed", "data").mapInArrow(lambda batches: batches_out(batches, anchors), schema)
+    found = map_batches(rows.select("id", "alt", "seed", "data"), lambda batches: batches_out(batches, anchors), schema)
     place = F.struct("id", "alt")
     facts = found.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"),
@@ -305,7 +305,7 @@ def _cut(rows: DataFrame, by_row: DataFrame, length: int, unit: int) -> DataFram
     def _rows(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return both.select("data", "parts").mapInArrow(work, _PIECE)
+    return map_batches(both.select("data", "parts"), work, _PIECE)
 
 
 def _ordered(pieces: DataFrame, size: int, unit: int, distinct: bool) -> DataFrame:
@@ -355,7 +355,7 @@ def _ordered(pieces: DataFrame, size: int, unit: int, distinct: bool) -> DataFra
             yield from one(held)
 
     dealt = pieces.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(work, "anchor bigint, content bigint, start int, run int")
+    return map_batches(dealt, work, "anchor bigint, content bigint, start int, run int")
 
 
 def spans(ranges: list[dict] | None, limit: int) -> list[tuple[int, int]]:

@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import small_parts
+from tabscope.llm.common import map_batches, small_parts
 from tabscope.llm.suffix import repeated_ranges, spans
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -68,7 +68,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             )
 
     spans_type = "array<struct<start: bigint, end: bigint>>"
-    return both.mapInArrow(work, f"doc_id {kind}, n_bytes bigint, n_removed bigint, removed {spans_type}, kept binary")
+    return map_batches(both, work, f"doc_id {kind}, n_bytes bigint, n_removed bigint, removed {spans_type}, kept binary")
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -97,4 +97,4 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
                 columns["n_chars"] = pa.array(sizes, kind)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return both.mapInArrow(work, docs.schema)
+    return map_batches(both, work, docs.schema)

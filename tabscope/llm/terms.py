@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import batches_out, text_buffers, word_hashes
+from tabscope.llm.common import batches_out, map_batches, text_buffers, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -42,5 +42,5 @@ def term_counts(docs: DataFrame, text: str = "text", distinct: bool = True) -> D
         yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts.astype(np.int64))], names=["term", "n"])
 
     rows = docs.select(F.col(text).cast("string").alias("text"))
-    counted = rows.mapInArrow(lambda batches: batches_out(batches, work), "term bigint, n bigint")
+    counted = map_batches(rows, lambda batches: batches_out(batches, work), "term bigint, n bigint")
     return counted.groupBy("term").agg(F.sum("n").alias("n"))

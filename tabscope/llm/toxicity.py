@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import batch_of, per_process, small_parts, stored
+from tabscope.llm.common import batch_of, map_batches, per_process, small_parts, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -237,7 +237,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id bigint, distance double, score double, toxic boolean")
+    return map_batches(rows, work, "doc_id bigint, distance double, score double, toxic boolean", large=True)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -249,4 +249,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 texts = part.column(part.schema.get_field_index("text"))
                 yield part.filter(pa.array([model.score(model.distance(t.as_py())) < CUT for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return map_batches(docs, work, docs.schema, large=True)
