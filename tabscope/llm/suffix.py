@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.llm.common import batches_out, likely_rows, map_batches, mixed, prefix_hashes, span_hashes, stored, text_buffers
@@ -170,19 +170,19 @@ def _anchored(raw: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, length: i
     return row[first], first - bounds[:-1][row[first]], count, hashes[at].view(np.int64), content.view(np.int64)
 
 
-def _keys(rows: DataFrame) -> DataFrame:
-    """``rows`` (``id``, ``seed``, ``data``) with a name for each row: its id and a few bits of its data."""
-    return rows.withColumn("alt", F.xxhash64("data").bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
+def data_hash(data: str) -> Column:
+    """64 bits that tell rows of one id apart; rows equal in id and data have one name."""
+    return F.xxhash64(F.col(data).cast("binary"))
 
 
 def repeated_ranges(rows: DataFrame, length: int, gram: int, unit: int = 1, distinct: bool = False) -> DataFrame:
     """``(id, alt, ranges)``: where windows of ``length`` symbols repeat, for rows that have such.
 
-    ``rows`` has ``id`` (bigint), ``seed`` (bigint: only rows of equal seed are compared) and ``data`` (binary or string,
-    ``unit`` bytes a symbol). ``ranges`` lists (first symbol, number of symbols) and may overlap. ``alt`` tells rows of
-    one id apart.
+    ``rows`` has ``id`` (bigint, not NULL), ``seed`` (bigint: only rows of equal seed are compared) and ``data`` (binary or string,
+    ``unit`` bytes a symbol). ``ranges`` lists (first symbol, number of symbols) and may overlap. ``alt`` is the
+    :func:`data_hash`; rows equal in both names are copies and have one row of ranges, each of them listed once.
     """
-    rows = _keys(rows)
+    rows = rows.withColumn("alt", data_hash("data"))
     size = length * unit
 
     def anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def repeated_ranges(rows: DataFrame, length: int, gram: int, unit: int = 1, dist
             names=["id", "alt", "first", "windows", "anchor", "content"],
         )
 
-    schema = "id bigint, alt int, first int, windows int, anchor bigint, content bigint"
+    schema = "id bigint, alt bigint, first int, windows int, anchor bigint, content bigint"
     found = map_batches(rows.select("id", "alt", "seed", "data"), lambda batches: batches_out(batches, anchors), schema)
     place = F.struct("id", "alt")
     facts = found.groupBy("anchor").agg(
@@ -261,7 +261,7 @@ def repeated_ranges(rows: DataFrame, length: int, gram: int, unit: int = 1, dist
         "id", "alt", (F.col("first") + F.col("start")).alias("first"), (F.col("run") + F.lit(length - 1)).alias("symbols")
     )
     every = segments.filter("not mixed").select("id", "alt", "first", (F.col("windows") + F.lit(length - 1)).alias("symbols"))
-    return some.unionByName(every).groupBy("id", "alt").agg(F.collect_list(F.struct("first", "symbols")).alias("ranges"))
+    return some.unionByName(every).groupBy("id", "alt").agg(F.collect_set(F.struct("first", "symbols")).alias("ranges"))
 
 
 _PIECE = "anchor bigint, content bigint, windows int, copies bigint, low bigint, high bigint, bytes binary, window bigint, place int"
@@ -269,9 +269,9 @@ _PIECE = "anchor bigint, content bigint, windows int, copies bigint, low bigint,
 
 def _cut(rows: DataFrame, by_row: DataFrame, length: int, unit: int) -> DataFrame:
     """The bytes of the wanted segments; for hot anchors a hash of each window instead."""
-    both = rows.select("id", "alt", F.col("data").cast("binary").alias("data")).join(
-        by_row.withColumnRenamed("id", "k").withColumnRenamed("alt", "a"), F.col("id").eqNullSafe(F.col("k")) & (F.col("alt") == F.col("a"))
-    )
+    # Copies of a row are merged inside each task: pieces are cut from one of them.
+    texts = rows.select("id", "alt", F.col("data").cast("binary").alias("data")).dropDuplicates(["id", "alt"])
+    both = texts.join(by_row, ["id", "alt"])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

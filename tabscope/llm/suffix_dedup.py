@@ -10,8 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import map_batches, small_parts
-from tabscope.llm.suffix import repeated_ranges, spans
+from tabscope.llm.common import map_batches, small_parts, stored
+from tabscope.llm.suffix import data_hash, repeated_ranges, spans
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -22,12 +22,13 @@ def _with_ranges(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """``docs`` with their repeated ranges; the columns are ``row`` (all of ``docs``) and ``ranges``."""
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    named = docs.select(whole, F.col("doc_id").cast("bigint").alias("id"), data.alias("data"))
+    # 128 bits name a row: two hashes of its text, one of them with its id. Rows equal in both are copies.
+    name = F.xxhash64(F.lit("row"), F.col("doc_id").cast("bigint"), "data").alias("id")
+    named = docs.select(whole, data.alias("data"), F.col("doc_id")).select("row", name, "data")
     rows = named.select("id", F.lit(0).cast("bigint").alias("seed"), "data")
-    found = repeated_ranges(rows, length, gram).withColumnRenamed("id", "k").withColumnRenamed("alt", "a")
-    named = named.withColumn("alt", F.xxhash64("data").bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
-    joined = named.drop("data").join(found, F.col("id").eqNullSafe(F.col("k")) & (F.col("alt") == F.col("a")), "left")
-    return joined.select("row", "ranges")
+    # Stored, so that Spark can split copies that are many rows of one name.
+    found = stored(repeated_ranges(rows, length, gram), "ranges")
+    return named.select("row", "id", data_hash("data").alias("alt")).join(found, ["id", "alt"], "left").select("row", "ranges")
 
 
 def _kept(raw: bytes, removed: list[tuple[int, int]]) -> bytes:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabscope.llm import suffix, suffix_dedup
 from tests.llm.brute import SCHEMA, repeats, without
@@ -52,3 +53,32 @@ def test_distinct_owners(spark):
     rows = spark.createDataFrame([(1, 0, b"abcdabcd"), (2, 0, b"xabcdx"), (3, 9, b"abcd"), (4, 0, b"pqpqpq")], "id bigint, seed bigint, data binary")
     got = {r.id: suffix.spans([x.asDict() for x in r.ranges], 99) for r in suffix.repeated_ranges(rows, 4, 2, 1, distinct=True).collect()}
     assert got == {1: [(0, 8)], 2: [(1, 5)]}
+
+
+def test_rows_of_one_id_keep_their_own_ranges(spark):
+    """Different texts of one id, equal in the lowest 20 bits of their hash: only the one with a repeat is cut."""
+    made = spark.range(8000).selectExpr("sha2(cast(id AS string), 256) AS text").selectExpr("text", "xxhash64(cast(text AS binary)) & 1048575 AS low")
+    pairs = made.groupBy("low").agg(F.collect_list("text").alias("texts")).filter("size(texts) > 1").orderBy("low").limit(3).collect()
+    assert pairs
+    for doc_id in (None, 7):
+        rows = [(doc_id, t) for p in pairs for t in p.texts] + [(1, p.texts[0][10:50]) for p in pairs]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = sorted((r.n_bytes, r.n_removed, bytes(r.kept).decode()) for r in suffix_dedup.remove_repeats(docs, 20, 8).collect())
+        cut = {p.texts[0] for p in pairs}
+        want = [(64, 40, t[:10] + t[50:]) if t in cut else (64, 0, t) for i, t in rows if i == doc_id] + [(40, 40, "")] * len(pairs)
+        assert got == sorted(want)
+
+
+def test_copies_of_a_row_are_cut_once(spark, monkeypatch):
+    sizes = []
+    kept = suffix.stored
+    monkeypatch.setattr(suffix, "stored", lambda df, name: (out := kept(df, name), sizes.append(out.count()) if name == "pieces" else None)[0])
+    rng = random.Random(9)
+    one, two = "".join(rng.choices("abcdefgh", k=80)), "".join(rng.choices("stuvwxyz", k=80))
+    for copies in (2, 9):
+        rows = [(1, 0, one.encode())] * copies + [(2, 0, (two + one[10:60]).encode())]
+        found = suffix.repeated_ranges(spark.createDataFrame(rows, "id bigint, seed bigint, data binary"), 20, 8).collect()
+        for r in found:
+            assert len(r.ranges) == len({(x.first, x.symbols) for x in r.ranges})
+        assert {r.id: suffix.spans([x.asDict() for x in r.ranges], 999) for r in found} == {1: [(0, 80)], 2: [(80, 130)]}
+    assert sizes[0] == sizes[1] > 0
