@@ -12,19 +12,17 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, or the session's checkpoint folder if that was set in code.
 
-    A session inside one process that names none gets a temporary folder of its own; any cluster
-    session, a local cluster too, has to name one.
+    A session of one process that has neither gets a checkpoint folder of its own; a cluster session has to name one.
     """
-    named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+    named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError(f"{_SETTING} names no shared folder")
-    made = tempfile.mkdtemp(prefix="tabscope-")
-    spark.conf.set(_SETTING, made)
-    return made
+        raise ValueError(f"{_SETTING} has to name a folder that the whole cluster can reach")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tabscope-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
