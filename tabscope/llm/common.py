@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import gc
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,10 +16,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscope.sources.shared import shared_folder
+
 # Code travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_SETTING = "spark.checkpoint.dir"
 #: Bytes of text that array code looks at in one go; a longer text is taken alone.
 SLICE_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
@@ -32,26 +32,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a one-machine session without it gets one of its own."""
-    named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise ValueError(f"{_SETTING} has to name a folder that the whole cluster can reach")
-    made = tempfile.mkdtemp(prefix="tabscope-llm-")
-    spark.conf.set(_SETTING, made)
-    return made
+def _stored_dir(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tabscope-llm-{spark.sparkContext.applicationId}"
 
 
-def _stored_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tabscope-llm-{spark.sparkContext.applicationId}"
+def stored_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the folder of this application."""
+    return f"{_stored_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_stored(spark: SparkSession) -> None:
     """Removes all that :func:`stored` has written in this application; results not yet read are lost with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_stored_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_path(spark, _stored_dir(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -60,11 +57,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The table stays until :func:`drop_stored` or whoever clears the shared folder removes it.
     """
     spark = df.sparkSession
-    path = f"{_stored_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = stored_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Places among which :func:`join_hot` deals the rows of one key.
+_PLACES = 64
+
+
+def join_hot(rows: DataFrame, small: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """``rows`` left-joined to ``small``, which has each of ``keys`` once; rows of one key go to many tasks by ``spread``.
+
+    ``small`` is written out once for each place that rows may be dealt to, so it should be far smaller than ``rows``.
+    """
+    dealt = rows.withColumn("__place", F.pmod(F.xxhash64(spread), F.lit(_PLACES)).cast("int"))
+    every = small.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(_PLACES - 1))))
+    return dealt.join(every, [*keys, "__place"], "left").drop("__place")
+
+
 #: Bits of the filter that :func:`likely_rows` sends to every task (4 MB).
 _FILTER_BITS = 25
 

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.llm import bpe, decontaminate, fingerprints, html_extract, id_codec, lm_score, near_dup, suffix_dedup, toxicity, url_filter
+from tabscope.llm import (
+    align,
+    bpe,
+    decontaminate,
+    fingerprints,
+    html_extract,
+    id_codec,
+    lm_score,
+    near_dup,
+    prefix_trie,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+    warc,
+)
 from tabscope.llm.common import read_table
 
 # Fixed value: the rules that the URL query applies.
@@ -91,6 +105,21 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_codec.with_checksums(id_codec.read_documents(frames))
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = prefix_trie.shared_heads(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(rebuilt)
+
+
+def aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    scored = align.align_documents(read_table(spark, sf_dir, "documents"), *paths)
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def page_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": main_texts,
@@ -103,6 +132,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": repeated_passages,
         "op9_url_filter": url_verdicts,
         "op10_id_codec": token_files,
+        "op11_prefix_trie": conversation_trie,
+        "op12_align": aligned_tokens,
+        "op13_warc": page_archive,
     }
 
 
@@ -217,10 +249,64 @@ FROM data d LEFT JOIN kept k USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
 
+TRIE_SQL = """
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+letters AS (SELECT DISTINCT conv_id, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT)) AS cs FROM own),
+sums AS (
+  SELECT conv_id, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), cs), lambda v, c:
+    list_reduce(list_prepend(xor(v, c), list_transform(range(8), lambda i: CAST(0 AS UBIGINT))), lambda u, z: xor(u >> 1, (u & 1) * 3988292384))) AS v
+  FROM letters
+),
+heads AS (SELECT conv_id, xor(v, CAST(4294967295 AS UBIGINT)) % 9 AS h FROM sums),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, k, r, x FROM heads c JOIN own t ON t.conv_id = c.conv_id - c.conv_id % 5 AND k < h
+  UNION ALL SELECT conv_id, 1, k, r, x FROM own JOIN heads USING (conv_id) WHERE k >= h
+),
+paths AS (
+  SELECT conv_id, row_number() OVER w AS d, octet_length(encode(x)) AS size,
+    string_agg(md5(length(r) || ':' || r || x), '') OVER w AS p
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, k)
+),
+lengths AS (SELECT conv_id, coalesce(max(d), 0) AS last FROM heads LEFT JOIN paths USING (conv_id) GROUP BY conv_id),
+members AS (SELECT conv_id, d, size, p FROM paths UNION ALL SELECT conv_id, 0, 0, '' FROM heads),
+nodes AS (
+  SELECT p, min(conv_id) AS conv_id, min(d) AS depth, count(*) AS n_convs, (count(*) - 1) * min(size) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = last), '')) AS ends_sha256
+  FROM members JOIN lengths USING (conv_id) GROUP BY p
+),
+below AS (SELECT left(p, length(p) - 32) AS p, count(*) AS n_children FROM nodes WHERE p <> '' GROUP BY 1),
+trees AS (
+  SELECT a.p, CAST(sum(b.saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE k.p IS NULL) AS n_leaves
+  FROM nodes a JOIN nodes b ON starts_with(b.p, a.p) LEFT JOIN below k ON k.p = b.p GROUP BY a.p
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens,
+  n.ends_sha256
+FROM nodes n JOIN trees t ON t.p = n.p LEFT JOIN below k ON k.p = n.p LEFT JOIN nodes u ON n.p <> '' AND u.p = left(n.p, length(n.p) - 32)
+"""
+
+ARCHIVE_SQL = """
+WITH data AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+sums AS (SELECT page_id, h, sha1(h) AS s FROM data),
+keepers AS (SELECT h, max(page_id) AS keeper FROM data GROUP BY h)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(s, CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM sums JOIN keepers USING (h)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_near_dedup": NEAR_SQL,
         "op7_lm_score": LM_SQL,
         "op8_suffix_dedup": REPEATS_SQL,
         "op9_url_filter": URL_SQL,
+        "op11_prefix_trie": TRIE_SQL,
+        "op13_warc": ARCHIVE_SQL,
     }
