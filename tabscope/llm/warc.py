@@ -320,7 +320,9 @@ def read_warc(manifest: DataFrame, path: str) -> DataFrame:
             yield out()
 
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, html string"
-    return map_batches(manifest.select("file").repartition("file"), work, schema)
+    # Few rows that each mean a large file: as many tasks as files, up to the bound of a table's.
+    tasks = max(1, min(manifest.count(), SHARDS))
+    return map_batches(manifest.select("file").repartition(tasks, "file"), work, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
