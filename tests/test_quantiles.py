@@ -66,13 +66,33 @@ def test_strip_text_dots_and_limits(spark):
         Q.exact_quantiles(df, [], [0.5])
 
 
-def test_coarse_fences_give_the_same_result(spark, monkeypatch):
-    monkeypatch.setattr(Q, "FENCES", 2)
-    monkeypatch.setattr(Q, "SLICES", 2)
-    df = spark.range(1000).select((F.col("id") * F.col("id") % 997).cast("double").alias("x"))
-    values = [i * i % 997 for i in range(1000)]
-    for p, row in exact(df, ["x"]).items():
-        assert row["value"] == pytest.approx(np.quantile(values, p[1]), rel=1e-12)
+@pytest.mark.parametrize(("narrow", "size", "margin"), [(10, 8, 0.3), (10, 8, 1e-9), (1, 200, 0.01), (100, 4000, 0.002)])
+def test_brackets_get_narrower_and_a_wrong_sketch_is_noticed(spark, monkeypatch, narrow, size, margin):
+    """Small sketches miss ranks, tiny brackets have to be looked for again; equal values cannot be narrowed."""
+    monkeypatch.setattr(Q, "NARROW", narrow)
+    monkeypatch.setattr(Q, "SKETCH_SIZE", size)
+    monkeypatch.setattr(Q, "MARGIN", margin)
+    x = F.col("id") * F.col("id") % 997
+    df = spark.range(3000).select(x.cast("double").alias("x"), (F.col("id") % 2).alias("two"), F.lit(1).alias("one"))
+    values = {"x": [i * i % 997 for i in range(3000)], "two": [i % 2 for i in range(3000)], "one": [1] * 3000}
+    found = exact(df, list(values))
+    assert len(found) == 3 * len(POINTS)
+    for (name, p), row in found.items():
+        assert row["value"] == pytest.approx(np.quantile(values[name], p), rel=1e-12), (name, p)
+
+
+def test_only_rows_inside_brackets_reach_the_last_job(spark):
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_003).cast("double").alias("x"))
+    values = df.select(F.col("x").alias("v0"))
+    column = Q._located(values, Q._sketched(values, 1, [0.25, 0.5]), [0.25, 0.5])[0]
+    assert len(column.brackets) == 2 and sum(b.count for b in column.brackets) < 4 * 2 * Q.MARGIN * 200_000
+    assert Q._sliced(values, [[(b.low, b.high) for b in column.brackets]], between=False).count() == sum(b.count for b in column.brackets)
+
+
+def test_many_columns(spark):
+    df = spark.range(500).select(*[(F.col("id") * (i + 1) % 101).alias(f"c{i}") for i in range(60)])
+    found = exact(df, df.columns, [0.5])
+    assert {name: row["value"] for (name, _), row in found.items()} == {f"c{i}": np.median([k * (i + 1) % 101 for k in range(500)]) for i in range(60)}
 
 
 def test_approximate(spark):
