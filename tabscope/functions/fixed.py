@@ -84,6 +84,9 @@ FREE_DATE_FORMATS = (
     ("d MMM yyyy", r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"),
     ("d MMMM yyyy", r"^\d{1,2} [A-Z][a-z]{2,8} \d{4}$"),
     ("d-MMM-yyyy", r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$"),
+    # Any mixture of what the grammar of functions/free_dates.py reads.
+    ("free", r"(?i)^ *[a-z0-9][a-z0-9 ,./:+-]*\d[a-z0-9 ,./:+-]*$"),
+    ("free, day first", r"(?i)^ *[a-z0-9][a-z0-9 ,./:+-]*\d[a-z0-9 ,./:+-]*$"),
 )
 
 # Shapes of text that count as a date in the column analysis.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions import fixed
+from tabscope.functions.free_dates import free_date_sql
 
 NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _DIGITS = r"\d(_?\d)*"
@@ -257,7 +258,9 @@ def two_decimals(column: Column) -> Column:
 def moment_sql(name: str, pattern: str, shape: str) -> str:
     """Text of that shape as a timestamp, else NULL; the shape test spares failing parses."""
     column = quoted(name)
-    text = f"IF(octet_length({column}) BETWEEN 8 AND 40 AND {column} RLIKE r'{shape}', {column}, NULL)"
+    text = f"IF(octet_length({column}) BETWEEN 6 AND 60 AND {column} RLIKE r'{shape}', {column}, NULL)"
+    if pattern.startswith("free"):
+        return free_date_sql(text, day_first=pattern.endswith("day first"))
     return f"try_cast({text} AS TIMESTAMP)" if pattern == "iso" else f"try_to_timestamp({text}, '{pattern}')"
 
 

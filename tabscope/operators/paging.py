@@ -15,6 +15,7 @@ from tabscope.functions.scalars import (
     order_key,
     ref,
 )
+from tabscope.operators.ranges import NARROW, rows_between
 
 
 def active(df: DataFrame) -> DataFrame:
@@ -87,15 +88,16 @@ def page_slice(
     size: int = fixed.PAGE_SIZE,
     *,
     max_size: int | None = fixed.MAX_PAGE_SIZE,
+    narrow: int = NARROW,
 ) -> DataFrame:
-    """One page of the sorted table, lazily; ``max_size`` bounds the page.
+    """One page of the sorted table; a page larger than ``max_size`` is refused.
 
-    One rule for every depth: tasks keep the rows up to the page's end, so the cost of a page grows with its depth, and
-    nothing is written. To turn pages far down a large table, keep an index with ``write_page_index`` or go on with
-    ``page_after``, whose cost is the same at every depth.
+    Pages within the first ``narrow`` rows are lazy. For deeper ones the range of keys that holds the page is looked up
+    right away and only its rows are sorted (see :func:`rows_between`); nothing is written. To turn many pages, go on with
+    ``page_after``, or keep an index with ``write_page_index``.
     """
     page, size = _checked(page, size, max_size)
-    return df.orderBy(*order_columns(order_by)).offset((page - 1) * size).limit(size)
+    return rows_between(df, order_by, (page - 1) * size, size, narrow=narrow)
 
 
 def page_after(df: DataFrame, order_by: Names, last: dict[str, object] | None, size: int = fixed.PAGE_SIZE) -> DataFrame:
@@ -208,4 +210,6 @@ def _checked(page: int, size: int, max_size: int | None = None) -> tuple[int, in
         raise ValueError("pages are numbered from 1")
     if size < 1:
         raise ValueError("a page holds at least one row")
-    return page, size if max_size is None else min(size, max_size)
+    if max_size is not None and size > max_size:
+        raise ValueError(f"a page holds at most {max_size} rows")
+    return page, size

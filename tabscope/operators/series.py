@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.functions import fixed
@@ -17,6 +17,7 @@ from tabscope.functions.scalars import (
     ref,
 )
 from tabscope.operators.histogram import fixed_histogram
+from tabscope.operators.ranges import running_sums
 
 
 def group_sum(
@@ -101,28 +102,22 @@ def _range_of(sums: DataFrame) -> tuple[Column, Column]:
     return ends["low"], ends["high"]
 
 
-def waterfall_series(df: DataFrame, x: str, y: str, limit: int = fixed.CHART_GROUPS) -> DataFrame:
+def waterfall_series(df: DataFrame, x: str, y: str, limit: int | None = fixed.CHART_GROUPS) -> DataFrame:
     """``(position, <x>, measure, value, start, end)``: stacked steps and a total at the end.
 
-    Every step starts where the one before ends, so one task sees all ``limit`` steps.
+    Every step starts where the one before ends. ``limit=None`` stacks all groups; however many there are, no task sees
+    more than a range of them.
     """
-    if limit < 1:
+    if limit is not None and limit < 1:
         raise ValueError("a waterfall needs at least one step")
-    steps = group_sum(df, x, y, limit).select(as_text(df, x).alias(x), "sum", ref(x).alias("_key"))
-    running = Window.partitionBy().orderBy("_key")
-    end = F.sum("sum").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stacked = steps.select(
-        F.row_number().over(running).alias("position"),
-        ref(x),
-        F.lit("relative").alias("measure"),
-        F.col("sum").alias("value"),
-        end.alias("end"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"),
+    steps = group_sum(df, x, y, limit).select(as_text(df, x).alias("_x"), "sum", ref(x).alias("_key"))
+    stacked = running_sums(steps, [F.col("_key").asc()], "sum").select(
+        F.col("position").cast("int").alias("position"), "_x", F.lit("relative").alias("measure"), F.col("sum").alias("value"), "end", F.col("size").alias("_n")
     )
     # The last step also carries the total.
     step = F.struct(
         "position",
-        ref(x).alias("x"),
+        F.col("_x").alias("x"),
         "measure",
         "value",
         (F.col("end") - F.col("value")).alias("start"),

@@ -224,6 +224,36 @@ def date_columns(spark: SparkSession, folder: str) -> DataFrame:
     return roles.date_columns(order_texts(spark, folder))
 
 
+def written_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with their day written in a dozen ways in one column, and with a column that has a word among them."""
+    minutes = (F.col("o_orderkey") * 37 % 1440).cast("int")
+    day = F.col("o_orderdate") + F.make_interval(mins=minutes)
+    number = F.dayofmonth(day)
+    suffix = F.when(number.isin(11, 12, 13), "th").otherwise(F.element_at(F.array(*[F.lit(x) for x in ["th", "st", "nd", "rd", *["th"] * 6]]), number % 10 + 1))
+    ways = [
+        F.date_format(day, "yyyy-M-d"), F.date_format(day, "M/d/yyyy"), F.date_format(day, "yyyyMMdd"), F.date_format(day, "MMM. d, yyyy"),
+        F.concat(F.date_format(day, "EEEE, MMMM d"), suffix, F.date_format(day, ", yyyy")),
+        F.concat(F.date_format(day, "d"), suffix, F.date_format(day, "' of 'MMMM yyyy")), F.upper(F.date_format(day, "d-MMM-yy")),
+        F.date_format(day, "yyyy MMM d h:mm a"), F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(day, "EEE d MMM yyyy HH:mm"),
+        F.date_format(day, "yyyy/M/d' at 'h a"), F.date_format(day, "yyyy.MM.dd HH:mm:ss.SSS"),
+    ]
+    written = F.element_at(F.array(*ways), (F.col("o_orderkey") % len(ways) + 1).cast("int"))
+    other = F.when(F.col("o_orderkey") % 100 == 7, F.lit("2nd quarter")).otherwise(written)
+    return table(spark, folder, "orders").select("o_orderkey", written.alias("written"), other.alias("other"))
+
+
+@_query
+def free_dates(spark: SparkSession, folder: str) -> DataFrame:
+    days = written_days(spark, folder).drop("other")
+    read = roles.parse_dates(days, roles.date_formats(days))
+    return read.select("o_orderkey", F.date_format("written", "yyyy-MM-dd HH:mm:ss").alias("written"))
+
+
+@_query
+def free_date_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return roles.date_columns(written_days(spark, folder))
+
+
 @_query
 def typed_by_role(spark: SparkSession, folder: str) -> DataFrame:
     return roles.typed_by_role(order_texts(spark, folder).select("o_orderkey", "amount", "lettered"), "o_orderkey")
@@ -521,6 +551,12 @@ def chart_waterfall(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(steps, 2, "value", "start", "end")
 
 
+@_query
+def waterfall_all_groups(spark: SparkSession, folder: str) -> DataFrame:
+    steps = series.waterfall_series(table(spark, folder, "lineitem"), "l_partkey", "l_extendedprice", None)
+    return rounded(steps, 2, "value", "start", "end")
+
+
 @_query
 def chart_radar(spark: SparkSession, folder: str) -> DataFrame:
     radar = series.chart(table(spark, folder, "part"), "radar_chart", "p_size", "p_retailprice")
@@ -751,6 +787,8 @@ def date_flags(spark: SparkSession, folder: str) -> DataFrame:
 # --- paging ---------------------------------------------------------------------------------
 
 NEWEST_FIRST: Names = ["-o_totalprice", "o_orderkey"]
+# Tells all rows of lineitem apart.
+DEEP_ORDER = ["-l_shipdate", "l_orderkey", "-l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
 @_query
@@ -786,6 +824,12 @@ def page_slice_large(spark: SparkSession, folder: str) -> DataFrame:
     return paging.page_slice(table(spark, folder, "customer"), "c_custkey", 1, 3_000_000, max_size=None)
 
 
+@_query
+def page_slice_deep(spark: SparkSession, folder: str) -> DataFrame:
+    """A page beyond the rows that one task may keep."""
+    return paging.page_slice(table(spark, folder, "lineitem"), DEEP_ORDER, 55, 100, narrow=500)
+
+
 @_query
 def page_list(spark: SparkSession, folder: str) -> DataFrame:
     return paging.page_list(table(spark, folder, "orders"), 64)
@@ -897,20 +941,22 @@ def scraped_files(spark: SparkSession, folder: str) -> DataFrame:
     """Tables of different widths in one crawl, pages by address, written and read again."""
     path = shared.fresh_path(spark, "scraped")
     page = F.concat(
-        F.lit("<table><tr><td>"), F.col("n_name"), F.lit("</table><table><tr><td>a, b<td>c<td>"), F.col("n_nationkey").cast("string"),
-        F.lit("<tr><td>short</table>"),
+        F.lit("<table><tr><td>"), F.col("o_orderpriority"), F.lit("</table><table><tr><td>a, b<td>c<td>"),
+        F.col("o_orderkey").cast("string"), F.lit("<tr><td>short</table>"),
     )
-    address = F.concat(F.lit("p-"), F.col("n_nationkey").cast("string"))
-    pages = table(spark, folder, "nation").select(address.alias("page_id"), page.alias("html"))
+    address = F.concat(F.lit("p-"), F.col("o_orderkey").cast("string"))
+    pages = table(spark, folder, "orders").select(address.alias("page_id"), page.alias("html"))
     writers.write_tables(html_tables.extract_html_tables(pages), path, folder_per_table=False)
     return spark.read.text(path)
 
 
 @_query
 def json_document(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that each hold one document of up to 500 customers."""
     path = shared.fresh_path(spark, "document")
-    records = table(spark, folder, "region").agg(F.to_json(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("value"))
-    records.write.text(path)
+    record = F.struct("c_custkey", "c_name", "c_acctbal")
+    documents = table(spark, folder, "customer").groupBy(F.floor(F.col("c_custkey") / 500)).agg(F.to_json(F.collect_list(record)).alias("value"))
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return readers.read_json_document(spark, path)
 
 

@@ -463,10 +463,10 @@ def oracle() -> dict[str, str]:
         "page_slice_large": "SELECT * FROM customer",
         "csv_line_breaks": """SELECT c_custkey, c_name || chr(10) || '"' || c_mktsegment || '",;' || c_nationkey || chr(10) AS note,
             c_acctbal FROM customer""",
-        "scraped_files": """SELECT 'p-' || n_nationkey || ',0,0,' || n_name AS value FROM nation
-            UNION ALL SELECT 'p-' || n_nationkey || ',1,0,"a, b",c,' || n_nationkey FROM nation
-            UNION ALL SELECT 'p-' || n_nationkey || ',1,1,short,,' FROM nation""",
-        "json_document": "SELECT r_regionkey, r_name FROM region",
+        "scraped_files": """SELECT 'p-' || o_orderkey || ',0,0,' || o_orderpriority AS value FROM orders
+            UNION ALL SELECT 'p-' || o_orderkey || ',1,0,"a, b",c,' || o_orderkey FROM orders
+            UNION ALL SELECT 'p-' || o_orderkey || ',1,1,short,,' FROM orders""",
+        "json_document": "SELECT c_custkey, c_name, c_acctbal FROM customer",
         "stored_profile_by_id": """SELECT 'orders' AS file_id, 'o_custkey' AS "column", count(*) AS total_count FROM orders""",
         "iqr_bounds": "\nUNION ALL\n".join(
             f"""SELECT "column", round(q1, 6) AS q1, round(q3, 6) AS q3, round(q1 - 1.5 * (q3 - q1), 6) AS lower,
@@ -528,6 +528,13 @@ def oracle() -> dict[str, str]:
             round(e, 2) AS "end" FROM r
             UNION ALL SELECT CAST(count(*) + 1 AS INTEGER), 'total', 'total', round(sum(v), 2), 0.0, round(sum(v), 2)
             FROM s""",
+        "waterfall_all_groups": """WITH s AS (SELECT l_partkey, sum(l_extendedprice) AS v FROM lineitem GROUP BY l_partkey),
+            r AS (SELECT l_partkey, v, CAST(row_number() OVER (ORDER BY l_partkey) AS INTEGER) AS position,
+            sum(v) OVER (ORDER BY l_partkey ROWS UNBOUNDED PRECEDING) AS e FROM s)
+            SELECT position, CAST(l_partkey AS VARCHAR) AS l_partkey, 'relative' AS measure, round(v, 2) AS value,
+            round(e - v, 2) AS start, round(e, 2) AS "end" FROM r
+            UNION ALL SELECT CAST(count(*) + 1 AS INTEGER), 'total', 'total', round(sum(v), 2), 0.0, round(sum(v), 2)
+            FROM s""",
         "chart_radar": """WITH s AS (SELECT p_size, sum(p_retailprice) AS v FROM part GROUP BY p_size ORDER BY p_size LIMIT 10)
             SELECT p_size, round(v, 2) AS "sum", round(v / (SELECT max(v) FROM s), 6) AS scaled FROM s""",
         "chart_histogram": _histogram(
@@ -616,6 +623,12 @@ def oracle() -> dict[str, str]:
         "column_analysis": _column_analysis(),
         "type_mix": _type_mix(),
         "page_slice": "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 200",
+        "free_dates": """SELECT o_orderkey, strftime(o_orderdate + CASE WHEN o_orderkey % 12 < 7 THEN INTERVAL 0 MINUTE
+            WHEN o_orderkey % 12 = 10 THEN to_minutes(CAST(o_orderkey * 37 % 1440 // 60 * 60 AS INT))
+            ELSE to_minutes(CAST(o_orderkey * 37 % 1440 AS INT)) END, '%Y-%m-%d %H:%M:%S') AS written FROM orders""",
+        "free_date_columns": """SELECT 'written' AS "column", 'free' AS date_format""",
+        "page_slice_deep": """SELECT * FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber DESC, l_partkey, l_suppkey,
+            l_extendedprice LIMIT 100 OFFSET 5400""",
         "page_after": """SELECT * FROM orders WHERE (o_custkey, o_orderkey) > (70, 500)
             ORDER BY o_custkey, o_orderkey LIMIT 40""",
         "page_from_index": """SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS row_number FROM orders

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tabscope.functions import fixed
 from tabscope.functions.reshape import per_column
 from tabscope.functions.scalars import NUMBER_TEXT, literal, quoted, ref, string_columns
+from tabscope.sources.csv_records import csv_records
 
 _WHOLE_TEXT = r"^\s*[+-]?\d{1,19}\s*$"
 _TRUTH_TEXT = r"^(True|TRUE|true|False|FALSE|false)$"
@@ -29,32 +30,35 @@ def read_csv(
     encoding: str | None = None,
     missing: Sequence[str] = fixed.MISSING_TEXTS,
     with_order: bool = False,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """A CSV file with a header, typed by its content.
 
     Rows with too many cells are left out, short ones are padded. ``with_order`` adds ``_order``,
     the position in the files, for operators that follow row order. Without ``encoding``, files that are not all
-    UTF-8 are read as Latin-1. ``multi_line`` lets quoted cells hold line breaks; a file is then read by one task, so
-    set it to False for large files that hold none.
+    UTF-8 are read as Latin-1. Quoted cells may hold line breaks: one reading looks for them, and where there are any, each
+    task puts the records of its part of a file together (see :mod:`tabscope.sources.csv_records`), so large files are read
+    by many tasks. ``multi_line=False`` spares that look, ``multi_line=True`` reads every file in one task as Spark does,
+    which files need whose lines end in a lone carriage return.
     """
     encoding = encoding or text_encoding(spark, path)
-    options = {"header": True, "sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": multi_line}
-    names = spark.read.options(**options).csv(path).columns  # reads the header line
+    options = {"header": True, "sep": sep, "encoding": encoding, "quote": '"', "escape": '"'}
+    names = spark.read.options(**options, multiLine=multi_line is not False).csv(path).columns  # reads the header line
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SPARE]])
-    # The filter asks for the spare cell, so it is parsed whatever columns are read later.
-    raw = spark.read.options(**options, mode="PERMISSIVE", enforceSchema=True).schema(schema).csv(path)
+    records = csv_records(spark, path, sep, encoding) if multi_line is None else None
+    place = [F.col("path").alias("file"), F.col("block"), F.col("place").alias("line")]
+    if records is not None:
+        cells = F.from_csv("record", schema.toDDL(), {"sep": sep, "quote": '"', "escape": '"'})
+        raw = records.select(F.struct(*place).alias("_order"), cells.alias("_cells")).select("_order", "_cells.*")
+    else:
+        # The filter asks for the spare cell, so it is parsed whatever columns are read later.
+        read = spark.read.options(**options, multiLine=bool(multi_line), mode="PERMISSIVE", enforceSchema=True).schema(schema)
+        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+        order = F.struct(*place, F.monotonically_increasing_id().alias("line")).alias("_order")
+        raw = read.csv(path).select(order, "*") if with_order else read.csv(path)
     kept = raw.filter(F.col(_SPARE).isNull())
     cells = [F.when(~ref(n).isin(*missing), ref(n)).alias(n) for n in names]
-    if with_order:
-        cells.append(
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("line"),
-            ).alias("_order")
-        )
-    return narrow_types(kept.select(*cells))
+    return narrow_types(kept.select(*cells, *(["_order"] if with_order else [])))
 
 
 def narrow_types(df: DataFrame) -> DataFrame:
@@ -97,7 +101,7 @@ def text_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_csv_for_profile(
-    spark: SparkSession, path: str, *, encoding: str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, *, encoding: str | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """A CSV file whose separator is the more frequent of comma and semicolon; few texts mean missing."""
     encoding = encoding or text_encoding(spark, path)
@@ -115,7 +119,7 @@ def read_delimited(
     *,
     encoding: str | None = None,
     with_order: bool = False,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """A text table; the separator is found in the first lines when none is given."""
     encoding = encoding or text_encoding(spark, path)
