@@ -33,22 +33,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LOW, HIGH = 0.0005, 0.05
 #: Share of the lexicon that each subset holds; four neighbours in this list are drawn by one hash.
 SHARES = [1 / 8] * 16 + [1 / 32] * 32 + [1 / 128] * 48 + [1 / 512] * 32
-#: Words that a lexicon may hold. Each word fills LOW of the documents, so there are at most (mean number of distinct
-#: words of a document) / LOW; for longer documents LOW is doubled until this bound holds.
-MOST_WORDS = 1_000_000
 _BATCH = 1 << 20
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
-    """Sorted hashes of the words inside the band, counted over all documents."""
+    """Sorted hashes of the words inside the band, counted over all documents.
+
+    Each of its words fills ``low`` of the documents, so there are at most (mean number of distinct words of a document) /
+    ``low`` of them, of 8 bytes, whatever the number of documents. An empty table has an empty lexicon.
+    """
     frequency = stored(term_counts(docs).filter("n > 1"), "terms")
     total = docs.count()
-    while True:
-        inside = frequency.filter((F.col("n") >= low * total) & (F.col("n") <= max(2.0, high * total)))
-        if inside.count() <= MOST_WORDS:
-            break
-        low *= 2
-    # At most MOST_WORDS numbers of 8 bytes.
+    inside = frequency.filter((F.col("n") >= low * total) & (F.col("n") <= max(2.0, high * total)))
     return np.sort(inside.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
 
 

@@ -1,8 +1,7 @@
 """Stupid-backoff scores of documents under a bigram model of the corpus around them.
 
-Words are told apart by 64-bit hashes. With ``rare=0`` every word counts as itself, and the table of words is stored and
-joined by word; only words above a share of :data:`FREQUENT`, at most ``1 / FREQUENT``, are sent to every task, as many
-bigrams share them. With ``rare`` above 0 words that make up less than this share of all words, and words that occur once,
+Words are told apart by 64-bit hashes. Every word counts as itself, and the table of words is stored and joined by word; only words above a share of :data:`FREQUENT`, at most ``1 / FREQUENT``, are sent to every task, as many
+bigrams share them. On request (``rare`` above 0) words that make up less than this share of all words, and words that occur once,
 count as one unknown word, so that the vocabulary has at most ``1 / rare`` words, whatever the corpus. Each document is
 exploded into its different bigrams with their counts. Counts over the corpus are summed from those, partitioned by a hash
 of the bigram, and joined back to the exploded rows. What a document itself has contributed to a bigram is taken off, so one
@@ -31,9 +30,10 @@ from tabscope.llm.terms import row_words, term_counts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-RARE = 1e-5
+#: Every word counts as itself.
+RARE = 0.0
 BACKOFF = 0.4
-#: With ``rare=0``: share of all words from which a word's count is sent to every task.
+#: Without a cut: share of all words from which a word's count is sent to every task.
 FREQUENT = 1e-5
 #: Words that are no hashes: the begin mark and the unknown word; then, if rare words are unknown, numbers of the others.
 BEGIN, UNKNOWN = 0, 1
@@ -101,8 +101,9 @@ def _counted(pairs: DataFrame, side: str, near: DataFrame, far: DataFrame | None
 def score_documents(docs: DataFrame, rare: float = RARE, backoff: float = BACKOFF) -> DataFrame:
     """``(doc_id, n_words, log_score, mean_log)`` for every row of ``docs`` (``doc_id``, ``text``).
 
-    With ``rare=0`` no word is taken for another. Empty and NULL texts have no words, a score of 0 and a NULL mean. Rows
-    that share an id each get the sums over all of them, and are other documents to each other.
+    Only with ``rare`` above 0 are rare words taken for one another. Empty and NULL texts have no words, a score of 0 and a NULL mean. Rows
+    that share an id each get the sums over all of them, and are other documents to each other. An empty table gives an
+    empty one; ids are cast to bigint.
     """
     counts, total = word_table(docs)
     begun = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).count()

@@ -200,10 +200,8 @@ WITH {_WORDS},
 tokens AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM words),
 counts AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
 total AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM counts),
-known AS (SELECT word FROM counts, total WHERE n > 1 AND n >= {lm_score.RARE} * t),
-numbered AS (SELECT doc_id, place, coalesce(k.word, ' ?') AS word FROM tokens LEFT JOIN known k ON k.word = tokens.word),
 grams AS (
-  SELECT doc_id, lag(word, 1, ' ^') OVER (PARTITION BY doc_id ORDER BY place) AS v, word AS w FROM numbered
+  SELECT doc_id, lag(word, 1, ' ^') OVER (PARTITION BY doc_id ORDER BY place) AS v, word AS w FROM tokens
 ),
 one AS (
   SELECT w AS word, CAST(count(*) AS DOUBLE) AS n FROM grams GROUP BY w

@@ -76,7 +76,7 @@ def backoff_scores(rows: list[tuple[int, str | None]], rare: float, backoff: flo
     known = {i: words(t) for i, t in rows}
     counts = Counter(w for ws in known.values() for w in ws)
     total = sum(counts.values())
-    vocabulary = {w for w, n in counts.items() if n > 1 and n >= rare * total}
+    vocabulary = {w for w, n in counts.items() if not rare or (n > 1 and n >= rare * total)}
     lines = {i: [b"<s> "] + [w if w in vocabulary else b"<?> " for w in ws] for i, ws in known.items()}
     one = Counter(w for line in lines.values() if len(line) > 1 for w in line)
     two = Counter(g for line in lines.values() for g in zip(line, line[1:], strict=False))
@@ -98,3 +98,42 @@ def article(page: str) -> str:
     inner = re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1]
     inner = re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1)>|<br>", " ", inner))
     return " ".join(html.unescape(inner).split())
+
+
+_M = (1 << 64) - 1
+
+
+def mixed(x: int) -> int:
+    """Shifts and odd factors of the 64-bit mixer, in Python numbers."""
+    x ^= x >> 32
+    x = x * 0xD6E8FEB86659FD93 & _M
+    x ^= x >> 29
+    x = x * 0xD6E8FEB86659FD93 & _M
+    return x ^ x >> 32
+
+
+def word_hash(word: bytes, codes: list[int]) -> int:
+    """A polynomial over random numbers for bytes."""
+    total, power = 0, 1
+    for b in word:
+        total, power = total + codes[b] * power, power * 0x9E3779B97F4A7C15
+    return mixed((total + len(word) * 0xD6E8FEB86659FD93) & _M)
+
+
+def imatch(rows: list[tuple[int | None, str | None]], codes: list[int], low: float, high: float, shares: list[float]):
+    """Fingerprints as lists of 16-bit numbers, for any text: lexicon by counting, one subset after the other."""
+    found = Counter(w for _, t in rows for w in {word_hash(w, codes) for w in set(words(t))})
+    lexicon = {w for w, n in found.items() if n > 1 and low * len(rows) <= n <= max(2.0, high * len(rows))}
+
+    def of(text: str) -> list[int]:
+        mine = sorted({word_hash(w, codes) for w in set(words(text))} & lexicon)
+        out = []
+        for j, share in enumerate(shares):
+            draw = 0x9E3779B97F4A7C15 * (j // 4 * 4 + 1) & _M
+            drawn = [mixed(w ^ draw) for w in mine]
+            inside = [d for d in drawn if (d >> 16 * (j % 4) & 0xFFFF) < int(share * 65536)]
+            total = mixed(sum(mixed((w + place) & _M) for place, w in enumerate(inside)) & _M)
+            out.append(total % 65535 + 1 if inside else 0)
+        return out
+
+    return of

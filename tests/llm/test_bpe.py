@@ -5,6 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tabscope.llm import bpe
+from tabscope.llm.common import read_table
 from tabscope.llm.queries import tokenizer_path
 
 
@@ -53,3 +54,14 @@ def test_bytes_that_are_no_text(spark, path):
     rows = spark.createDataFrame([(1, [195]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
     got = {r.doc_id: (r.ids, r.text) for r in bpe.decode(rows, path).collect()}
     assert got == {1: ([195], Tokenizer.from_file(path).decode([195])), 2: ([], ""), 3: ([], "")}
+
+
+def test_whole_table(spark, sf, path):
+    library = Tokenizer.from_file(path)
+    docs = read_table(spark, sf, "documents")
+    want = {}
+    for r in docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        digests = [hashlib.sha256(t.encode()).hexdigest() for t in (",".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+        want[r.doc_id] = (r.doc_id, len(ids), *digests)
+    assert {r.doc_id: tuple(r) for r in bpe.round_trip(docs, path).collect()} == want

@@ -1,11 +1,12 @@
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
 
 from tabscope.llm import fingerprints
-from tabscope.llm.common import read_table
-from tests.llm.brute import SCHEMA
+from tabscope.llm.common import byte_codes, read_table
+from tests.llm.brute import SCHEMA, imatch
 
 
 def check(docs, rows):
@@ -50,3 +51,28 @@ def test_repeated_rows_stay(spark):
     assert sorted(r.doc_id for r in got) == [1, 1, 1, 2]
     assert len({r.fingerprint for r in got if r.n_chars == 7}) == 1
     assert fingerprints.fingerprint_documents(docs, fingerprints.lexicon(docs)).count() == 4
+
+
+def test_same_as_plain_counting(spark, sf):
+    """Lexicon, subsets, hashes and likeness recomputed one word at a time."""
+    docs = read_table(spark, sf, "documents")
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
+    of = imatch(rows, byte_codes().tolist(), fingerprints.LOW, fingerprints.HIGH, fingerprints.SHARES)
+    got = {r.doc_id: r for r in fingerprints.compare_edited(docs, fingerprints.lexicon(docs)).collect()}
+
+    def like(a, b):
+        return sum(x == y > 0 for x, y in zip(a, b, strict=True)) / max(1, sum(x > 0 or y > 0 for x, y in zip(a, b, strict=True)))
+
+    checked = 0
+    for i in random.Random(1).sample(range(len(rows)), 60):
+        doc_id, text = rows[i]
+        follows = rows[(i + 1) % len(rows)][1] or ""
+        half = len(text or "") // 2
+        marks = [of(t) for t in (text, (text or "")[: len(text or "") - half] + follows[:half], follows)]
+        if any(not any(m) for m in marks):
+            continue  # named by a hash of all the text
+        checked += 1
+        r = got[doc_id]
+        assert [r.fingerprint, r.edited_fingerprint] == ["".join(f"{x:04x}" for x in m) for m in marks[:2]]
+        assert (r.near_edited, r.near_next) == (like(marks[0], marks[1]), like(marks[0], marks[2]))
+    assert checked > 40

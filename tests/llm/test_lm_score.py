@@ -9,7 +9,7 @@ from tabscope.llm.common import read_table
 from tests.llm.brute import SCHEMA, backoff_scores
 
 
-@pytest.mark.parametrize("rare", [lm_score.RARE, 0.01])
+@pytest.mark.parametrize("rare", [0.0, 1e-5, 0.01])
 def test_same_scores_as_plain_counts(spark, rare):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices(["the", "of", "cat", "Dog", "x1", f"w{i}"], k=rng.randrange(40)))) for i in range(40)]
@@ -30,6 +30,15 @@ def test_whole_table(spark, sf):
         assert (r.n_words, r.log_score) == (want[r.doc_id][0], pytest.approx(want[r.doc_id][1], rel=1e-9))
 
 
+def test_unseen_words_rank_below_the_median(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    rng = random.Random(8)
+    invented = [(-k, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(200))) for k in (1, 2, 3)]
+    scores = lm_score.score_documents(docs.union(spark.createDataFrame(invented, docs.schema))).filter("n_words >= 50").collect()
+    known = sorted(r.mean_log for r in scores if r.doc_id >= 0)
+    assert max(r.mean_log for r in scores if r.doc_id < 0) < known[len(known) // 2]
+
+
 def test_repeated_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a b")], "doc_id bigint, text string")
     got = sorted((r.doc_id, r.n_words) for r in lm_score.score_documents(docs).collect())
