@@ -99,8 +99,7 @@ def binned(
 ) -> DataFrame:
     """Counts per bin of ``(column, value)`` rows; ``layout`` has one row per column.
 
-    The first and the last bin hold the extremes and are never empty, so empty bins are gaps
-    between two filled ones and can be filled in from the counts alone.
+    Empty bins are listed with zero, a column's many bins by many tasks; ``filled_only`` leaves them out.
     """
     widened = layout.selectExpr(
         "column", "bins", "IF(lo = hi, lo - 0.5, lo) AS lo", "IF(lo = hi, hi + 0.5, hi) AS hi", *carry
@@ -116,19 +115,15 @@ def binned(
     edges = (f"{edge_sql('index')} AS left_value", f"{edge_sql('index + 1')} AS right_value")
     if filled_only:
         return counted.selectExpr("column", "index", *edges, "count", *carry)
-    # A flat column fills one middle bin only: reach down to bin 0 from the first filled one.
-    neighbour = "OVER (PARTITION BY column ORDER BY index)"
-    start = f"IF(lag(index) {neighbour} IS NULL, 0, index)"
-    last = f"coalesce(lead(index) {neighbour}, bins) - 1"
-    # Wide gaps are written out block by block: no array is longer than a block.
-    gaps = counted.selectExpr("column", "index AS filled", f"{start} AS a", f"{last} AS b", "count", *facts)
-    blocks = gaps.selectExpr("*", f"explode(sequence(0L, (b - a) div {_BLOCK})) AS block")
-    block = f"sequence(a + block * {_BLOCK}, least(a + block * {_BLOCK} + {_BLOCK - 1}, b))"
-    slots = blocks.selectExpr("column", "filled", f"explode({block}) AS index", "count", *facts)
-    return slots.selectExpr("column", "index", *edges, "IF(index = filled, count, 0) AS count", *carry)
-
-
-#: Bins of a gap that one array lists.
+    # All bins are listed block by block, blocks by many tasks, and meet their counts by column and bin.
+    listed = widened.selectExpr("*", f"explode(sequence(0L, (bins - 1) div {_BLOCK})) AS block").repartition("column", "block")
+    block = f"sequence(block * {_BLOCK}, least(block * {_BLOCK} + {_BLOCK - 1}, bins - 1))"
+    slots = listed.selectExpr("column", f"explode({block}) AS index", *facts)
+    found = counted.select("column", "index", "count")
+    return slots.join(found, ["column", "index"], "left").selectExpr("column", "index", *edges, "coalesce(count, 0L) AS count", *carry)
+
+
+#: Bins that one array lists.
 _BLOCK = 100_000
 _GUESS = "least(floor((value - lo) * bins / (hi - lo)), bins - 1)"
 

@@ -1028,4 +1028,4 @@ def stream_profile(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def stream_value_counts(spark: SparkSession, folder: str) -> DataFrame:
     result = running.stream_value_counts(_event_stream(spark, folder), "event_type")
-    return running.run_to_end(result, "stream-counts")
+    return running.run_changes_to_end(result, "event_type", "stream-counts")

@@ -96,3 +96,11 @@ def test_datetimes(spark):
     assert rows[0]["left_value"] == "2024-01-01T00:00:00"
     assert rows[3]["left_value"] == pd.to_datetime(edges[3] * 1e9).isoformat()
     assert rows[0]["label"] == "2024-01-01 - 2024-01-03"
+
+
+def test_many_bins_are_filled_by_many_tasks(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (2_000_000.0,)], "x double")
+    bins = fixed_histogram(df, "x", 2_000_000)
+    totals = bins.agg(F.count("*").alias("n"), F.sum("count").alias("rows"), F.max("index").alias("last")).first()
+    assert tuple(totals) == (2_000_000, 3, 1_999_999)
+    assert "Window" not in bins._jdf.queryExecution().optimizedPlan().toString()

@@ -185,3 +185,18 @@ def test_many_rows_per_page(spark):
     cells = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12_000)), lambda i: F.concat(F.lit("<tr><td>"), i.cast("string"))), "")
     pages = spark.range(2).select(F.col("id").alias("page_id"), F.concat(F.lit("<table>"), cells).alias("html"))
     assert extract_html_tables(pages).count() == 24_000
+
+
+def test_two_kinds_of_documents_in_one_store(spark):
+    path = fresh_path(spark, "store")
+    first = spark.createDataFrame([("a", 1, (1.5, None))], "column string, n bigint, more struct<mean:double,top:string>")
+    second = spark.createDataFrame([("b", "x", ("y",))], "column string, n string, more struct<top:string>")
+    writers.append_profile(first, "f1", "12", path)
+    writers.append_profile(second, "f2", "a/b =", path)
+    every = writers.find_profiles(spark, path)
+    got = sorted((r["file_id"], r["project_id"], r["metadata"]["column"], r["metadata"]["n"], r["metadata"]["more"]["top"]) for r in every.collect())
+    assert got == [("f1", "12", "a", "1", None), ("f2", "a/b =", "b", "x", "y")]
+    one = writers.find_profiles(spark, path, project_id="12")
+    assert one.first()["metadata"]["n"] == 1 and "PartitionFilters: [isnotnull(project_id" in one._jdf.queryExecution().executedPlan().toString()
+    assert writers.find_profiles(spark, path, project_id="none").count() == 0
+    assert set(spark.read.schema(writers._STORE).parquet(path).select(F.col("version")).distinct().collect()) == {(1,)}

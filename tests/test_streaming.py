@@ -43,3 +43,34 @@ def test_running_counts(spark):
     stream = spark.readStream.schema("x double, k string").parquet(path)
     final = running.run_to_end(running.stream_value_counts(stream, "k"), "counts")
     assert {r["k"]: r["count"] for r in final.collect()} == {"0": 17, "1": 17, "2": 16}
+
+
+def test_batches_write_what_they_change(spark):
+    path, out = fresh_path(spark, "in"), fresh_path(spark, "out")
+    batches(spark, path, [(0, 3), (3, 6), (0, 1)])
+    stream = spark.readStream.schema("x double, k string").option("maxFilesPerTrigger", 1).parquet(path)
+    result = running.stream_value_counts(stream, "k")
+
+    def counts():
+        return {r["k"]: r["count"] for r in running.read_changes(result, "k", out).collect()}
+
+    running.start_changes(result, out).awaitTermination()
+    assert counts() == {"0": 3, "1": 2, "2": 2}
+    changed = spark.read.parquet(f"{out}/changes").groupBy("batch").count().collect()
+    assert sorted(r["count"] for r in changed) == [1, 3, 3]
+
+    # Merged, the changes are gone and nothing else is different; a batch that runs again changes nothing.
+    running.merge_changes(result, "k", out)
+    running.merge_changes(result, "k", out)
+    assert counts() == {"0": 3, "1": 2, "2": 2} and running._folders(spark, f"{out}/changes") == []
+    batches(spark, path, [(7, 8)])
+    running.start_changes(result, out).awaitTermination()
+    assert counts() == {"0": 3, "1": 3, "2": 2}
+    newest = spark.read.parquet(f"{out}/changes")
+    assert [tuple(r) for r in newest.select("k", "count").collect()] == [("1", 3)]
+    newest.drop("batch").write.mode("overwrite").parquet(f"{out}/changes-again")
+    number = newest.first()["batch"]
+    spark.read.parquet(f"{out}/changes-again").write.mode("overwrite").parquet(f"{out}/changes/batch={number}")
+    assert counts() == {"0": 3, "1": 3, "2": 2}
+    running.merge_changes(result, "k", out)
+    assert counts() == {"0": 3, "1": 3, "2": 2} and len(running._folders(spark, f"{out}/merged")) == 1
