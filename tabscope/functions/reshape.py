@@ -75,6 +75,13 @@ def as_text(df: DataFrame, name: str) -> Column:
     return F.expr(text_sql(df, name))
 
 
+def digest_sql(values: list[str]) -> list[str]:
+    """Two 64-bit hashes of values with different beginnings, together 128 bits; missing values count."""
+    # A hash runs on through its arguments and passes over missing ones, so gaps are told first.
+    gaps = f"concat({', '.join(f'int(isnull({v}))' for v in values)})"
+    return [f"xxhash64('{begin}', {gaps}, {', '.join(values)})" for begin in ("first", "second")]
+
+
 SLOTS = {"whole": "BIGINT", "number": "DOUBLE", "moment": "TIMESTAMP", "text": "STRING"}
 
 

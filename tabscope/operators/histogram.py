@@ -116,7 +116,7 @@ def binned(
     if filled_only:
         return counted.selectExpr("column", "index", *edges, "count", *carry)
     # All bins are listed block by block, blocks by many tasks, and meet their counts by column and bin.
-    listed = widened.selectExpr("*", f"explode(sequence(0L, (bins - 1) div {_BLOCK})) AS block").repartition("column", "block")
+    listed = widened.filter("lo IS NOT NULL").selectExpr("*", f"explode(sequence(0L, (bins - 1) div {_BLOCK})) AS block").repartition("column", "block")
     block = f"sequence(block * {_BLOCK}, least(block * {_BLOCK} + {_BLOCK - 1}, bins - 1))"
     slots = listed.selectExpr("column", f"explode({block}) AS index", *facts)
     found = counted.select("column", "index", "count")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions import fixed
-from tabscope.functions.reshape import literal_rows, long_numbers, long_text, long_typed, per_column
+from tabscope.functions.reshape import literal_rows, long_numbers, long_text, per_column, slot_of, slot_sql
 from tabscope.functions.scalars import (
     Names,
     as_list,
@@ -148,19 +148,25 @@ def profile_string(df: DataFrame, columns: Names | None = None, limit: int = fix
 
 
 def distinct_per_column(df: DataFrame, columns: Names | None = None, *, approximate: bool = False) -> DataFrame:
-    """``(column, unique_value_count)`` of present values."""
+    """``(column, unique_value_count)`` of present values; equal hashes of 128 bits count as equal values."""
     names = as_list(columns) or _comparable(df, df.columns)
     if approximate:
         distinct = "approx_count_distinct({0})".format
         return per_column(
             df, [{"column": literal(c), "unique_value_count": distinct(known_sql(df, c))} for c in names]
         )
-    # Every value meets its equals by hash, whatever the number of columns.
-    counts = [
-        values.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("found"))
-        for values in long_typed(df, names, short=True).values()
-    ]
-    found = reduce(DataFrame.unionByName, counts)
+    # Values of all columns meet their equals in one exchange, as 128 bits of hashes, whatever their type and length.
+    wide, pairs = [], []
+    for i, c in enumerate(names):
+        value = slot_sql(df, c, slot_of(field_type(df, c)))
+        first, second = (f"IF(({value}) IS NULL, NULL, xxhash64('{begin}', {value}))" for begin in ("first", "second"))
+        wide += [f"{first} AS a{i}", f"{second} AS b{i}"]
+        pairs.append(f"(a{i}, b{i}) AS c{i}")
+    hashed = df.selectExpr(*wide)
+    long = df.sparkSession.sql(f"SELECT * FROM {{hashed}} UNPIVOT ((a, b) FOR at IN ({', '.join(pairs)}))", hashed=hashed)
+    counts = long.distinct().groupBy("at").agg(F.count(F.lit(1)).alias("found"))
+    labels = literal_rows(df.sparkSession, [{"at": f"c{i}", "column": c} for i, c in enumerate(names)])
+    found = counts.join(F.broadcast(labels), "at").drop("at")
     listed = literal_rows(df.sparkSession, [{"column": c} for c in names])
     return listed.join(F.broadcast(found), "column", "left").select(
         "column", F.coalesce("found", F.lit(0)).alias("unique_value_count")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabscope.functions import fixed
-from tabscope.functions.reshape import literal_rows, long_numbers, per_column
+from tabscope.functions.reshape import digest_sql, literal_rows, long_numbers, per_column, text_sql
 from tabscope.functions.scalars import (
     Names,
-    all_of,
     any_of,
     as_list,
     as_number,
@@ -51,14 +51,20 @@ def duplicate_rows(df: DataFrame, subset: Names | None = None, order_by: Names |
     reject_maps(df, df.columns)
     firsts = first_rows(df, subset, order_by)
     rows = df.groupBy(*[ref(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    one = firsts.select(*[ref(c).alias(f"_f{i}") for i, c in enumerate(df.columns)], F.lit(1).alias("_first"))
-    same = all_of(ref(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(df.columns))
-    left = rows.join(one, same, "left").select(
+    # Both sides know a row by 128 bits of hashes, so that long texts are no join keys.
+    digest = [F.expr(d).alias(f"_h{i}") for i, d in enumerate(_row_digest(df))]
+    one = firsts.select(*digest, F.lit(1).alias("_first"))
+    left = rows.select("*", *digest).join(one, ["_h0", "_h1"], "left").select(
         *[ref(c) for c in df.columns], (F.col("_copies") - F.coalesce("_first", F.lit(0))).alias("_copies")
     )
     return _unfolded(left, df.columns)
 
 
+def _row_digest(df: DataFrame) -> list[str]:
+    nested = (T.ArrayType, T.StructType)
+    return digest_sql([text_sql(df, c) if isinstance(df.schema[c].dataType, nested) else quoted(c) for c in df.columns])
+
+
 def _unfolded(groups: DataFrame, names: list[str]) -> DataFrame:
     """Every row as often as ``_copies`` says, written out by as many tasks as it takes."""
     chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / COPIES_PER_TASK))
@@ -92,9 +98,9 @@ def _short(df: DataFrame, name: str) -> Column:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """One row with the number of second and later copies of whole rows."""
+    """One row with the number of second and later copies of whole rows; equal hashes of 128 bits count as equal rows."""
     reject_maps(df, df.columns)
-    groups = df.groupBy(*[_short(df, c).alias(f"_k{i}") for i, c in enumerate(df.columns)]).count()
+    groups = df.groupBy(*[F.expr(d).alias(f"_h{i}") for i, d in enumerate(_row_digest(df))]).count()
     return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"))
 
 

@@ -161,3 +161,11 @@ def test_steps(spark):
     assert {tuple(r) for r in every.collect()} == {("a", "a", "1.0"), ("c", "a", "2.0")}
     with pytest.raises(ValueError):
         cleanse.cleanse(df, ["polish"])
+
+
+def test_rows_that_differ_in_gaps_alone_are_no_copies(spark):
+    rows = [(1, "a", None, 0.0), (1, None, "a", 0.0), (1, "a", None, NAN), (1, "a", None, None), (1, "a", None, -0.0), (1, "a", None, NAN)]
+    df = spark.createDataFrame(rows, "k int, x string, y string, z double")
+    assert quality.duplicate_count(df).first()["duplicates"] == 2
+    later = quality.duplicate_rows(df, "k", "z").collect()
+    assert len(later) == 5 and sum(r["z"] is None for r in later) == 0
