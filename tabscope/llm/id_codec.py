@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 import tokenizers
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.llm.bpe import byte_letters
@@ -340,13 +340,16 @@ def write_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
 def read_documents(frames: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` of every document, decoded from frames; ``start`` counts the ids before it."""
-    # One row for each frame, of some million ids: their offsets are a small table.
     sizes = frames.select("part", "frame", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n"))
-    offsets, total = [], 0
-    for row in sorted(sizes.collect()):
-        offsets.append((row["part"], row["frame"], total))
-        total += row["n"]
-    begins = frames.sparkSession.createDataFrame(offsets, "part int, frame int, begin bigint")
+    # One row for each task that has written frames.
+    passed, starts = 0, []
+    for part, n in sorted(map(tuple, sizes.groupBy("part").agg(F.sum("n")).collect())):
+        starts.append((part, passed))
+        passed += n
+    parts = frames.sparkSession.createDataFrame(starts, "part int, passed bigint")
+    earlier = Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.col("passed") + F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    begins = sizes.join(F.broadcast(parts), "part").select("part", "frame", begin.alias("begin"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,8 +18,11 @@ KEYS_PER_BLOCK = 4
 
 def url_host(url: Column) -> Column:
     """Host in lower case (A-Z); empty for NULL and for URLs without ``://``."""
-    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lowered(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+
+
+def _lowered(host: Column) -> Column:
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def url_path(url: Column) -> Column:
@@ -58,7 +61,7 @@ def filter_urls(
     """
     rules = (
         rules.filter("host is not null and path is not null and verdict is not null")
-        .groupBy(F.lower("host").alias("rule_host"), F.col("path").alias("rule_path"))
+        .groupBy(_lowered(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"))
         .agg(F.max("verdict").alias("rule_verdict"))
     )
     # Two small facts about the list: how many rules, and which path lengths occur (never more than lengths of URLs).

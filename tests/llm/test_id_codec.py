@@ -59,3 +59,15 @@ def test_documents_in_order(spark, monkeypatch):
         at += len(ids)
     assert sorted(got, key=lambda r: r[1]) == want
     assert id_codec.read_documents(id_codec.write_ids(docs.limit(0), path, 2)).count() == 0
+
+
+def test_starts_over_many_frames(spark, monkeypatch):
+    monkeypatch.setattr(id_codec, "FRAME", 40)
+    docs = spark.createDataFrame([(i, "some words " * (i % 7)) for i in range(120)], "doc_id bigint, text string")
+    frames = id_codec.write_ids(docs, tokenizer_path("word_bpe_49k.json"), 2)
+    assert frames.count() > 20
+    at = 0
+    for r in id_codec.read_documents(frames).orderBy("doc_id").collect():
+        assert (r.start, r.n_tokens) == (at, len(r.ids))
+        at += r.n_tokens
+    assert at == sum(len("some words".split()) * (i % 7) + 1 for i in range(120))

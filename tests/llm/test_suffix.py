@@ -82,3 +82,17 @@ def test_copies_of_a_row_are_cut_once(spark, monkeypatch):
             assert len(r.ranges) == len({(x.first, x.symbols) for x in r.ranges})
         assert {r.id: suffix.spans([x.asDict() for x in r.ranges], 999) for r in found} == {1: [(0, 80)], 2: [(80, 130)]}
     assert sizes[0] == sizes[1] > 0
+
+
+@pytest.mark.parametrize("size", [306, 363, 399, 400, 401, 480])
+def test_planted_passages_go_from_400_bytes_on(spark, sf, size):
+    """The same passage in two documents of the table, with different bytes around it, cut to a known number of bytes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("length(text) > 50").limit(60)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rng = random.Random(size)
+    passage = "".join(rng.choices("abcdefghij klmnop", k=size))
+    planted = [(i, f"{t[: len(t) // 2]}{'<>'[k]}{passage}{'()'[k]}{t[len(t) // 2 :]}") for k, (i, t) in enumerate(rows[:2])]
+    texts = spark.createDataFrame(planted + rows[2:], "doc_id bigint, text string")
+    kept = {r.doc_id: bytes(r.kept).decode("utf-8", "replace") for r in suffix_dedup.remove_repeats(texts).collect()}
+    for i, _ in planted:
+        assert (passage in kept[i]) == (size < suffix_dedup.LENGTH)

@@ -49,3 +49,11 @@ def test_bloom_filter_has_no_false_negatives(spark):
 
 def test_registered_query(spark, sf):
     assert difference(spark, sf, "op9_url_filter", url_verdicts, URL_SQL, connection(sf)) is None
+
+
+def test_other_capitals_stay_as_they_are(spark):
+    """Only A-Z are lowered, on both sides."""
+    urls = spark.createDataFrame([(1, "http://\u00c9x.org/a"), (2, "http://WWW.\u00c9X.org/a"), (3, "http://\u00e9x.org/a")], "page_id bigint, url string")
+    rules = spark.createDataFrame([("\u00c9X.ORG", "/", "block")], "host string, path string, verdict string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(urls, rules).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
