@@ -1,4 +1,3 @@
-import os
 import random
 
 import numpy as np
@@ -68,9 +67,11 @@ def test_line_ends_latin_1_empty_lines_and_wide_rows(spark, tmp_path, small_bloc
     path = written(tmp_path, ['id;note\r\n1;"Grün\r\n\r\nü"\r\n\r\n2;x;too wide\r\n3;"a"\r\n'], "latin-1")
     rows = readers.read_csv(spark, path, sep=";").orderBy("id").collect()
     assert [(r.id, r.note) for r in rows] == [(1, "Grün\r\n\r\nü"), (3, "a")]
-    open_end = written(tmp_path / "..", ['id,note\n1,"never closed\nat all\n']) if not os.path.exists(tmp_path / "../csv") else None
-    if open_end:
-        assert readers.read_csv(spark, open_end).count() == 1
+
+
+def test_a_quote_that_is_never_closed(spark, tmp_path, small_blocks):
+    path = written(tmp_path, ['id,note\n1,"never closed\nat all\n'])
+    assert readers.read_csv(spark, path).count() == 1
 
 
 def test_lines_as_functions():
@@ -86,8 +87,7 @@ def test_lines_as_functions():
 
 
 def test_what_a_line_does(spark):
-    cases = {"a,b": 2, 'a,"b': 1, 'b",c': 0, '"a","b"': 0, '"a""': 1, 'a"b,c': 0, '","': 3, '""': 2, "": 2, '"a" x,"y': 3}
-    cases = {k: v for k, v in cases.items() if k != '","' and k != '"a" x,"y'}
+    cases = {"a,b": 2, 'a,"b': 1, 'b",c': 0, '"a","b"': 0, '"a""': 1, 'a"b,c': 0, '""': 2, "": 2}
     lines = spark.createDataFrame([(k,) for k in cases], "line string")
     got = {r.line: r.does for r in lines.select("line", csv_records._function(lines["line"], ",").alias("does")).collect()}
     assert got == cases
