@@ -375,6 +375,23 @@ def quality_report(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(lineitem_gaps(spark, folder).select("l_returnflag", "l_linenumber", "l_tax"))
 
 
+@_query
+def quality_counts_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """All columns of a table some of whose rows occur twice."""
+    lines = table(spark, folder, "lineitem")
+    return quality.quality_counts(lines.union(lines.filter("l_quantity < 10")))
+
+
+@_query
+def quality_report_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_report(table(spark, folder, "orders"))
+
+
+@_query
+def delete_row_outlier_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return cleanse.delete_row_outlier(table(spark, folder, "lineitem"))
+
+
 @_query
 def delete_row_outlier(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("event_id", "user_id", "value")
@@ -415,6 +432,14 @@ def cleanse_steps(spark: SparkSession, folder: str) -> DataFrame:
     return cleanse.cleanse(narrow, ["delete_duplicate_row", "delete_missing_row"])
 
 
+@_query
+def cleanse_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Three steps over all columns of a table with gaps and copies."""
+    lines = lineitem_gaps(spark, folder).drop("l_returnflag")
+    steps = ["delete_missing_row", "delete_duplicate_row", "delete_row_outlier"]
+    return cleanse.cleanse(lines.union(lines.filter("l_linenumber = 1")), steps)
+
+
 # --- KPI ------------------------------------------------------------------------------------
 
 
@@ -732,7 +757,7 @@ def _bucket_total(metrics: Column) -> Column:
 
 @_query
 def column_analysis(spark: SparkSession, folder: str) -> DataFrame:
-    analysis = columns.column_analysis(table(spark, folder, "orders").drop("o_orderdate", "o_totalprice"), "o_orderkey")
+    analysis = columns.column_analysis(table(spark, folder, "orders"), "o_orderkey")
     return analysis.withColumn("sample_values", F.array_join("sample_values", ";"))
 
 

@@ -8,6 +8,7 @@ KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipda
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 BIN_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount"]
 
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINEITEM_GAPS = f"""(SELECT {KEY}, nullif(l_discount, 0.0) AS l_discount, nullif(l_tax, 0.0) AS l_tax,
     nullif(l_returnflag, 'N') AS l_returnflag FROM lineitem)"""
 CUSTOMER_GAPS = """(SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c_acctbal,
@@ -252,7 +253,8 @@ def _profile_documents() -> str:
 
 def _column_analysis() -> str:
     parts = []
-    for position, c in enumerate(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]):
+    orders = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    for position, c in enumerate(orders):
         parts.append(
             f"""SELECT {position} AS position, '{c}' AS "column", count(*) AS total_values,
     count(DISTINCT {c}) AS unique_values,
@@ -339,13 +341,39 @@ def _quality_report() -> str:
       FROM (VALUES ('l_returnflag', 'string'), ('l_linenumber', 'int'), ('l_tax', 'double')) t(c, d)"""
 
 
-def _delete_row_outlier() -> str:
-    limits = "\nUNION ALL\n".join(_quartiles(c, "events") for c in ("event_id", "user_id", "value"))
+def _quality_counts_whole(source: str, columns: list[str], numbers: list[str]) -> str:
+    missing = " OR ".join(f"{c} IS NULL" for c in columns)
+    listed = ", ".join(f"('{c}')" for c in numbers)
+    return f"""SELECT 'missing_rows' AS measure, '' AS "column", count(*) FILTER ({missing}) AS total FROM {source}
+    UNION ALL SELECT 'duplicate_rows', '', (SELECT count(*) FROM {source})
+      - (SELECT count(*) FROM (SELECT DISTINCT * FROM {source}))
+    UNION ALL SELECT 'outliers', c, (SELECT count(*) FROM ({_outliers(numbers, source)}) o
+      WHERE o."column" = c) FROM (VALUES {listed}) t(c)"""
+
+
+def _quality_report_whole() -> str:
+    types = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double"}
+    types |= {"o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+    counts = _quality_counts_whole("orders", list(types), ["o_orderkey", "o_custkey", "o_totalprice"])
+    listed = ", ".join(f"('{c}', '{t}')" for c, t in types.items())
+    return f"""SELECT measure, "column", CAST(total AS VARCHAR) AS value FROM ({counts})
+    UNION ALL SELECT 'data_type', c, d FROM (VALUES {listed}) t(c, d)"""
+
+
+def _delete_row_outlier(source: str = "events", numbers: tuple[str, ...] = ("event_id", "user_id", "value")) -> str:
+    limits = "\nUNION ALL\n".join(_quartiles(c, source) for c in numbers)
     tests = " OR ".join(
-        f"""EXISTS (SELECT 1 FROM limits s WHERE s."column" = '{c}' AND {_flag(f"e.{c}")})"""
-        for c in ("event_id", "user_id", "value")
+        f"""EXISTS (SELECT 1 FROM limits s WHERE s."column" = '{c}' AND {_flag(f"e.{c}")})""" for c in numbers
     )
-    return f"""WITH limits AS ({limits}) SELECT event_id, user_id, value FROM events e WHERE NOT ({tests})"""
+    kept = "event_id, user_id, value" if source == "events" else "*"
+    return f"""WITH limits AS ({limits}) SELECT {kept} FROM {source} e WHERE NOT ({tests})"""
+
+
+def _cleanse_whole() -> str:
+    columns = f"{KEY}, l_discount, l_tax"
+    source = f"""(SELECT DISTINCT {columns} FROM {LINEITEM_GAPS}
+        WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL)"""
+    return _delete_row_outlier(source, (*NUMBERS[:3], "l_linenumber", "l_extendedprice", "l_discount", "l_tax"))
 
 
 def _mode(column: str, source: str) -> str:
@@ -481,6 +509,14 @@ def oracle() -> dict[str, str]:
         "quality_counts": _quality_counts(),
         "quality_report": _quality_report(),
         "delete_row_outlier": _delete_row_outlier(),
+        "delete_row_outlier_whole": _delete_row_outlier("lineitem", tuple(NUMBERS)),
+        "quality_counts_whole": _quality_counts_whole(
+            "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_quantity < 10)",
+            [*NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"],
+            NUMBERS,
+        ),
+        "quality_report_whole": _quality_report_whole(),
+        "cleanse_whole": _cleanse_whole(),
         "impute_by_mean": f"""SELECT c_custkey, round(coalesce(c_acctbal, (SELECT avg(c_acctbal) FROM {CUSTOMER_GAPS})), 6)
             AS c_acctbal, c_mktsegment FROM {CUSTOMER_GAPS}""",
         "impute_by_mode": f"""SELECT {KEY}, coalesce(l_discount, {_mode("l_discount", LINEITEM_GAPS)}) AS l_discount,
