@@ -242,10 +242,14 @@ def is_date_text(column: Column) -> Column:
     return any_of(text.rlike(shape) for shape in fixed.DATE_SHAPES)
 
 
+#: Longer texts travel as digests.
+SHORT_BYTES = 128
+
+
 def short_sql(column: str) -> str:
     """Text for comparing: long ones by digest, so that a shuffle does not carry them."""
     digest = f"concat('\\u0000', octet_length({column}), ':', sha2({column}, 256))"
-    return f"IF(octet_length({column}) > 128, {digest}, {column})"
+    return f"IF(octet_length({column}) > {SHORT_BYTES}, {digest}, {column})"
 
 
 def two_decimals(column: Column) -> Column:

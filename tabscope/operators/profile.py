@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.functions import fixed
-from tabscope.functions.reshape import literal_rows, long_numbers, long_text, long_typed, per_column
+from tabscope.functions.reshape import literal_rows, long_numbers, long_text, long_typed, per_column, text_sql
 from tabscope.functions.scalars import (
+    SHORT_BYTES,
     Names,
     as_list,
     field_type,
@@ -21,11 +22,14 @@ from tabscope.functions.scalars import (
     number_sql,
     numeric_columns,
     quoted,
+    short_sql,
 )
 from tabscope.operators.histogram import binned, datetime_histogram, rule_bins
 from tabscope.operators.quantiles import exact_quantiles, quantile_table
 from tabscope.operators.roles import date_formats, parse_dates
 
+#: Keys of long texts that are sent to every task for a column at most; more are joined.
+_SENT = 1000
 QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
 
 
@@ -120,9 +124,73 @@ def text_counts(df: DataFrame, columns: Names | None = None) -> DataFrame:
 def top_values(df: DataFrame, columns: Names | None = None, limit: int = fixed.TOP_VALUES) -> DataFrame:
     """``(column, position, value, count)``: most frequent values; equal counts in value order.
 
-    The filter on the row number reaches below the shuffle: every task sends its best few only.
+    The filter on the row number reaches below the shuffle: every task sends its best few only. Columns with long
+    texts, which are looked up right away, are counted by digest.
     """
-    return _top(text_counts(df, columns), limit)
+    return _ranked(df, columns, limit)[0]
+
+
+def _ranked(df: DataFrame, columns: Names | None, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The most frequent values, and ``(column, unique_value_count)``."""
+    names = _comparable(df, _of_kind(df, "STRING", columns))
+    long = _long_columns(df, names)
+    short = [c for c in names if c not in long]
+    parts = []
+    if short or not long:
+        counted = text_counts(df, short)
+        parts.append((_top(counted, limit), _unique(counted)))
+    if long:
+        counted = _keyed(df, long).groupBy("column", "key").agg(F.count(F.lit(1)).alias("count"))
+        parts.append((_top_long(df, long, counted, limit), _unique(counted)))
+    top, unique = zip(*parts, strict=True)
+    return reduce(DataFrame.unionByName, top), reduce(DataFrame.unionByName, unique)
+
+
+def _unique(counted: DataFrame) -> DataFrame:
+    # Asking for the counts keeps both branches alike, so that they share one shuffle.
+    return counted.groupBy("column").agg(F.expr("count_if(count > 0) AS unique_value_count"))
+
+
+def _long_columns(df: DataFrame, names: list[str]) -> list[str]:
+    """Those that hold a text which would travel as a digest."""
+    if not names:
+        return []
+    sizes = [F.expr(f"coalesce(max(octet_length({text_sql(df, c)})), 0) AS n{i}") for i, c in enumerate(names)]
+    return [c for c, size in zip(names, df.agg(*sizes).first(), strict=True) if size > SHORT_BYTES]
+
+
+def _keyed(df: DataFrame, names: list[str]) -> DataFrame:
+    return long_text(df, names).filter("value IS NOT NULL").selectExpr("column", f"{short_sql('value')} AS key", "value")
+
+
+def _top_long(df: DataFrame, names: list[str], counted: DataFrame, limit: int) -> DataFrame:
+    """The most frequent values of columns with long texts; ``counted`` has ``(column, key, count)``.
+
+    Texts are read again for the keys that may be among the first, and each task merges the copies of one. Only columns
+    in which over :data:`_SENT` keys are equal at the end of the list are joined text by text. Where fewer
+    values than wanted occur twice, the smallest of those that occur once follow: each task keeps its few smallest.
+    """
+    by_count = Window.partitionBy("column").orderBy(F.col("count").desc())
+    repeated = counted.filter("count > 1")
+    first = repeated.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= limit)
+    floors = first.groupBy("column").agg(F.min("count").alias("floor"), F.count(F.lit(1)).alias("found"))
+    # One row per column: equal counts at the end of the list are all looked at.
+    wanted = repeated.join(F.broadcast(floors), "column").filter("count >= floor").select("column", "key", "count")
+    sizes = wanted.groupBy("column").agg(F.count(F.lit(1)).alias("keys"))
+    sized = wanted.join(F.broadcast(sizes), "column")
+    few, more = (sized.filter(part).drop("keys") for part in (F.col("keys") <= _SENT, F.col("keys") > _SENT))
+    rows = _keyed(df, names)
+    beyond = more.agg((F.count(F.lit(1)) > 0).alias("beyond")).scalar()
+    hits = rows.join(F.broadcast(few), ["column", "key"])  # at most _SENT rows per column
+    hits = hits.unionByName(rows.filter(beyond).join(more, ["column", "key"]))
+    out = hits.groupBy("column", "key").agg(F.min("value").alias("value"), F.max("count").alias("count")).drop("key")
+    for c in names:
+        found = floors.filter(F.col("column") == c).agg(F.coalesce(F.max("found"), F.lit(0)).alias("found")).scalar()
+        known = first.filter(F.col("column") == c).select("key")  # at most ``limit`` rows
+        once = _keyed(df, [c]).filter(found < limit).join(F.broadcast(known), "key", "left_anti")
+        once = once.select("column", "value", F.lit(1).cast("bigint").alias("count"))
+        out = out.unionByName(once.orderBy("value").limit(limit))
+    return _top(out, limit)
 
 
 def _top(counted: DataFrame, limit: int) -> DataFrame:
@@ -133,11 +201,9 @@ def _top(counted: DataFrame, limit: int) -> DataFrame:
 
 def profile_string(df: DataFrame, columns: Names | None = None, limit: int = fixed.TOP_VALUES) -> DataFrame:
     """``(column, most_common_value, most_common_value_count, counts, unique_value_count)``."""
-    counted = text_counts(df, columns)
+    best, unique = _ranked(df, columns, limit)
     entry = F.struct("position", F.col("value").alias("key"), F.col("count").alias("value"))
-    top = _top(counted, limit).groupBy("column").agg(F.sort_array(F.collect_list(entry)).alias("top"))
-    # Asking for the counts keeps both branches alike, so that they share one shuffle.
-    unique = counted.groupBy("column").agg(F.expr("count_if(count > 0) AS unique_value_count"))
+    top = best.groupBy("column").agg(F.sort_array(F.collect_list(entry)).alias("top"))
     return unique.join(F.broadcast(top), "column").select(  # one row per column
         "column",
         F.get("top", F.lit(0))["key"].alias("most_common_value"),
@@ -206,7 +272,8 @@ def profile(df: DataFrame, *, detect_dates: bool = True) -> DataFrame:
     """One flat row per column: counts, moments, quartiles, number of bins, most common value.
 
     Five readings of the table: one aggregation for all columns, three to pin down the quartiles (sketch, counts
-    between fences, the wanted slices), one to count texts. ``detect_dates`` looks for dates in text columns first, with up
+    between fences, the wanted slices), one to count texts, after a look at how long they are; long ones are read once
+    more for each column. ``detect_dates`` looks for dates in text columns first, with up
     to two more.
     """
     if detect_dates:

@@ -699,6 +699,21 @@ def top_values(spark: SparkSession, folder: str) -> DataFrame:
     return profile.top_values(table(spark, folder, "events"), ["event_type", "props"])
 
 
+@_query
+def top_values_long(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts of documents by frequency, beside short ones."""
+    top = profile.top_values(table(spark, folder, "documents"), ["text", "lang", "source"])
+    return top.withColumn("value", F.sha2("value", 256))
+
+
+@_query
+def top_values_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Long texts that mostly occur once: the smallest follow those that occur again."""
+    pages = table(spark, folder, "pages")
+    top = profile.top_values(pages.select("html").union(pages.filter("page_id < 3").select("html")), ["html"])
+    return top.withColumn("value", F.sha2("value", 256))
+
+
 @_query
 def profile_datetime(spark: SparkSession, folder: str) -> DataFrame:
     return profile.profile_datetime(table(spark, folder, "orders"))

@@ -300,6 +300,16 @@ def _top_values(column: str) -> str:
     {column} AS value, count(*) AS "count" FROM events GROUP BY {column}) WHERE position <= 5"""
 
 
+def _top_long(source: str, columns: list[str]) -> str:
+    parts = [
+        f"""SELECT '{c}' AS "column", CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INTEGER) AS position,
+        {c} AS text, count(*) AS "count" FROM {source} WHERE {c} IS NOT NULL GROUP BY {c}"""
+        for c in columns
+    ]
+    return f"""SELECT "column", position, sha256(text) AS value, "count" FROM ({" UNION ALL ".join(parts)})
+        WHERE position <= 5"""
+
+
 def _stream_profile(column: str) -> str:
     return f"""SELECT '{column}' AS "column", count({column}) AS finite_count, round(sum({column}::DOUBLE), 2) AS total,
     round(sum({column}::DOUBLE * {column}), 2) AS total_squares, round(avg({column}::DOUBLE), 2) AS mean,
@@ -636,6 +646,8 @@ def oracle() -> dict[str, str]:
             for p in (0.25, 0.5, 0.75)
         ),
         "profile_string": "\nUNION ALL\n".join(_text_profile(c) for c in ("p_name", "p_brand", "p_type")),
+        "top_values_long": _top_long("documents", ["text", "lang", "source"]),
+        "top_values_once": _top_long("(SELECT html FROM pages UNION ALL SELECT html FROM pages WHERE page_id < 3)", ["html"]),
         "top_values": "\nUNION ALL\n".join(_top_values(c) for c in ("event_type", "props")),
         "profile_datetime": f"""SELECT 'o_orderdate' AS "column", {_iso(_mean_moment("o_orderdate"))} AS mean,
             {_iso("min(o_orderdate)")} AS minimum, {_iso("max(o_orderdate)")} AS maximum FROM orders""",
