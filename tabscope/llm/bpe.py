@@ -256,7 +256,11 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") ->
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` from ids and the text decoded from them."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` from ids and the text decoded from them.
+
+    Rows stand alone: NULL and empty texts have no tokens and the digests of an empty string, repeated rows and NULL ids
+    give a row each, an empty table gives an empty one, further columns are not read.
+    """
     both = decode(encode(docs, path), path)
     return both.select(
         "doc_id",

@@ -149,7 +149,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = C
 
     ``docs`` has ``(doc_id, text)``, ``benchmark`` ``(item_id, text)``. Documents without a passage give no row; NULL
     and empty texts hold nothing; repeated documents and items are reported each. ``start`` and ``end`` are
-    characters of the text, ``edits`` is how many were allowed.
+    characters of the text, ``edits`` is how many were allowed. An empty table on either side gives an empty one.
     """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     doc_kind = rows.schema["doc_id"].dataType

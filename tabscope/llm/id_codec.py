@@ -301,7 +301,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Frames of the token ids of ``docs`` (``doc_id``, ``text``) in ascending order of ``doc_id``, as a stored table.
 
     Each document's ids are followed by ``end_id``. NULL and empty texts have that id alone; NULL ids come first; rows
-    that share an id are ordered by a hash of their text.
+    that share an id are ordered by a hash of their text; ids are cast to bigint; an empty table gives no frames.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("alt"), F.col("text").cast("string").alias("text")

@@ -272,7 +272,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs`` (``doc_id``, ``text``).
 
     Rows that share a ``doc_id`` are one document: it is linked if any of them is, and they stay or go together.
-    NULL and empty texts have no shingles and no links; a NULL id has no component and is kept.
+    NULL and empty texts have no shingles and no links; a NULL id has no component and is kept. Ids are cast to bigint;
+    an empty table gives an empty one.
     """
     sketch = stored(sketches(docs), "sketches")
     named = sketch.filter("n_shingles > 0 and doc_id is not null")

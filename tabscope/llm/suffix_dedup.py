@@ -46,7 +46,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     A byte is removed if a string of ``length`` bytes that covers it also starts anywhere else, in the same or another
     row; strings never cross rows. ``removed`` lists maximal (start, end) spans, ``kept`` holds the other bytes.
     NULL texts count as empty; repeated rows and rows that share an id are rows of their own; texts shorter than
-    ``length`` stay whole.
+    ``length`` stay whole; an empty table gives an empty one.
     """
     text = F.col("row.text").cast("string").cast("binary").alias("text")
     both = _with_ranges(docs.select("doc_id", "text"), length, gram).select(F.col("row.doc_id").alias("doc_id"), text, "ranges")
@@ -75,10 +75,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without the repeated bytes; ``n_chars``, if there, counts what is left.
 
-    A character that loses some of its bytes goes whole.
+    A character that loses some of its bytes goes whole. NULL texts stay NULL, repeated rows are cut alike, an empty
+    table gives an empty one.
     """
-    both = _with_ranges(docs, length, gram).select("row.*", F.col("ranges").alias("__ranges"))
     names = docs.columns
+    found = "__ranges"
+    while found in (n.lower() for n in names):
+        found += "_"
+    both = _with_ranges(docs, length, gram).select("row.*", F.col("ranges").alias(found))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")

@@ -71,3 +71,16 @@ def test_starts_over_many_frames(spark, monkeypatch):
         assert (r.start, r.n_tokens) == (at, len(r.ids))
         at += r.n_tokens
     assert at == sum(len("some words".split()) * (i % 7) + 1 for i in range(120))
+
+
+def test_repeated_ids(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(5, "one text"), (5, "another text of it"), (5, "one text"), (None, "a"), (None, "a"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = id_codec.with_checksums(id_codec.read_documents(id_codec.write_ids(docs, path, 2))).orderBy("start").collect()
+    ids = [(i, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
+    want = [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids]
+    assert sorted([(r.doc_id, r.n_tokens, r.ids_crc32) for r in got], key=str) == sorted(want, key=str)
+    assert [r.doc_id for r in got] == [None, None, 4, 4, 5, 5, 5]
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]

@@ -96,3 +96,13 @@ def test_planted_passages_go_from_400_bytes_on(spark, sf, size):
     kept = {r.doc_id: bytes(r.kept).decode("utf-8", "replace") for r in suffix_dedup.remove_repeats(texts).collect()}
     for i, _ in planted:
         assert (passage in kept[i]) == (size < suffix_dedup.LENGTH)
+
+
+def test_columns_of_any_name(spark):
+    passage = "p" * 7 + "".join(random.Random(3).choices("abcdefgh", k=40))
+    rows = [(1, "x" + passage, "a", 1), (1, "x" + passage, "a", 1), (2, None, "b", 2), (3, "y" * 3, "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __ranges string, ranges int")
+    got = suffix_dedup.drop_repeats(docs, 20, 8)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "", "a", 1), (1, "", "a", 1), *rows[2:]], key=str)
+    assert suffix_dedup.drop_repeats(docs.limit(0)).count() == 0

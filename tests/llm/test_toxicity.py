@@ -1,5 +1,7 @@
 import random
 
+import zstandard
+
 from tabscope.llm import toxicity
 from tests.llm.brute import SCHEMA
 
@@ -52,3 +54,40 @@ def test_nothing_to_learn_from(spark):
     assert [(r.distance, r.toxic) for r in toxicity.score_documents(docs, model).collect()] == [(0.0, False)] * 3
     assert toxicity.drop_toxic(docs, model).count() == 3
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
+
+
+def plain_length(dictionary, window):
+    """Length of a window behind a dictionary, by a compressor of its own."""
+    kept = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    parameters = zstandard.ZstdCompressionParameters.from_level(19, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return len(zstandard.ZstdCompressor(compression_params=parameters, dict_data=kept).compress(window))
+
+
+def test_distances_are_differences_of_lengths():
+    """The distance of every text, window by window, from both compressed lengths."""
+    rows = corpus(200, 5)
+    model = toxicity.fit([(t, y) for _, t, y in rows])
+    assert model.toxic and model.ordinary
+    for _, text, _ in rows[:25]:
+        most = 0.0
+        for word in "".join(c if c.isalnum() else " " for c in text.lower()).split():
+            for n in (4, 5, 6, 8, len(word)):
+                window = ((word[:n] + " ") * 4).encode()
+                size = plain_length(model.toxic, window)
+                if len(word) >= 4 and size <= model.length:
+                    most = max(most, (plain_length(model.ordinary, window) - size) * 4 / len(window))
+        assert model.distance(text) == most
+
+
+def test_equal_scores_and_repeated_rows(spark):
+    """Rows stand alone; a score at the cut is rejected; columns of any name stay."""
+    model = toxicity.fit([(t, y) for _, t, y in corpus(200, 6)])
+    text = corpus(200, 6)[0][1]
+    model.threshold = model.distance(text)
+    assert model.score(model.threshold) == toxicity.CUT
+    rows = [(1, text, 0.5), (1, text, 0.5), (None, text, 0.1), (2, "", 0.2), (2, "", 0.2), (3, None, 0.3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double")
+    got = [(r.doc_id, r.toxic) for r in toxicity.score_documents(docs, model).collect()]
+    assert sorted(got, key=str) == sorted([(1, True), (1, True), (None, True), (2, False), (2, False), (3, False)], key=str)
+    kept = toxicity.drop_toxic(docs, model)
+    assert sorted(map(tuple, kept.collect()), key=str) == [(2, "", 0.2), (2, "", 0.2), (3, None, 0.3)]
