@@ -25,6 +25,7 @@ from tabscope.functions.scalars import (
     reject_maps,
 )
 from tabscope.operators.quality import first_rows, is_outlier, outlier_limits
+from tabscope.sources.shared import computed_once
 
 
 def drop_missing(df: DataFrame, subset: Names) -> DataFrame:
@@ -152,6 +153,9 @@ _STEPS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "impute_by_mode": impute_by_mode,
 }
 
+#: Steps that look something up in the whole table before they change it.
+_SEVERAL_READINGS = ("delete_row_outlier", "impute_by_mean", "impute_by_mode")
+
 
 def cleanse(
     df: DataFrame,
@@ -160,18 +164,23 @@ def cleanse(
     types: dict[str, str] | None = None,
     keys: Names | None = None,
 ) -> DataFrame:
-    """Named steps, always in the order of ``CLEANSING_STEPS``, as one lazy plan.
+    """Named steps, always in the order of ``CLEANSING_STEPS``.
 
     ``data_type_conversion`` takes its target types from ``types``; ``remove_missing_cell`` keeps
-    ``keys`` beside each cell.
+    ``keys`` beside each cell. Steps after ``delete_duplicate_row`` that read the table several times read a stored one.
     """
     wanted = set(steps)
     unknown = wanted - set(fixed.CLEANSING_STEPS)
     if unknown:
         raise ValueError(f"Unknown cleansing steps: {', '.join(sorted(unknown))}")
+    merged = False
     for step in fixed.CLEANSING_STEPS:
         if step not in wanted:
             continue
+        if step in _SEVERAL_READINGS and merged:
+            # Copies are merged once, not again in every reading.
+            df, merged = computed_once(df, "cleansed"), False
+        merged |= step == "delete_duplicate_row"
         if step == "data_type_conversion":
             df = convert_types(df, types or {})
         elif step == "remove_missing_cell":
