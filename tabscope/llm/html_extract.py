@@ -4,10 +4,12 @@ Markup is read into blocks of text. Elements that never hold an article (menus,
 adverts, notices, reader comments ...) are left out by their names, classes and roles. Classes, roles and forms are hints only:
 where they leave no article and hardly a word, the largest element they took away is read after all, hints inside it still
 counting, and if that has no text either, the page is read without hints. What stands inside
-``article`` is the main text, or all of ``main`` where that holds most of its words outside articles. All else of a page goes into its token stream, and the streams of a host are searched for
-long strings that occur on different pages (:mod:`tabscope.llm.suffix`). On a page that marks no article, blocks that
-such strings cover are boilerplate, and the unique ones are the main text. Pages with the same stream count as one page
-there, so copies of a page are no evidence against it. Marked articles stay whole: they may well repeat each other.
+``article`` is the marked article, or all of ``main`` where that holds most of its words outside articles. All blocks of a page go
+into its token stream, and the streams of a host are searched for long strings that occur on different pages
+(:mod:`tabscope.llm.suffix`). Blocks that such strings cover are boilerplate, and the unique ones are the main text. As
+articles may well repeat each other, a covered block of a marked article is looked at once more: it goes if it stands at the same end of every
+article that repeats it, next to several different blocks, as share lines and author boxes do; a shared paragraph stays. Pages with the
+same stream count as one page, and articles without a block of their own are no evidence, so copies of a page do not speak against it.
 """
 
 from __future__ import annotations
@@ -34,7 +36,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH, GRAM = 12, 5
 #: A block is boilerplate if repeated strings cover this share of its tokens.
 COVERED = 0.5
-_TOKEN = 8
+#: A repeated block inside marked articles is boilerplate if it stands at the same end of all of them, next to at least so
+#: many different blocks that do not repeat.
+NEIGHBOURS = 4
+#: Bytes of a token's hash; strings of ``LENGTH`` of them are compared.
+_TOKEN = 4
 
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*"|'[^']*')[^>"']*+)*+)>|<[!?][^>]*>""", re.DOTALL
@@ -234,56 +240,115 @@ def _behind(page: str, name: str, at: int) -> int:
 
 
 def _tokens(texts: list[str]) -> bytes:
-    return b"".join(xxhash.xxh64_digest(w.encode("utf-8", "replace")) for t in texts for w in t.split())
+    return b"".join(xxhash.xxh64_digest(w.encode("utf-8", "replace"))[:_TOKEN] for t in texts for w in t.split())
 
 
-_READ = "page_id {kind}, url string, text string, rest array<struct<before: int, text: string>>, stream binary"
+def _parsed(page: str | None) -> tuple[list[tuple[bool, str]], bool, bytes, int]:
+    """Blocks and whether they could be main text, whether the page marks an article, its stream, and a name for all that."""
+    found = blocks(page) if page else []
+    marked = any(where == INSIDE for where, _ in found)
+    wanted = INSIDE if marked else OUTSIDE
+    parts = [(where == wanted, text) for where, text in found]
+    stream = _tokens([text for _, text in parts])
+    layout = repr([(here, len(text.split())) for here, text in parts]).encode()
+    return parts, marked, stream, xxhash.xxh64_intdigest(stream + layout) - (1 << 63)
+
+
+_LAYOUT = "array<struct<tokens: int, name: bigint, here: boolean>>"
+
+
+def _rows_of(pages: DataFrame) -> DataFrame:
+    url = F.col("url").cast("string")
+    return pages.select("page_id", url.alias("url"), F.xxhash64(url_host(url)).alias("seed"), F.col("html").cast("string").alias("html"))
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text, rest, stream)``: the marked main text, or NULL and the blocks that could be it, with the
-    number of tokens before each; and a hash of each token outside a marked article."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    kinds = pa.list_(pa.struct([("before", pa.int32()), ("text", pa.string())]))
+    """``(seed, page, marked, layout, stream)`` for every page: a name for its host and for its content, whether it marks an
+    article, its blocks in order (tokens, a hash of the text, whether it could be main text), and a hash of each token of all blocks."""
+    kinds = pa.list_(pa.struct([("tokens", pa.int32()), ("name", pa.int64()), ("here", pa.bool_())]))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                texts, rest, streams = [], [], []
-                for page in part.column(2).to_pylist():
-                    found = blocks(page) if page else []
-                    main = [t for where, t in found if where == INSIDE]
-                    around = [(where, t) for where, t in found if where != INSIDE]
-                    free, before = [], 0
-                    for where, t in around:
-                        if where == OUTSIDE:
-                            free.append({"before": before, "text": t})
-                        before += len(t.split())
-                    texts.append(" ".join(main) if main or not free else None)
-                    rest.append(None if main else free)
-                    streams.append(_tokens([t for _, t in around]))
+                names, marks, layouts, streams = [], [], [], []
+                for page in part.column(1).to_pylist():
+                    parts, marked, stream, name = _parsed(page)
+                    names.append(name)
+                    marks.append(marked)
+                    layouts.append([(len(t.split()), xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63), h) for h, t in parts])
+                    streams.append(stream)
                 yield batch_of(
-                    page_id=part.column(0),
-                    url=part.column(1),
-                    text=pa.array(texts, pa.string()),
-                    rest=pa.array(rest, kinds),
+                    seed=part.column(0),
+                    page=pa.array(names, pa.int64()),
+                    marked=pa.array(marks, pa.bool_()),
+                    layout=pa.array(layouts, kinds),
                     stream=pa.array(streams, pa.binary()),
                 )
 
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return map_batches(rows, work, _READ.format(kind=kind))
+    rows = _rows_of(pages).select("seed", "html")
+    return map_batches(rows, work, f"seed bigint, page bigint, marked boolean, layout {_LAYOUT}, stream binary")
+
+
+def _covered(layout: list[dict], ranges: list[dict] | None) -> list[bool]:
+    """Which blocks repeated strings cover."""
+    ends = np.cumsum([b["tokens"] for b in layout])
+    flags = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int64)
+    for start, end in spans(ranges, len(flags) - 1):
+        flags[start + 1 : end + 1] = 1
+    total = np.cumsum(flags)
+    return [bool(total[e] - total[e - b["tokens"]] >= COVERED * b["tokens"]) for b, e in zip(layout, ends.tolist(), strict=True)]
+
+
+#: Where a covered block stands in a marked article.
+_AMID, _FIRST, _LAST = 0, 1, 2
+_FOUND = "seed bigint, page bigint, block int, name bigint, side int, beside bigint"
+
 
+def _judged(pages: DataFrame) -> DataFrame:
+    """One row for each covered block that could be main text: in a marked article with its ``side`` and the nearest block
+    that is not covered, else without."""
 
-def _unique_blocks(rest: list[dict], ranges: list[dict] | None) -> str:
-    """The blocks that no repeated strings cover, joined."""
-    ends = [b["before"] + len(b["text"].split()) for b in rest]
-    covered = np.zeros(max(ends, default=0) + 1, np.int64)
-    for start, end in spans(ranges, len(covered) - 1):
-        covered[start + 1 : end + 1] = 1
-    total = np.cumsum(covered)
-    kept = [b["text"] for b, end in zip(rest, ends, strict=True) if total[end] - total[b["before"]] < COVERED * (end - b["before"])]
-    return " ".join(kept)
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for seed, page, marked, layout, ranges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                flags = _covered(layout, ranges)
+                here = [i for i, b in enumerate(layout) if b["here"]]
+                free = [i for i in here if not flags[i]]
+                for i in here:
+                    if not flags[i]:
+                        continue
+                    side, beside = None, None
+                    if marked and not free:
+                        continue  # nothing of its own: a copy, no evidence
+                    if marked:
+                        side = _FIRST if i < free[0] else _LAST if i > free[-1] else _AMID
+                        beside = layout[free[0] if side == _FIRST else free[-1]]["name"]
+                    out.append((seed, page, i, layout[i]["name"], side, beside))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+    return map_batches(pages.select("seed", "page", "marked", "layout", "ranges"), work, _FOUND)
+
+
+def boilerplate(pages: DataFrame) -> DataFrame:
+    """``(seed, page, blocks)``: numbers of the blocks that go, for each different page of a host that has any."""
+    read = stored(read_pages(pages), "pages", "zstd")
+    name = F.xxhash64("stream").alias("id")
+    rows = read.filter(F.length("stream") >= LENGTH * _TOKEN).select(name, "seed", F.col("stream").alias("data"))
+    ranges = repeated_ranges(rows, LENGTH, GRAM, _TOKEN, distinct=True)
+    ranges = stored(ranges.groupBy("id").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    each = read.select(name, "seed", "page", "marked", "layout").dropDuplicates(["seed", "page"])
+    covered = stored(_judged(each.join(ranges, "id")), "covered")
+    # The exact look at what repeats inside marked articles, which do share paragraphs.
+    fixtures = covered.groupBy("seed", "name").agg(
+        F.min("side").alias("low"), F.max("side").alias("high"), F.count_distinct("beside").alias("n")
+    )
+    fixtures = stored(fixtures.filter(f"low = high AND low <> {_AMID} AND n >= {NEIGHBOURS}").select("seed", "name"), "fixtures")
+    gone = covered.filter("side is null").unionByName(covered.filter("side is not null").join(fixtures, ["seed", "name"], "left_semi"), True)
+    return stored(gone.groupBy("seed", "page").agg(F.collect_set("block").alias("blocks")), "boilerplate")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -291,22 +356,29 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     Blocks are trimmed, have single spaces and are joined by one. NULL or empty pages have an empty text; repeated rows
     are pages of their own but count once when pages of a host are compared; a NULL url is a host of its own; an empty table
-    gives an empty one.
+    gives an empty one. Pages are read twice, for their streams and for their texts, so no text is stored.
     """
-    read = stored(read_pages(pages), "pages")
-    rows = read.filter(F.length("stream") >= LENGTH * _TOKEN).select(
-        F.xxhash64("stream").alias("id"), F.xxhash64(url_host(F.col("url"))).alias("seed"), F.col("stream").alias("data")
-    )
-    ranges = repeated_ranges(rows, LENGTH, GRAM, _TOKEN, distinct=True)
-    ranges = ranges.groupBy("id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    marked = read.filter("text is not null").select("page_id", "url", "text")
-    rest = read.filter("text is null").select("page_id", "url", "rest", F.xxhash64("stream").alias("id")).join(ranges, "id", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_unique_blocks(t or [], r) for t, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch_of(page_id=batch.column(0), url=batch.column(1), text=pa.array(texts, pa.string()))
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                names, texts = [], []
+                for page in part.column(3).to_pylist():
+                    parts, _, _, name = _parsed(page)
+                    names.append(name)
+                    texts.append([t if here else None for here, t in parts])
+                yield batch_of(
+                    page_id=part.column(0),
+                    url=part.column(1),
+                    seed=part.column(2),
+                    page=pa.array(names, pa.int64()),
+                    texts=pa.array(texts, pa.list_(pa.string())),
+                )
 
-    chosen = map_batches(rest.select("page_id", "url", "rest", "ranges"), work, f"page_id {kind}, url string, text string")
-    return marked.union(chosen).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+    read = map_batches(_rows_of(pages), work, f"page_id {kind}, url string, seed bigint, page bigint, texts array<string>")
+    both = read.join(boilerplate(pages), ["seed", "page"], "left")
+    gone = F.coalesce("blocks", F.array().cast("array<int>"))
+    kept = F.filter("texts", lambda text, i: ~F.array_contains(gone, i))  # joined without the blocks that are NULL
+    return both.select("page_id", "url", F.array_join(kept, " ").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
