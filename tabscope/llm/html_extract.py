@@ -7,8 +7,9 @@ counting, and if that has no text either, the page is read without hints. What s
 ``article`` is the marked article, or all of ``main`` where that holds most of its words outside articles. All blocks of a page go
 into its token stream, and the streams of a host are searched for long strings that occur on different pages
 (:mod:`tabscope.llm.suffix`). Blocks that such strings cover are boilerplate, and the unique ones are the main text. As
-articles may well repeat each other, a covered block of a marked article is looked at once more: it goes if it stands at the same end of every
-article that repeats it, next to several different blocks, as share lines and author boxes do; a shared paragraph stays. Pages with the
+articles may well repeat each other, a covered block of a marked article is looked at once more: paragraphs, headings, list items
+and cells stay, as articles share them; any other (``div``, bare text) goes if it stands at the same end of every article that
+repeats it, next to several different blocks, as share lines and author boxes do. Pages with the
 same stream count as one page, and articles without a block of their own are no evidence, so copies of a page do not speak against it.
 """
 
@@ -59,6 +60,8 @@ _NEVER = frozenset(
 )
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ARTICLE = ("article", "main")
+#: Blocks that carry the text of an article.
+_PROSE = frozenset("blockquote caption dd dt figcaption legend li p pre summary td th".split()) | _HEADING
 #: Elements that are left out by hints only, as those with marks in their attributes are.
 _HINTED = frozenset({"form"})
 #: Parts of class names and ids that mark what is no article.
@@ -101,12 +104,12 @@ INSIDE, NEVER, OUTSIDE = "inside", "never", "outside"
 _MAIN, _HINT = "main", "hint"
 
 
-def _words(found: list[tuple[str, str]], *kinds: str) -> int:
-    return sum(text.count(" ") + 1 for where, text in found if where in kinds)
+def _words(found: list[tuple[str, str, bool]], *kinds: str) -> int:
+    return sum(text.count(" ") + 1 for where, text, _ in found if where in kinds)
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """``(where, text)`` for each block of text, in page order."""
+def blocks(page: str) -> list[tuple[str, str, bool]]:
+    """``(where, text, prose)`` for each block of text, in page order; ``prose`` if it stands in a paragraph, heading or the like."""
     taken: list[tuple[int, int]] = []
     found = _read(page, taken=taken)
     if taken and not _words(found, INSIDE, _MAIN) and _words(found, OUTSIDE) < min(LENGTH, max(taken)[0]):
@@ -115,20 +118,20 @@ def blocks(page: str) -> list[tuple[str, str]]:
             found = _read(page, hints=False)
     main = INSIDE if _words(found, _MAIN) > _words(found, INSIDE) else OUTSIDE
     names = {_MAIN: main, _HINT: NEVER}
-    return [(names.get(where, where), text) for where, text in found]
+    return [(names.get(where, where), text, prose) for where, text, prose in found]
 
 
-def _read(page: str, hints: bool = True, opened: int = -1, taken: list[tuple[int, int]] | None = None) -> list[tuple[str, str]]:
+def _read(page: str, hints: bool = True, opened: int = -1, taken: list[tuple[int, int]] | None = None) -> list[tuple[str, str, bool]]:
     """Blocks by markup; without ``hints`` only the names of elements leave something out.
 
     The element at ``opened`` is read in spite of its hints. ``taken`` collects words and place of those left out by hints.
     """
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, str, bool]] = []
     pieces: list[str] = []
     left_out: list[str] = []
     inside = article = 0  # open article and main elements, articles among them
     header = 0  # open header elements inside them: of those only headings count
-    heading = False
+    heading = prose = False
     skipped, depth = "", 0  # the element that is left out just now, and how many of its name are open
     reason, since = NEVER, 0  # whether its name or a hint leaves it out, and where it begins
     at, end = 0, len(page)
@@ -137,13 +140,13 @@ def _read(page: str, hints: bool = True, opened: int = -1, taken: list[tuple[int
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append((INSIDE if article else _MAIN if inside else OUTSIDE, text))
+                out.append((INSIDE if article else _MAIN if inside else OUTSIDE, text, prose))
             pieces.clear()
 
     def leave_out(where: str) -> None:
         text = " ".join(html.unescape(" ".join(left_out)).split())
         if text:
-            out.append((where, text))
+            out.append((where, text, False))
             if where == _HINT and taken is not None:
                 taken.append((text.count(" ") + 1, since))
         left_out.clear()
@@ -193,6 +196,7 @@ def _read(page: str, hints: bool = True, opened: int = -1, taken: list[tuple[int
             continue
         if name in _BLOCK or name in _NEVER:
             close()
+            prose = name in _PROSE and not closing
         if closing:
             if name in _ARTICLE:
                 inside = max(0, inside - 1)
@@ -243,18 +247,18 @@ def _tokens(texts: list[str]) -> bytes:
     return b"".join(xxhash.xxh64_digest(w.encode("utf-8", "replace"))[:_TOKEN] for t in texts for w in t.split())
 
 
-def _parsed(page: str | None) -> tuple[list[tuple[bool, str]], bool, bytes, int]:
-    """Blocks and whether they could be main text, whether the page marks an article, its stream, and a name for all that."""
+def _parsed(page: str | None) -> tuple[list[tuple[bool, str, bool]], bool, bytes, int]:
+    """Blocks, whether they could be main text and are prose; whether the page marks an article; its stream; a name for all that."""
     found = blocks(page) if page else []
-    marked = any(where == INSIDE for where, _ in found)
+    marked = any(where == INSIDE for where, _, _ in found)
     wanted = INSIDE if marked else OUTSIDE
-    parts = [(where == wanted, text) for where, text in found]
-    stream = _tokens([text for _, text in parts])
-    layout = repr([(here, len(text.split())) for here, text in parts]).encode()
+    parts = [(where == wanted, text, prose) for where, text, prose in found]
+    stream = _tokens([text for _, text, _ in parts])
+    layout = repr([(here, len(text.split()), prose) for here, text, prose in parts]).encode()
     return parts, marked, stream, xxhash.xxh64_intdigest(stream + layout) - (1 << 63)
 
 
-_LAYOUT = "array<struct<tokens: int, name: bigint, here: boolean>>"
+_LAYOUT = "array<struct<tokens: int, name: bigint, here: boolean, prose: boolean>>"
 
 
 def _rows_of(pages: DataFrame) -> DataFrame:
@@ -264,8 +268,8 @@ def _rows_of(pages: DataFrame) -> DataFrame:
 
 def read_pages(pages: DataFrame) -> DataFrame:
     """``(seed, page, marked, layout, stream)`` for every page: a name for its host and for its content, whether it marks an
-    article, its blocks in order (tokens, a hash of the text, whether it could be main text), and a hash of each token of all blocks."""
-    kinds = pa.list_(pa.struct([("tokens", pa.int32()), ("name", pa.int64()), ("here", pa.bool_())]))
+    article, its blocks in order (tokens, a hash of the text, whether it could be main text and is prose), and a hash of each token of all blocks."""
+    kinds = pa.list_(pa.struct([("tokens", pa.int32()), ("name", pa.int64()), ("here", pa.bool_()), ("prose", pa.bool_())]))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,7 +280,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
                     parts, marked, stream, name = _parsed(page)
                     names.append(name)
                     marks.append(marked)
-                    layouts.append([(len(t.split()), xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63), h) for h, t in parts])
+                    layouts.append([(len(t.split()), xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63), h, p) for h, t, p in parts])
                     streams.append(stream)
                 yield batch_of(
                     seed=part.column(0),
@@ -306,8 +310,8 @@ _FOUND = "seed bigint, page bigint, block int, name bigint, side int, beside big
 
 
 def _judged(pages: DataFrame) -> DataFrame:
-    """One row for each covered block that could be main text: in a marked article with its ``side`` and the nearest block
-    that is not covered, else without."""
+    """One row for each covered block that could go: in a marked article, if it is no prose, with its ``side`` and the
+    nearest block that is not covered, else without."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,8 +324,8 @@ def _judged(pages: DataFrame) -> DataFrame:
                     if not flags[i]:
                         continue
                     side, beside = None, None
-                    if marked and not free:
-                        continue  # nothing of its own: a copy, no evidence
+                    if marked and (not free or layout[i]["prose"]):
+                        continue  # a page with nothing of its own is a copy, no evidence
                     if marked:
                         side = _FIRST if i < free[0] else _LAST if i > free[-1] else _AMID
                         beside = layout[free[0] if side == _FIRST else free[-1]]["name"]
@@ -368,7 +372,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
                 for page in part.column(3).to_pylist():
                     parts, _, _, name = _parsed(page)
                     names.append(name)
-                    texts.append([t if here else None for here, t in parts])
+                    texts.append([t if here else None for here, t, _ in parts])
                 yield batch_of(
                     page_id=part.column(0),
                     url=part.column(1),

@@ -52,11 +52,13 @@ def test_boilerplate_of_a_host(spark):
 
 def test_boilerplate_inside_marked_articles(spark):
     """A line that ends many different articles goes, though markup does not tell it; paragraphs that articles share stay."""
-    share = "<p>" + " ".join(f"share{i}" for i in range(19)) + "</p>"
+    share = "<div>" + " ".join(f"share{i}" for i in range(19)) + "</div>"
     own = ["".join("<p>" + " ".join(f"own{n}p{k}w{i}" for i in range(20)) + "</p>" for k in range(3)) for n in range(6)]
     common = "<p>" + " ".join(f"common{i}" for i in range(25)) + "</p>"
     pages = [f"<article>{common if n == 1 else ''}{o}{common if n > 3 else ''}{share}</article>" for n, o in enumerate(own)]
     rows = [(n, "http://a.org/x", p) for n, p in enumerate(pages)]
+    licence = share.replace("div", "p")  # a paragraph at the end of them all stays: articles share such ones
+    rows += [(20 + n, "http://c.org/x", f"<article>{o}{licence}</article>") for n, o in enumerate(own)]
     # copies of one article with other menus: its last paragraph repeats, but always after the same text
     rows += [(10 + n, "http://b.org/x", f"<nav>menu{n}</nav><article>{own[0]}{share}</article>") for n in range(6)]
     got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
@@ -64,6 +66,7 @@ def test_boilerplate_inside_marked_articles(spark):
         return " ".join(html_extract._MARKUP.sub(" ", page).split())
 
     want = {n: text(p.replace(share, "")) for n, p in enumerate(pages)} | {10 + n: text(own[0] + share) for n in range(6)}
+    want |= {20 + n: text(o + licence) for n, o in enumerate(own)}
     assert got == want
 
 
