@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import batch_of, batches_out, likely_rows, map_batches, mixed, per_process, stored, text_buffers, word_hashes
+from tabscope.llm.common import SMALL_SLICE, batch_of, batches_out, likely_rows, map_batches, mixed, per_process, stored, text_buffers, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -119,7 +119,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, lambda batches: batches_out(batches, work), _SKETCH)
+    return map_batches(rows, lambda batches: batches_out(batches, work, SMALL_SLICE), _SKETCH)
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep[r] = common > 0 and 100 * common >= LINK_PERCENT * (len(x) + len(y) - common)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return map_batches(both, lambda batches: batches_out(batches, work), "a bigint, b bigint").distinct()
+    return map_batches(both, lambda batches: batches_out(batches, work, SMALL_SLICE), "a bigint, b bigint").distinct()
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -42,3 +42,12 @@ def test_spans_hash_alike_wherever_they_stand():
     prefix = common.prefix_hashes(raw)
     a, b, c = common.span_hashes(prefix, np.array([0, 4, 8]), np.array([3, 7, 11]))
     assert a == b != c
+
+
+def test_slices_where_arrays_are_wide():
+    """Row ranges stay below the limit that is asked for; a longer row is taken alone."""
+    texts = ["a" * 30] * 10 + ["b" * 500] + ["c" * 90, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    got = [part.column(0).to_pylist() for part in common.batches_out([batch], lambda part: [part], 100)]
+    assert [t for part in got for t in part] == texts
+    assert all(sum(len(t or "") for t in part) <= 100 or len(part) == 1 for part in got)
