@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.common import batch_of, map_batches, stored
+from tabscope.llm.common import batch_of, drop_tables, list_array, map_batches, per_process, stored
 from tabscope.llm.suffix import repeated_ranges, spans
 from tabscope.llm.url_filter import url_host
 
@@ -243,8 +243,23 @@ def _behind(page: str, name: str, at: int) -> int:
     return found.end() if found else len(page)
 
 
-def _tokens(texts: list[str]) -> bytes:
-    return b"".join(xxhash.xxh64_digest(w.encode("utf-8", "replace"))[:_TOKEN] for t in texts for w in t.split())
+#: Tokens whose hashes a worker remembers.
+_REMEMBERED = 1 << 17
+
+
+class _Hashes(dict):
+    """Hashes of tokens, each computed once until there are too many of them."""
+
+    def __missing__(self, token: str) -> bytes:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        self[token] = out = xxhash.xxh64_digest(token.encode("utf-8", "replace"))[:_TOKEN]
+        return out
+
+
+def _tokens(texts: list[list[str]]) -> bytes:
+    known = per_process("html-tokens", _Hashes)
+    return b"".join([known[w] for t in texts for w in t])
 
 
 def _parsed(page: str | None) -> tuple[list[tuple[bool, str, bool]], bool, bytes, int]:
@@ -253,8 +268,9 @@ def _parsed(page: str | None) -> tuple[list[tuple[bool, str, bool]], bool, bytes
     marked = any(where == INSIDE for where, _, _ in found)
     wanted = INSIDE if marked else OUTSIDE
     parts = [(where == wanted, text, prose) for where, text, prose in found]
-    stream = _tokens([text for _, text, _ in parts])
-    layout = repr([(here, len(text.split()), prose) for here, text, prose in parts]).encode()
+    texts = [text.split() for _, text, _ in parts]
+    stream = _tokens(texts)
+    layout = repr([(here, len(words), prose) for (here, _, prose), words in zip(parts, texts, strict=True)]).encode()
     return parts, marked, stream, xxhash.xxh64_intdigest(stream + layout) - (1 << 63)
 
 
@@ -280,18 +296,18 @@ def read_pages(pages: DataFrame) -> DataFrame:
                     parts, marked, stream, name = _parsed(page)
                     names.append(name)
                     marks.append(marked)
-                    layouts.append([(len(t.split()), xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63), h, p) for h, t, p in parts])
+                    layouts.append([(t.count(" ") + 1, xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63), h, p) for h, t, p in parts])
                     streams.append(stream)
                 yield batch_of(
                     seed=part.column(0),
                     page=pa.array(names, pa.int64()),
                     marked=pa.array(marks, pa.bool_()),
                     layout=pa.array(layouts, kinds),
-                    stream=pa.array(streams, pa.binary()),
+                    stream=list_array(np.frombuffer(b"".join(streams), np.int32), np.cumsum([0, *map(len, streams)]) // _TOKEN, pa.int32()),
                 )
 
     rows = _rows_of(pages).select("seed", "html")
-    return map_batches(rows, work, f"seed bigint, page bigint, marked boolean, layout {_LAYOUT}, stream binary")
+    return map_batches(rows, work, f"seed bigint, page bigint, marked boolean, layout {_LAYOUT}, stream array<int>")
 
 
 def _covered(layout: list[dict], ranges: list[dict] | None) -> list[bool]:
@@ -339,13 +355,15 @@ def _judged(pages: DataFrame) -> DataFrame:
 
 def boilerplate(pages: DataFrame) -> DataFrame:
     """``(seed, page, blocks)``: numbers of the blocks that go, for each different page of a host that has any."""
-    read = stored(read_pages(pages), "pages", "zstd")
+    # Tokens follow a steep distribution: with a dictionary they take half the room of their hashes.
+    read = stored(read_pages(pages), "pages", compression="zstd", **{"parquet.dictionary.page.size": str(4 << 20)})
     name = F.xxhash64("stream").alias("id")
-    rows = read.filter(F.length("stream") >= LENGTH * _TOKEN).select(name, "seed", F.col("stream").alias("data"))
+    rows = read.filter(F.size("stream") >= LENGTH).select(name, F.xxhash64(F.lit("alt"), "stream").alias("alt"), "seed", F.col("stream").alias("data"))
     ranges = repeated_ranges(rows, LENGTH, GRAM, _TOKEN, distinct=True)
-    ranges = stored(ranges.groupBy("id").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    ranges = ranges.groupBy("id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     each = read.select(name, "seed", "page", "marked", "layout").dropDuplicates(["seed", "page"])
     covered = stored(_judged(each.join(ranges, "id")), "covered")
+    drop_tables(read)
     # The exact look at what repeats inside marked articles, which do share paragraphs.
     fixtures = covered.groupBy("seed", "name").agg(
         F.min("side").alias("low"), F.max("side").alias("high"), F.count_distinct("beside").alias("n")

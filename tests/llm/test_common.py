@@ -1,4 +1,5 @@
 import os
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,30 @@ def test_stored_tables_can_be_dropped(spark):
     assert not os.path.exists(folder)
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """A table of its own query: only what runs besides it may still have files."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    counted = spark.range(5000).selectExpr("id % 100 AS a").groupBy("a").count()
+
+    def files():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    old = files()
+    table = common.stored(counted, "counted")
+    for _ in range(50):
+        new = files() - old
+        if not new:
+            break
+        time.sleep(0.1)
+    assert not new and table.count() == 100 and spark.conf.get(setting, None) == before
+    path = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    other = common.stored(table, "other")
+    common.drop_tables(table)
+    assert not os.path.exists(path) and other.count() == 100
+
+
 def test_likely_rows_keep_all_wanted(spark):
     rows = spark.range(2000).selectExpr("IF(id = 7, NULL, id) AS k", "id AS other")
     wanted = spark.range(0, 2000, 100).selectExpr("IF(id = 700, NULL, id) AS id")
