@@ -106,3 +106,40 @@ def test_columns_of_any_name(spark):
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "", "a", 1), (1, "", "a", 1), *rows[2:]], key=str)
     assert suffix_dedup.drop_repeats(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [49, 50, 51, 58, 90])
+def test_shared_passages_of_fifty_words_go(spark, size):
+    """Short words, so that 58 of them stay below 400 bytes; other white space and case are no difference, copies of a row no repeat."""
+    rng = random.Random(size)
+
+    def words(n):
+        return ["".join(rng.choices("abcdefghijkl", k=rng.randrange(3, 6))) for _ in range(n)]
+
+    passage, alone = words(size), " ".join(words(70))
+    spaced = "é\t" + "\n ".join(passage).upper() + " end"
+    rows = [(i, " ".join([*words(20), *passage, *words(30)])) for i in range(3)]
+    rows += [(7, spaced), (8, alone), (8, alone), (9, "la " * 60), (10, None), (11, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in suffix_dedup.drop_repeats(docs, 10**4, 4000, words=50).collect()), key=str)
+    want = []
+    for i, t in rows:
+        if size >= 50 and i < 3:
+            t = t.replace(" ".join(passage), "")
+        elif size >= 50 and i == 7:
+            t = "é\t end"
+        want.append((i, t, len(t or "")))
+    assert got == sorted(want, key=str)
+    if size < 60:
+        assert sorted(((r.doc_id, r.text) for r in suffix_dedup.drop_repeats(docs).collect() if r.doc_id < 3), key=str) == rows[:3]
+
+
+def test_anchors_that_stand_twice(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    anchors = rng.integers(-(1 << 63), 1 << 63, 3000)
+    anchors = np.concatenate([anchors, anchors[:200], anchors[:50], [-1, -1, 0, 0, 0]])
+    found = spark.createDataFrame([(int(a),) for a in anchors], "anchor bigint").repartition(5)
+    want = {int(a) for a in (anchors[np.r_[0:200, -1, -5]].astype(np.int64).view(np.uint64) >> np.uint64(12))}
+    for held in (suffix._HELD, 100):
+        monkeypatch.setattr(suffix, "_HELD", held)
+        assert sorted(r.key for r in suffix._twice(found).collect()) == sorted(want)
