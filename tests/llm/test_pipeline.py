@@ -92,3 +92,18 @@ def test_labels_that_are_never_learnt(spark, folder):
     ids = {r.doc_id for r in learnt_labels(spark, folder).collect()}
     assert ids == {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2}
     assert isinstance(toxicity.fit_on(read_table(spark, folder, "documents"), learnt_labels(spark, folder)), toxicity.ToxicityModel)
+
+
+def test_passages_of_more_than_fifty_words(spark, folder):
+    """Passages of 55 words below 400 bytes, in two documents each, are cut out; documents without one stay as they are."""
+    rng = random.Random(5)
+
+    def prose(n):
+        return " ".join("".join(rng.choices("aeiounrstl", k=rng.randrange(4, 7))) for _ in range(n))
+
+    passages = [prose(55) for _ in range(4)]
+    rows = [(i, f"{prose(70)} {passages[i % 4]} {prose(40)}" if i < 8 else prose(120)) for i in range(16)]
+    assert all(len(p) < suffix_dedup.LENGTH for p in passages)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, folder).collect()}
+    assert got == {i: t.replace(passages[i % 4], "") for i, t in rows}
