@@ -20,8 +20,9 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a 400-byte string that starts anywhere else are cut out of the texts; all rows stay."""
-    return suffix_dedup.drop_repeats(docs)
+    """Bytes covered by a 400-byte string that starts anywhere else are cut out of the texts, and so are passages of 50
+    words or more that stand in different documents; all rows stay."""
+    return suffix_dedup.drop_repeats(docs, words=suffix_dedup.WORDS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
