@@ -94,9 +94,9 @@ def from_planes(runs: pa.Array, sizes: np.ndarray) -> np.ndarray:
     raw, offsets = text_buffers(runs)
     ends, widths = np.cumsum(sizes), np.diff(offsets) // np.maximum(sizes, 1)
     at = np.arange(ends[-1]) + np.repeat(offsets[:-1] - (ends - sizes), sizes)
-    out, step, wide = np.zeros(len(at), np.uint64), np.repeat(sizes, sizes), np.repeat(widths, sizes)
+    out, step = np.zeros(len(at), np.uint64), np.repeat(sizes, sizes)
     for plane in range(widths.max()):
-        has = slice(None) if plane < widths.min() else wide > plane
+        has = slice(None) if plane < widths.min() else np.repeat(widths > plane, sizes)
         out[has] |= raw[at[has] + plane * step[has]].astype(np.uint64) << np.uint64(8 * plane)
     return out
 
